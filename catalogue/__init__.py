@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def registered() -> dict:
-    from catalogue import usage
+    from catalogue import mapping, usage
 
-    modules = (usage,)
+    modules = (usage, mapping)
     return {name: query for module in modules for name, query in module.QUERIES.items()}

@@ -33,7 +33,7 @@ EXPECTED = {
     ("purchase", 3): ("search", "filter", 1, "order_date", "status", "", "item_count order_date total_amount",
                       "order_date", "",
                       (f"cast(86400 * cast({_DAYS} as int) as double)", "'order_date'", f"concat({_DAYS}, 'd')"), 0),
-    ("signup", 0): ("search", "text", 0, "description tags title", "", "", "", "internal_sku title", "", _NONE, 0),
+    ("signup", 0): ("search", "text", 0, "description tags title", "description", "", "", "internal_sku title", "", _NONE, 0),
     ("signup", 1): ("bulk", None, 0, "", "", "", "", "", "host level message service timestamp", _NONE, 2),
     ("signup", 2): ("bulk", None, 0, "", "", "", "", "", "item_count status", _NONE, 1),
     ("signup", 3): ("bulk", None, 0, "", "", "", "", "", "price stock_count title", _NONE, 2),

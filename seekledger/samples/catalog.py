@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seekledger.operators.groups import build_group_map
 from seekledger.operators.tables import written_once
 from seekledger.plans.events import build_usage_events
+from seekledger.plans.mapping import field_usage, mapping_diff, mapping_recommendations, recent
 from seekledger.samples import request_log as log
+from seekledger.samples.mappings import mapping_table
+from seekledger.sources.cluster import mapping_fields
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,3 +34,29 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"usage_events {sf_dir}",
         lambda: build_usage_events(requests(spark, sf_dir), group_map(spark, sf_dir)),
     )
+
+
+def indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_map(spark, sf_dir).select("index_name")
+
+
+def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping_table(indices(spark, sf_dir))
+
+
+def as_of(spark: SparkSession, sf_dir: str) -> datetime:
+    """Time of the newest event: the 'now' of all windows."""
+    return usage_events(spark, sf_dir).agg(F.max("timestamp")).first()[0]
+
+
+def mapping_diff_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        now = as_of(spark, sf_dir)
+        fields = mapping_fields(mappings(spark, sf_dir), group_map(spark, sf_dir))
+        return mapping_diff(fields, field_usage(recent(usage_events(spark, sf_dir), now)), now)
+
+    return written_once(spark, f"mapping_diff {sf_dir}", build)
+
+
+def mapping_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping_recommendations(mapping_diff_table(spark, sf_dir), as_of(spark, sf_dir))

@@ -63,7 +63,8 @@ SHAPES = (
           '"runtime_mappings": {"dow": {"type": "keyword", "script": {"source": "emit(doc[<<q>>order_date<<q>>].value)"}}}}'),
     Shape("signup", 0, "POST", "/products,orders-us/_search",
           '{"query": {"bool": {"must": [{"multi_match": {"query": "x<<k>>", "fields": ["title^2", "description"]}}], '
-          '"must_not": [{"exists": {"field": "tags"}}]}}, "_source": {"includes": ["title"], "excludes": ["internal_sku"]}}'),
+          '"must_not": [{"exists": {"field": "tags"}}]}}, "_source": {"includes": ["title"], "excludes": ["internal_sku"]}, '
+          '"post_filter": {"term": {"description": "d<<k>>"}}}'),
     Shape("signup", 1, "POST", "/logs-<<day>>/_bulk",
           '{"index": {}}<<nl>>{"timestamp": "<<day>>", "level": "INFO", "service": "s<<k>>", "message": "hello"}<<nl>>'
           '{"create": {}}<<nl>>{"timestamp": "<<day>>", "host": "web-<<k>>"}<<nl>>'),
