@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def registered() -> dict:
-    from catalogue import mapping, usage
+    from catalogue import architecture, mapping, usage
 
-    modules = (usage, mapping)
+    modules = (usage, mapping, architecture)
     return {name: query for module in modules for name, query in module.QUERIES.items()}

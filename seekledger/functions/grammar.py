@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seekledger.functions.bodies import ESCAPES
+from seekledger.functions.bodies import ESC, ESCAPES
 from seekledger.schemas import FIELD_CATEGORIES
 
 # --- Fixed values of the query language -----------------------------------------------------
@@ -143,6 +143,17 @@ _FIELD_PATHS = {
     ),
 }
 
+# A body without any of these strings has no field of the category: a byte search that spares most
+# rows the regular expression.
+_NEEDED = {
+    "queried": ("\x1fquery\x1f", "\x1fhighlight\x1f", "\x1fsuggest\x1f"),
+    "filtered": ("filter", "\x1fcollapse\x1f"),
+    "aggregated": ("\x1faggs\x1f", "\x1faggregations\x1f"),
+    "sorted": ("\x1fsort\x1f",),
+    "sourced": ("\x1f_source\x1f", "_fields\x1f"),
+    "written": ("w\x1f",),
+}
+
 _SCRIPT_PATHS = {
     "queried": _QUERIED_TREE + _SCORE_SCRIPT,
     "filtered": _FILTERED_TREE + _SCORE_SCRIPT,
@@ -185,7 +196,7 @@ def _unescape(text: Column) -> Column:
 
 def _names(found: Column, nodes: Column) -> Column:
     restored = F.transform(found, _unescape)
-    return F.when(F.contains(nodes, F.lit("\x1a")), restored).otherwise(found)
+    return F.when(F.contains(nodes, F.lit(ESC)), restored).otherwise(found)
 
 
 def _empty() -> Column:
@@ -201,8 +212,15 @@ def _script_names(nodes: Column, category: str) -> Column:
     return F.when(scripted, kept).otherwise(_empty())
 
 
-def field_set(nodes: Column, category: str) -> Column:
+def script_names(nodes: Column) -> Column:
+    """Fields named in scripts, per category. Kept as a column of its own, since both the field
+    sets and the language tag read it."""
+    return F.struct(*[_script_names(nodes, c).alias(c) for c in _SCRIPT_PATHS])
+
+
+def field_set(nodes: Column, scripts: Column, category: str) -> Column:
     """Sorted distinct field names of one category."""
+    possible = reduce(lambda a, b: a | b, [F.contains(nodes, F.lit(text)) for text in _NEEDED[category]])
     if category == "written":
         found = _names(_all(nodes, _WRITE + _FIELD), nodes)
     else:
@@ -212,17 +230,19 @@ def field_set(nodes: Column, category: str) -> Column:
             boosted = _names(_all(nodes, _SEARCH + tree + _MULTI_MATCH + _BOOSTED_FIELD), nodes)
             multi = F.contains(nodes, F.lit("multi_match"))
             found = F.concat(found, F.when(multi, boosted).otherwise(_empty()))
-        found = F.concat(found, _script_names(nodes, category))
-    return F.sort_array(F.array_distinct(found))
+    found = F.when(possible, found).otherwise(_empty())
+    if category in _SCRIPT_PATHS:
+        found = F.concat(found, scripts[category])
+    return F.when(F.size(found) > 1, F.sort_array(F.array_distinct(found))).otherwise(found)
 
 
-def field_sets(nodes: Column) -> Column:
-    return F.struct(*[field_set(nodes, c).alias(c) for c in FIELD_CATEGORIES])
+def field_sets(nodes: Column, scripts: Column) -> Column:
+    return F.struct(*[field_set(nodes, scripts, c).alias(c) for c in FIELD_CATEGORIES])
 
 
-def has_script_references(nodes: Column) -> Column:
+def has_script_references(scripts: Column) -> Column:
     """True if any script in the body names a user field."""
-    return reduce(lambda a, b: a | b, [F.size(_script_names(nodes, c)) > 0 for c in _SCRIPT_PATHS])
+    return reduce(lambda a, b: a | b, [F.size(scripts[c]) > 0 for c in _SCRIPT_PATHS])
 
 
 def all_fields(fields: Column) -> Column:

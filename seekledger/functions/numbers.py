@@ -63,7 +63,7 @@ def byte_label(n: Column) -> Column:
 
 def byte_count(text: Column) -> Column:
     """Bytes of a size such as '5gb' or '512 mb'; null if it cannot be read."""
-    pattern = F.lit(r"^(.*?)(tb|gb|mb|kb|t|g|m|k|b)?$")
+    pattern = r"^(.*?)(tb|gb|mb|kb|t|g|m|k|b)?$"
     low = F.lower(F.trim(text))
     amount = F.trim(F.regexp_extract(low, pattern, 1)).try_cast("double")
     units = F.create_map(*[F.lit(x) for pair in BYTE_UNITS.items() for x in pair])

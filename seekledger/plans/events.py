@@ -58,7 +58,9 @@ def build_usage_events(
     named = resolve_group(
         parsed.withColumn("index", F.coalesce(F.get("indices", F.lit(0)), F.lit(UNKNOWN_INDEX))), group_map
     )
-    extracted = named.withColumn("lookback", grammar.lookback(F.col("nodes")))
+    extracted = named.withColumns(
+        {"lookback": grammar.lookback(F.col("nodes")), "scripts": grammar.script_names(F.col("nodes"))}
+    )
     stored = F.col("body") != ""
     if not settings.store_bodies:
         stored = F.lit(False)
@@ -73,8 +75,8 @@ def build_usage_events(
         "operation": F.col("operation"),
         "http_method": F.col("method"),
         "path": F.col("path"),
-        "fields": grammar.field_sets(F.col("nodes")),
-        "language": F.when(grammar.has_script_references(F.col("nodes")), "dsl+painless").otherwise("dsl"),
+        "fields": grammar.field_sets(F.col("nodes"), F.col("scripts")),
+        "language": F.when(grammar.has_script_references(F.col("scripts")), "dsl+painless").otherwise("dsl"),
         "query_fingerprint": F.col("seen.fingerprint"),
         "query_template_hash": F.col("seen.template_hash"),
         "query_template_text": F.col("seen.template_text"),

@@ -11,9 +11,11 @@ from seekledger.operators.groups import build_group_map
 from seekledger.operators.tables import written_once
 from seekledger.plans.events import build_usage_events
 from seekledger.plans.mapping import field_usage, mapping_diff, mapping_recommendations, recent
+from seekledger.plans.architecture import index_profile, index_recommendations, usage_stats
+from seekledger.samples import cluster_tables as tables
 from seekledger.samples import request_log as log
 from seekledger.samples.mappings import mapping_table
-from seekledger.sources.cluster import mapping_fields
+from seekledger.sources.cluster import mapping_fields, mapping_info, segment_counts
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,3 +62,42 @@ def mapping_diff_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapping_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping_recommendations(mapping_diff_table(spark, sf_dir), as_of(spark, sf_dir))
+
+
+def tenant_group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(spark, f"tenant_groups {sf_dir}", lambda: tables.tenant_groups(spark, sf_dir))
+
+
+def tenant_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(spark, f"tenant_shards {sf_dir}", lambda: tables.cat_shards(spark, sf_dir))
+
+
+def tenant_usage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recent_events = recent(usage_events(spark, sf_dir), as_of(spark, sf_dir))
+    return usage_stats(tables.tenant_usage(recent_events))
+
+
+def tenant_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = tenant_group_map(spark, sf_dir)
+    return written_once(
+        spark,
+        f"tenant_profile {sf_dir}",
+        lambda: index_profile(
+            groups,
+            tables.cat_indices(spark, sf_dir),
+            tenant_shards(spark, sf_dir),
+            tables.settings(spark, sf_dir),
+            mapping_info(tables.tenant_mappings(spark, sf_dir), groups),
+            tenant_usage_stats(spark, sf_dir),
+            segment_counts(tables.segments(spark, sf_dir)),
+        ),
+    )
+
+
+def tenant_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        return index_recommendations(
+            tenant_profile(spark, sf_dir), tenant_shards(spark, sf_dir), as_of(spark, sf_dir)
+        )
+
+    return written_once(spark, f"tenant_findings {sf_dir}", build)

@@ -57,13 +57,15 @@ MAPPINGS = {
 }
 
 
+def mapping_texts() -> dict[str, str]:
+    """Mapping by family; the orders do not keep their source."""
+    roots = {family: {"properties": fields} for family, fields in MAPPINGS.items()}
+    roots["orders"]["_source"] = {"enabled": False}
+    return {family: json.dumps(root) for family, root in roots.items()}
+
+
 def mapping_table(indices: DataFrame) -> DataFrame:
     """index_name, mapping_json for every index of the log."""
-    texts = {
-        family: json.dumps({"properties": fields} if family != "orders" else
-                           {"_source": {"enabled": False}, "properties": fields})
-        for family, fields in MAPPINGS.items()
-    }
-    lookup = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+    lookup = F.create_map(*[F.lit(x) for pair in mapping_texts().items() for x in pair])
     family = F.split("index_name", "-")[0]
     return indices.select("index_name", F.element_at(lookup, family).alias("mapping_json"))
