@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def registered() -> dict:
-    from catalogue import architecture, mapping, usage
+    from catalogue import architecture, mapping, stress, usage
 
-    modules = (usage, mapping, architecture)
+    modules = (usage, mapping, architecture, stress)
     return {name: query for module in modules for name, query in module.QUERIES.items()}
