@@ -28,8 +28,8 @@ USAGE_CTES = f"""tev AS (SELECT 'tenant-' || lpad(cast({T.TENANT_OF_EVENT} + {_C
 sorts AS (SELECT g, f, uses, row_number() OVER (PARTITION BY g ORDER BY uses DESC, f) AS r FROM
   (SELECT g, f, count(*) AS uses FROM (SELECT g, unnest(sorted) AS f FROM tev) GROUP BY 1, 2)),
 usage AS (SELECT tev.g AS index_group,
-  CASE WHEN quantile_cont(lb, 0.5) <> 0 OR quantile_cont(lb, 0.95) <> 0 THEN quantile_cont(lb, 0.5) END AS lookback_p50_seconds,
-  CASE WHEN quantile_cont(lb, 0.5) <> 0 OR quantile_cont(lb, 0.95) <> 0 THEN quantile_cont(lb, 0.95) END AS lookback_p95_seconds,
+  CASE WHEN quantile_cont(lb, 0.5) <> 0 OR quantile_cont(lb, 0.95) <> 0 THEN round(quantile_cont(lb, 0.5), 4) END AS lookback_p50_seconds,
+  CASE WHEN quantile_cont(lb, 0.5) <> 0 OR quantile_cont(lb, 0.95) <> 0 THEN round(quantile_cont(lb, 0.95), 4) END AS lookback_p95_seconds,
   max(sorts.f) AS dominant_sort_field, max(sorts.uses) / count(*) FILTER (len(sorted) > 0) AS dominant_sort_pct,
   count(*) FILTER (operation IN ('search', 'async_search', 'count')) AS search_count,
   count(*) FILTER (operation IN ('bulk', 'index', 'update', 'delete')) AS write_count

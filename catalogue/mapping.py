@@ -21,7 +21,7 @@ EXPECTED = {
     ],
     "logs": [
         ("timestamp", _D, 1, 1), ("level", _K, 1, 1), ("service", _K, 1, 1), ("host", _K, 1, 1),
-        ("message", _T, 1, 0), ("status_code", _I, 1, 1), ("duration_ms", _F, 1, 1), ("trace_id", _K, 1, 1),
+        ("message", _T, 1, 0), ("status_code", _I, 1, 1), ("duration_ms", _F, 1, 1),
         ("user_agent", _K, 1, 1), ("internal_request_id", _K, 0, 1),
     ],
     "orders": [

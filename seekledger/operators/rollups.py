@@ -174,12 +174,13 @@ def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, percents: dict[str, float], accuracy: int | None = None
 ) -> DataFrame:
     """Interpolated percentiles per key from value counts: memory grows with the number of distinct
-    values of a key, not with its rows. ``accuracy`` switches to the bounded approximate form."""
+    values of a key, not with its rows. Interpolating values of two decimals gives at most four.
+    ``accuracy`` switches to the bounded approximate form."""
     if accuracy is not None:
         return df.groupBy(*keys).agg(
             *[F.percentile_approx(value, p, accuracy).alias(n) for n, p in percents.items()]
         )
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(_count().alias("_n"))
     return counts.groupBy(*keys).agg(
-        *[F.percentile(value, p, F.col("_n")).alias(n) for n, p in percents.items()]
+        *[F.round(F.percentile(value, p, F.col("_n")), 4).alias(n) for n, p in percents.items()]
     )

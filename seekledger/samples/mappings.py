@@ -39,7 +39,6 @@ MAPPINGS = {
         "message": _field("text"),
         "status_code": _field("integer"),
         "duration_ms": _field("float"),
-        "trace_id": _field("keyword"),
         "user_agent": _field("keyword"),
         "internal_request_id": _field("keyword", index=None),
     },
