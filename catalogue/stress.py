@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from catalogue.common import BUCKET_SQL, WIDTH, Query, stamp_sql
 from catalogue.events_sql import with_events
 from catalogue.usage import EVENT_COLUMNS, LISTS, terms_sql
-from seekledger.operators.tables import shared_folder
+from seekledger.operators.tables import new_place
 from seekledger.plans import stress as S
 from seekledger.plans.events import build_usage_events
 from seekledger.samples import catalog as C
@@ -50,11 +48,6 @@ def _series_sql(key: str, amount: str, name: str, rank: str) -> str:
     )
 
 
-def _place(spark, name: str) -> str:
-    """A new place for a stream's output, in the folder the session shares."""
-    return f"{shared_folder(spark)}/seekledger-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
-
-
 def _source_path(spark, sf_dir: str) -> str:
     return C.requests(spark, sf_dir).inputFiles()[0].rsplit("/", 1)[0]
 
@@ -62,7 +55,7 @@ def _source_path(spark, sf_dir: str) -> str:
 def _ingested(spark, sf_dir):
     """The request files as a stream, one file per micro-batch, read back from the sink."""
     requests = L.request_stream(spark, _source_path(spark, sf_dir), max_files=4)
-    sink = _place(spark, "stream_events")
+    sink = new_place(spark, "stream_events")
     query = L.start_ingest(requests, C.group_map(spark, sf_dir), sink, f"{sink}-checkpoint", interval=None)
     query.awaitTermination()
     events = spark.read.schema(USAGE_EVENTS).parquet(sink)
@@ -72,7 +65,7 @@ def _ingested(spark, sf_dir):
 def _counted(spark, sf_dir):
     requests = L.request_stream(spark, _source_path(spark, sf_dir))
     events = build_usage_events(requests, C.group_map(spark, sf_dir))
-    sink = _place(spark, "stream_counts")
+    sink = new_place(spark, "stream_counts")
     counts = L.counts_over_time(events, WIDTH, "index_group")
     query = (
         counts.writeStream.format("parquet").outputMode("append").option("path", sink)

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from catalogue.common import AVG_MS, SUM_MS, WIDTH, Query, stamp_sql
 from catalogue.events_sql import FIELDS, with_events
 from catalogue.mapping import DIFF_CTE, FIELDS_CTE, REFS_CTE, USAGE_CTE
-from catalogue.stress import _place
 from catalogue.usage import terms_sql
-from seekledger.operators.tables import append_events, replace_groups
+from seekledger.operators.tables import append_events, new_place, replace_groups
 from seekledger.plans import drift as J
 from seekledger.plans import mapping as M
 from seekledger.plans import usage as U
@@ -143,7 +142,7 @@ UNMAPPED = (
 
 
 def _sink(spark, sf_dir):
-    path = _place(spark, "event_sink")
+    path = new_place(spark, "event_sink")
     append_events(C.usage_events(spark, sf_dir), path)
     stored = spark.read.schema(USAGE_EVENTS).parquet(path)
     return stored.groupBy("event_date", "index_group").agg(F.count(F.lit(1)).alias("count"))

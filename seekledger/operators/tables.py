@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,25 +14,46 @@ _written: dict[tuple[str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can read, as the session names it; None if the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can read, as the session names it. A local session without one gets a
+    folder of its own; on a cluster there is none to assume."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="seekledger-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def written_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    safe = re.sub(r"\W+", "_", name).strip("_")
+    return f"{folder.rstrip('/')}/seekledger-{spark.sparkContext.applicationId}/{safe}-{uuid.uuid4().hex[:8]}"
+
+
+def written_once(
+    spark: SparkSession,
+    name: str,
+    build: Callable[[], DataFrame],
+    write: Callable[[DataFrame, str], None] | None = None,
+) -> DataFrame:
     """Read the table ``name``, writing it first if this application has not done so yet.
 
     Many rollups read the same usage events; parsing each body once and keeping the result in the
     shared folder cuts the lineage, survives lost executors and gives later scans column pruning.
     Without a shared folder the plan is computed in line.
     """
-    folder = shared_folder(spark)
-    if folder is None:
+    if shared_folder(spark) is None:
         return build()
     key = (spark.sparkContext.applicationId, name)
     if key not in _written:
-        safe = re.sub(r"\W+", "_", name).strip("_")
-        path = f"{folder.rstrip('/')}/seekledger-{key[0]}/{safe}-{uuid.uuid4().hex[:8]}"
-        build().write.parquet(path)
+        path = new_place(spark, name)
+        table = build()
+        if write is None:
+            table.write.parquet(path)
+        else:
+            write(table, path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 

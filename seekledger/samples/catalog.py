@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekledger.operators.groups import build_group_map
-from seekledger.operators.tables import written_once
+from seekledger.operators.tables import append_events, written_once
 from seekledger.plans.events import build_usage_events
 from seekledger.plans.mapping import field_usage, mapping_diff, mapping_recommendations, recent
 from seekledger.plans.architecture import index_profile, index_recommendations, usage_stats
@@ -35,6 +35,7 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         f"usage_events {sf_dir}",
         lambda: build_usage_events(requests(spark, sf_dir), group_map(spark, sf_dir)),
+        append_events,
     )
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from seekledger.operators import groups as G
 from seekledger.operators import tables as T
 from seekledger.plans import mapping as M
-from seekledger.schemas import ALIASES, DATA_STREAMS, FIELD_CATEGORIES, USAGE_EVENTS
+from seekledger.plans.refresh import refresh_architecture, refresh_mapping
+from seekledger.schemas import ALIASES, CAT_SHARDS, DATA_STREAMS, FIELD_CATEGORIES, USAGE_EVENTS
+from test_advice import HEALTHY, PROFILE_SCHEMA
 
 NAMES = "index_name string"
 
@@ -119,3 +121,31 @@ def test_usage_window_and_diff(spark):
     assert rows["d"].last_seen is None
     wide = M.field_usage(M.recent(events, now, lookback_hours=24 * 30))
     assert wide.filter(F.col("field_name") == "old").count() == 1
+
+
+def test_refresh_replaces_only_processed_groups(spark, tmp_path):
+    now, later = datetime(2026, 1, 10, 12), datetime(2026, 1, 11, 12)
+    events = _events(spark, [("g", 10, {"queried": ["a"]}), ("h", 10, {"written": ["b"]})])
+    schema = "index_name string, mapping_json string"
+    both = spark.createDataFrame(
+        [("g", '{"properties":{"a":{"type":"keyword"},"x":{"type":"long"}}}'), ("h", '{"properties":{"b":{"type":"keyword"}}}')], schema)
+    groups = spark.createDataFrame([("g", "g"), ("h", "h")], "index_name string, index_group string")
+    first = refresh_mapping(events, both, groups, now, str(tmp_path))
+    second = refresh_mapping(events, both.filter("index_name = 'g'"), groups, later, str(tmp_path), first)
+    diff = {(r.index_group, r.field_name): r.timestamp for r in spark.read.parquet(second["mapping_diff"]).collect()}
+    assert diff == {("g", "a"): later, ("g", "x"): later, ("h", "b"): now}
+    advice = {(r.index_group, r.recommendation) for r in spark.read.parquet(second["mapping_recommendations"]).collect()}
+    assert advice == {("g", "disable_doc_values"), ("g", "remove_field"), ("h", "disable_index")}
+
+
+def test_refresh_of_findings_clears_what_is_mended(spark, tmp_path):
+    shards = spark.createDataFrame([], CAT_SHARDS)
+    names = [c.split()[0] for c in PROFILE_SCHEMA.split(", ")][1:]
+
+    def profile(**changes):
+        return spark.createDataFrame([("g", *[{**HEALTHY, **changes}[n] for n in names])], PROFILE_SCHEMA)
+
+    first = refresh_architecture(profile(number_of_replicas=0), shards, datetime(2026, 1, 1), str(tmp_path))
+    assert spark.read.parquet(first["index_recommendations"]).count() == 1
+    second = refresh_architecture(profile(), shards, datetime(2026, 1, 2), str(tmp_path), first)
+    assert spark.read.parquet(second["index_recommendations"]).count() == 0
