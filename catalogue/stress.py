@@ -53,8 +53,8 @@ def _source_path(spark, sf_dir: str) -> str:
 
 
 def _ingested(spark, sf_dir):
-    """The request files as a stream, one file per micro-batch, read back from the sink."""
-    requests = L.request_stream(spark, _source_path(spark, sf_dir), max_files=4)
+    """The request files as a stream, read back from the sink."""
+    requests = L.request_stream(spark, _source_path(spark, sf_dir))
     sink = new_place(spark, "stream_events")
     query = L.start_ingest(requests, C.group_map(spark, sf_dir), sink, f"{sink}-checkpoint", interval=None)
     query.awaitTermination()

@@ -63,6 +63,21 @@ def _top_rows(df: DataFrame, partition: list[str], key: str, metric: str, size:
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size).drop("_rank")
 
 
+def _keep(cells: DataFrame, top: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of the chosen keys, of which there are no more than the sizes asked for. An inner join
+    on purpose: a semi join would be pushed below the aggregation, and the source scanned twice
+    instead of one exchange serving the ranking and the cells."""
+    return cells.join(F.broadcast(top.select(*keys)), keys)
+
+
+def _top_children(cells: DataFrame, parents: list[str], child: str, size: int) -> DataFrame:
+    """Best children per parent. Null children come last and are dropped after ranking, since an
+    earlier filter would sink below the aggregation and part the two uses of its exchange."""
+    order = Window.partitionBy(*parents).orderBy(F.isnull(child), F.desc("count"), F.asc(child))
+    ranked = cells.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter((F.col("_rank") <= size) & F.col(child).isNotNull()).drop("_rank")
+
+
 def nested_terms(
     df: DataFrame, keys: list[str], sizes: list[int], missing: dict[str, str] | None = None
 ) -> DataFrame:
@@ -72,20 +87,16 @@ def nested_terms(
     cells, and the ranking windows see one row per cell.
     """
     source = df.fillna(missing) if missing else df
-    cells = source.groupBy(*keys).agg(_count().alias("count"))
-    for level, (key, size) in enumerate(zip(keys, sizes)):
-        cells = cells.filter(F.col(key).isNotNull())
+    cells = source.filter(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(_count().alias("count"))
+    for level, size in enumerate(sizes[:-1]):
         prefix = keys[: level + 1]
-        if level == len(keys) - 1:
-            return _top_rows(cells, keys[:level], key, "count", size)
-        totals = cells.groupBy(*prefix).agg(F.sum("count").alias("_total"))
+        totals = cells.groupBy(*prefix).agg(F.sum("count").alias("count"))
         if level == 0:
-            top = totals.orderBy(F.desc("_total"), F.asc(key)).limit(size)
+            top = totals.orderBy(F.desc("count"), F.asc(keys[0])).limit(size)
         else:
-            top = _top_rows(totals, keys[:level], key, "_total", size)
-        # At most the product of the sizes so far.
-        cells = cells.join(F.broadcast(top.select(*prefix)), prefix, "left_semi")
-    return cells
+            top = _top_children(totals, keys[:level], keys[level], size)
+        cells = _keep(cells, top, prefix)
+    return _top_children(cells, keys[:-1], keys[-1], sizes[-1])
 
 
 def nested_terms_of_list(
@@ -95,13 +106,14 @@ def nested_terms_of_list(
     exploded = df.fillna({parent: missing}).select(
         parent, F.posexplode_outer(F.array_distinct(values)).alias("_at", child)
     )
-    cells = exploded.groupBy(parent, child).agg(
-        _count().alias("count"), F.count_if(F.coalesce("_at", F.lit(0)) == 0).alias("_rows")
+    # The first value of a row, or its empty list, stands for the row itself.
+    cells = exploded.groupBy(parent, child, (F.coalesce("_at", F.lit(0)) == 0).alias("_row")).agg(
+        _count().alias("count")
     )
-    totals = cells.groupBy(parent).agg(F.sum("_rows").alias("_total"))
-    top = totals.orderBy(F.desc("_total"), F.asc(parent)).limit(sizes[0]).select(parent)
-    chosen = cells.filter(F.col(child).isNotNull()).join(F.broadcast(top), parent, "left_semi")
-    return _top_rows(chosen.select(parent, child, "count"), [parent], child, "count", sizes[1])
+    totals = cells.groupBy(parent).agg(F.sum(F.when(F.col("_row"), F.col("count"))).alias("_total"))
+    top = totals.orderBy(F.desc("_total"), F.asc(parent)).limit(sizes[0])
+    chosen = _keep(cells, top, [parent]).groupBy(parent, child).agg(F.sum("count").alias("count"))
+    return _top_children(chosen, [parent], child, sizes[1])
 
 
 def _bucket(width: str, at: str) -> Column:
@@ -138,8 +150,8 @@ def series_over_time(
     if per_bucket:
         return _top_rows(cells, ["bucket"], key, name, size)
     totals = cells.groupBy(key).agg(F.sum(name).alias("_total"))
-    top = totals.orderBy(F.desc("_total"), F.asc(key)).limit(size).select(key)
-    return cells.join(F.broadcast(top), key, "left_semi")
+    top = totals.orderBy(F.desc("_total"), F.asc(key)).limit(size)
+    return _keep(cells, top, [key]).select("bucket", key, name)
 
 
 def distinct_per_key(

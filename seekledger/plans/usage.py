@@ -118,17 +118,14 @@ def field_cost(events: DataFrame, category: str, size: int = 20) -> DataFrame:
 
 
 def field_references(events: DataFrame, categories: Sequence[str] = FIELD_CATEGORIES) -> DataFrame:
-    """One row per (event, category, field): a single explode serves all categories."""
-    def tag(category: str) -> Column:
-        names = F.array_distinct(F.coalesce(f"fields.{category}", F.array().cast("array<string>")))
-        return F.transform(
-            names, lambda name: F.struct(F.lit(category).alias("category"), name.alias("field"))
-        )
-
-    tagged = F.flatten(F.array(*[tag(c) for c in categories]))
-    return events.withColumn("ref", F.explode(tagged)).withColumns(
-        {"category": F.col("ref.category"), "field": F.col("ref.field")}
-    ).drop("ref")
+    """One row per (event, category, field): one pass over the events serves all categories."""
+    lists = F.array(
+        *[F.struct(F.lit(c).alias("category"), F.array_distinct(f"fields.{c}").alias("names")) for c in categories]
+    )
+    tagged = events.withColumn("_list", F.explode(lists))
+    return tagged.withColumns(
+        {"category": F.col("_list.category"), "field": F.explode("_list.names")}
+    ).drop("_list")
 
 
 def field_heat_table(events: DataFrame, size: int = 20) -> DataFrame:

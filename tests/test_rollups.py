@@ -138,3 +138,21 @@ def test_percentiles_interpolate(frame, rows):
                                          (timedelta(minutes=15), "30 seconds"), (timedelta(days=4000), "30 days")])
 def test_automatic_bar_width(span, width):
     assert R.auto_width(START, START + span) == width
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_rankings_scan_their_source_once(spark, frame, tmp_path):
+    path = str(tmp_path / "rows")
+    frame.write.parquet(path)
+    stored = spark.read.parquet(path)
+    for df in (
+        R.nested_terms(stored, ["parent", "child"], [2, 2]),
+        R.nested_terms_of_list(stored, "parent", F.col("names"), "name", (2, 2), "-"),
+        R.series_over_time(stored, "1 hour", "parent", 2),
+    ):
+        plan = _final_plan(df)
+        assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
