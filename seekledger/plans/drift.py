@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekledger.functions.numbers import avg_ms, sum_ms
+from seekledger.functions.numbers import hundredths
 from seekledger.operators import rollups as R
 from seekledger.plans.usage import field_references
 
@@ -86,14 +86,30 @@ def type_conflicts(mapping_fields: DataFrame) -> DataFrame:
     return kinds.filter(F.size("types") > 1)
 
 
-def template_percentiles(events: DataFrame, size: int = 20, accuracy: int | None = None) -> DataFrame:
-    """Costliest templates with their 95th percentile; ``accuracy`` bounds its memory."""
-    metrics = {"total_ms": sum_ms(F.col("response_time_ms")), "count": F.count(F.lit(1)),
-               "avg_ms": avg_ms(F.col("response_time_ms"))}
-    top = R.terms(events, "query_template_hash", size, metrics)
-    chosen = events.join(F.broadcast(top.select("query_template_hash")), "query_template_hash", "left_semi")
-    p95 = R.exact_percentiles(chosen, ["query_template_hash"], "response_time_ms", {"p95_ms": 0.95}, accuracy)
-    return top.join(p95, "query_template_hash", "left")
+def template_percentiles(events: DataFrame, size: int = 20) -> DataFrame:
+    """Costliest templates with their 95th percentile, from one count per (template, time) pair."""
+    cells = (
+        events.filter(F.col("query_template_hash").isNotNull())
+        .groupBy("query_template_hash", hundredths(F.col("response_time_ms")).alias("_value"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    totals = cells.groupBy("query_template_hash").agg(
+        F.sum(F.col("_value") * F.col("_n")).alias("_total"),
+        F.sum("_n").alias("count"),
+        F.sum(F.when(F.col("_value").isNotNull(), F.col("_n"))).alias("_timed"),
+    )
+    top = totals.orderBy(F.desc("_total"), F.asc("query_template_hash")).limit(size)
+    # Only the values of the chosen templates are brought together, each once with its count.
+    p95 = R._keep(cells, top, ["query_template_hash"]).groupBy("query_template_hash").agg(
+        F.round(F.percentile("_value", 0.95, F.col("_n")) / 100.0, 4).alias("p95_ms")
+    )
+    return top.join(p95, "query_template_hash", "left").select(
+        "query_template_hash",
+        (F.col("_total") / 100.0).alias("total_ms"),
+        "count",
+        (F.col("_total") / 100.0 / F.col("_timed")).alias("avg_ms"),
+        "p95_ms",
+    )
 
 
 def mapping_history(old: DataFrame, new: DataFrame) -> DataFrame:
