@@ -49,13 +49,11 @@ PROFILE_CTES = f"""settings AS (SELECT index_group, {', '.join(f'{v} AS {k}' for
   (SELECT index_group, {', '.join(f'{v} AS x{i}' for i, v in enumerate(T.SETTINGS.values()))} FROM tenants
    WHERE "index" IN (SELECT max("index") FROM tenants GROUP BY index_group))),
 rollover AS (SELECT index_group, quantile_cont(gap, 0.5) AS estimated_rollover_hours FROM (SELECT index_group,
-  epoch_us(first) / 3.6e9 - epoch_us(lag(first) OVER w) / 3.6e9 AS gap0,
   (epoch_us(first) - epoch_us(lag(first) OVER w)) / 3.6e9::DOUBLE AS gap
   FROM tenants WHERE first IS NOT NULL WINDOW w AS (PARTITION BY index_group ORDER BY first)) WHERE gap > 0 GROUP BY 1),
-stats AS (SELECT index_group, string_agg("index", ',' ORDER BY "index") AS indices, count(*) AS index_count,
-  string_agg(strftime(first, '%Y-%m-%dT%H:%M:%S.') || '000Z', ',' ORDER BY first) AS creation_dates,
+stats AS (SELECT index_group, count(*) AS index_count,
   sum(CASE WHEN nk % 12 <> 6 THEN {T.SEGMENTS} ELSE 0 END) AS segs, min(nk) AS nk FROM tenants GROUP BY 1),
-profile AS (SELECT stats.index_group, indices, index_count, creation_dates, coalesce(primary_shard_count, 0) AS primary_shard_count,
+profile AS (SELECT stats.index_group, index_count, coalesce(primary_shard_count, 0) AS primary_shard_count,
   coalesce(total_primary_store_bytes, 0) AS total_primary_store_bytes, coalesce(avg_primary_shard_size_bytes, 0) AS avg_primary_shard_size_bytes,
   coalesce(max_docs_per_primary_shard, 0) AS max_docs_per_primary_shard, {', '.join('settings.' + k for k in _SETTING)},
   CASE WHEN nk % 2 = 0 THEN 16 ELSE 10 END AS field_count, nk % 2 = 0 AS source_enabled, estimated_rollover_hours,
@@ -66,7 +64,7 @@ profile AS (SELECT stats.index_group, indices, index_count, creation_dates, coal
   LEFT JOIN rollover USING (index_group) LEFT JOIN usage USING (index_group))"""
 
 PROFILE_COLUMNS = (
-    "index_group indices index_count creation_dates primary_shard_count total_primary_store_bytes "
+    "index_group index_count primary_shard_count total_primary_store_bytes "
     "avg_primary_shard_size_bytes max_docs_per_primary_shard number_of_replicas tier_preference index_codec blocks_write "
     "refresh_interval index_sort_field total_fields_limit translog_durability max_merged_segment field_count source_enabled "
     "estimated_rollover_hours lookback_p50_seconds lookback_p95_seconds dominant_sort_field dominant_sort_pct search_count "
@@ -191,6 +189,10 @@ QUERIES: dict[str, Query] = {
         .fillna(False, ["blocks_write"]),
         with_events("SELECT * FROM settings", *_PROFILE),
     ),
+    "h08_index_dates": Query(
+        lambda spark, sf_dir: A.index_dates(T.cat_indices(spark, sf_dir), C.tenant_group_map(spark, sf_dir)),
+        f"WITH {TENANT_CTES} SELECT index_group, \"index\", strftime(first, '%Y-%m-%dT%H:%M:%S.') || '000Z' AS creation_date FROM tenants",
+    ),
     "h08_index_profile": Query(
         lambda spark, sf_dir: C.tenant_profile(spark, sf_dir).select(*PROFILE_COLUMNS),
         with_events("SELECT " + ", ".join(PROFILE_COLUMNS) + " FROM profile", *_PROFILE),

@@ -48,13 +48,9 @@ def _series_sql(key: str, amount: str, name: str, rank: str) -> str:
     )
 
 
-def _source_path(spark, sf_dir: str) -> str:
-    return C.requests(spark, sf_dir).inputFiles()[0].rsplit("/", 1)[0]
-
-
 def _ingested(spark, sf_dir):
     """The request files as a stream, read back from the sink."""
-    requests = L.request_stream(spark, _source_path(spark, sf_dir))
+    requests = L.request_stream(spark, C.requests_path(spark, sf_dir))
     sink = new_place(spark, "stream_events")
     query = L.start_ingest(requests, C.group_map(spark, sf_dir), sink, f"{sink}-checkpoint", interval=None)
     query.awaitTermination()
@@ -63,7 +59,7 @@ def _ingested(spark, sf_dir):
 
 
 def _counted(spark, sf_dir):
-    requests = L.request_stream(spark, _source_path(spark, sf_dir))
+    requests = L.request_stream(spark, C.requests_path(spark, sf_dir))
     events = build_usage_events(requests, C.group_map(spark, sf_dir))
     sink = new_place(spark, "stream_counts")
     counts = L.counts_over_time(events, WIDTH, "index_group")

@@ -56,7 +56,7 @@ def body_mode(op: Column, method: Column) -> Column:
     )
 
 
-def is_skipped(op: Column, indices: Column) -> Column:
+def is_skipped(op: Column, path: Column) -> Column:
     """System operations and requests that touch any dot-prefixed index leave no event."""
-    hidden = F.coalesce(F.exists(indices, lambda name: F.startswith(name, F.lit("."))), F.lit(False))
+    hidden = ~_is_system(path) & F.regexp_like(_segments(path)[0], F.lit(r"(?:^|,) *\."))
     return op.isin(*SKIPPED_OPERATIONS) | hidden

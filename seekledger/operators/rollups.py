@@ -183,7 +183,12 @@ def shares(df: DataFrame, key: str, amount: Column, size: int, name: str, missin
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, percents: dict[str, float], accuracy: int | None = None
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    percents: dict[str, float],
+    accuracy: int | None = None,
+    digits: int | None = 4,
 ) -> DataFrame:
     """Interpolated percentiles per key from value counts: memory grows with the number of distinct
     values of a key, not with its rows. Interpolating values of two decimals gives at most four.
@@ -193,6 +198,7 @@ def exact_percentiles(
             *[F.percentile_approx(value, p, accuracy).alias(n) for n, p in percents.items()]
         )
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(_count().alias("_n"))
+    exact = {n: F.percentile(value, p, F.col("_n")) for n, p in percents.items()}
     return counts.groupBy(*keys).agg(
-        *[F.round(F.percentile(value, p, F.col("_n")), 4).alias(n) for n, p in percents.items()]
+        *[(p if digits is None else F.round(p, digits)).alias(n) for n, p in exact.items()]
     )

@@ -58,6 +58,11 @@ def written_once(
     return spark.read.parquet(_written[key])
 
 
+def written_path(spark: SparkSession, name: str) -> str:
+    """Where ``written_once`` put a table."""
+    return _written[(spark.sparkContext.applicationId, name)]
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append usage events, one folder per day. The rebalance gives files of even size: it splits
     a heavy day over several tasks and merges light ones."""

@@ -93,15 +93,28 @@ def shard_stats(cat_shards: DataFrame, group_map: DataFrame) -> DataFrame:
 
 
 def rollover_hours(cat_indices: DataFrame, group_map: DataFrame) -> DataFrame:
-    """Median positive gap between index creations per group, in hours."""
-    created = grouped_rows(cat_indices, group_map).select(
-        "index_group", F.col("`creation.date.string`").try_cast("timestamp").alias("created")
-    ).filter(F.col("created").isNotNull())
-    before = F.lag("created").over(Window.partitionBy("index_group").orderBy("created"))
-    gaps = created.withColumn("gap", (F.unix_micros("created") - F.unix_micros(before)) / 3.6e9)
-    return gaps.filter(F.col("gap") > 0).groupBy("index_group").agg(
-        F.percentile("gap", 0.5).alias("estimated_rollover_hours")
+    """Median positive gap between index creations per group, in hours.
+
+    The windows run inside one (group, day); the gap across days comes from the last creation of
+    the previous day that has any. So no task sees more of a large group than one of its days, or
+    its list of days. Equal times are merged first, as only positive gaps count.
+    """
+    day = ["index_group", "day"]
+    created = (
+        grouped_rows(cat_indices, group_map)
+        .select("index_group", F.unix_micros(F.col("`creation.date.string`").try_cast("timestamp")).alias("at"))
+        .filter(F.col("at").isNotNull())
+        .distinct()
+        .withColumn("day", F.expr("at div 86400000000"))
     )
+    ends = created.groupBy(*day).agg(F.max("at").alias("end")).select(
+        *day, F.lag("end").over(Window.partitionBy("index_group").orderBy("day")).alias("before_day")
+    )
+    before = F.lag("at").over(Window.partitionBy(*day).orderBy("at"))
+    gaps = created.withColumn("before", before).join(ends, day).select(
+        "index_group", ((F.col("at") - F.coalesce("before", "before_day")) / 3.6e9).alias("gap")
+    )
+    return R.exact_percentiles(gaps, ["index_group"], "gap", {"estimated_rollover_hours": 0.5}, digits=None)
 
 
 def representative_settings(settings: DataFrame, group_map: DataFrame) -> DataFrame:
@@ -134,19 +147,26 @@ def representative_settings(settings: DataFrame, group_map: DataFrame) -> DataFr
     )
 
 
-def index_stats(cat_indices: DataFrame, segments: DataFrame, group_map: DataFrame) -> DataFrame:
-    """Indices of each group, how many, and their primary segments."""
-    rows = grouped_rows(cat_indices, group_map).join(segments, "index", "left")
+def index_stats(cat_indices: DataFrame, segments: DataFrame | None, group_map: DataFrame) -> DataFrame:
+    """Number of indices of each group and their primary segments; unknown segments count as none."""
+    rows = grouped_rows(cat_indices, group_map)
+    if segments is None:
+        rows = rows.withColumn("primary_segments", F.lit(0))
+    else:
+        rows = rows.join(segments, "index", "left")
     return rows.groupBy("index_group").agg(
-        F.array_sort(F.collect_list("index")).alias("indices"),
         F.count(F.lit(1)).alias("index_count"),
-        F.array_sort(
-            F.collect_list(F.expr("nullif(`creation.date.string`, '')"))
-        ).alias("creation_dates"),
         F.sum(F.coalesce("primary_segments", F.lit(0))).alias("_segments"),
     )
 
 
+def index_dates(cat_indices: DataFrame, group_map: DataFrame) -> DataFrame:
+    """Indices of each group with their creation dates: one row per index, as groups may be large."""
+    return grouped_rows(cat_indices, group_map).select(
+        "index_group", "index", F.expr("nullif(`creation.date.string`, '')").alias("creation_date")
+    )
+
+
 def index_profile(
     group_map: DataFrame,
     cat_indices: DataFrame,
@@ -154,7 +174,7 @@ def index_profile(
     settings: DataFrame,
     mapping_info: DataFrame,
     usage: DataFrame,
-    segments: DataFrame,
+    segments: DataFrame | None = None,
 ) -> DataFrame:
     """One row per visible group that has indices."""
     zero = ("primary_shard_count", "avg_primary_shard_size_bytes", "total_primary_store_bytes",

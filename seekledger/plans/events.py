@@ -42,7 +42,7 @@ def route(requests: DataFrame) -> DataFrame:
         requests.withColumn("indices", paths.index_names(F.col("path")))
         .withColumn("operation", paths.operation(F.col("path"), F.col("method")))
         .withColumn("mode", paths.body_mode(F.col("operation"), F.col("method")))
-        .withColumn("skipped", paths.is_skipped(F.col("operation"), F.col("indices")))
+        .withColumn("skipped", paths.is_skipped(F.col("operation"), F.col("path")))
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekledger.operators.groups import build_group_map
-from seekledger.operators.tables import append_events, written_once
+from seekledger.operators.tables import append_events, written_once, written_path
 from seekledger.plans.events import build_usage_events
 from seekledger.plans.mapping import field_usage, mapping_diff, mapping_recommendations, recent
 from seekledger.plans.architecture import index_profile, index_recommendations, usage_stats
@@ -22,6 +22,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_once(spark, f"request_log {sf_dir}", lambda: log.request_log(spark, sf_dir))
 
 
+def requests_path(spark: SparkSession, sf_dir: str) -> str:
+    requests(spark, sf_dir)
+    return written_path(spark, f"request_log {sf_dir}")
+
+
 def group_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         indices = log.known_indices(requests(spark, sf_dir))
