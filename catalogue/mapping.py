@@ -6,6 +6,7 @@ from catalogue.common import Query, stamp_sql
 from catalogue.events_sql import FIELDS, with_events
 from catalogue.usage import nested_sql, terms_sql
 from seekledger.plans import mapping as M
+from seekledger.plans.texts import MAPPING_HOW, MAPPING_WHY
 from seekledger.samples import catalog as C
 from seekledger.sources import cluster
 
@@ -132,6 +133,25 @@ def _usage(spark, sf_dir):
     return M.field_usage(M.recent(C.usage_events(spark, sf_dir), C.as_of(spark, sf_dir)))
 
 
+def _text_sql(texts: dict[str, str]) -> str:
+    quoted = {code: text.replace("'", "''") for code, text in texts.items()}
+    return "CASE recommendation " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in quoted.items()) + " END"
+
+
+def _filled_sql(texts: dict[str, str]) -> str:
+    last = "position('.' IN reverse(field_name))"
+    values = {
+        "{field}": "field_name",
+        "{type}": "mapped_type",
+        "{parent}": f"left(field_name, length(field_name) - {last})",
+        "{sub}": f"right(field_name, {last} - 1)",
+    }
+    sql = _text_sql(texts)
+    for marker, value in values.items():
+        sql = f"replace({sql}, '{marker}', {value})"
+    return sql
+
+
 _USAGE_COLUMNS = (
     "index_group, field_name, "
     + ", ".join(f"count_{c}" for c in FIELDS)
@@ -207,6 +227,8 @@ QUERIES: dict[str, Query] = {
         lambda spark, sf_dir: C.mapping_advice(spark, sf_dir).select(
             "index_group", "field_name", "recommendation", "why", "how"
         ),
-        None,
+        _advice_sql(
+            f"SELECT index_group, field_name, recommendation, {_text_sql(MAPPING_WHY)} AS why, {_filled_sql(MAPPING_HOW)} AS how FROM advice"
+        ),
     ),
 }

@@ -7,10 +7,13 @@ sorted is one row per bucket. Ties go to the smaller key.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seekledger.operators.groups import BROADCAST_ROWS
+
 NO_CLIENT = "(no x-client-id)"
 MAX_BARS = 60
 # Bar widths an automatic time axis chooses from.
@@ -63,11 +66,11 @@ def _top_rows(df: DataFrame, partition: list[str], key: str, metric: str, size:
     return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size).drop("_rank")
 
 
-def _keep(cells: DataFrame, top: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of the chosen keys, of which there are no more than the sizes asked for. An inner join
-    on purpose: a semi join would be pushed below the aggregation, and the source scanned twice
+def _keep(cells: DataFrame, top: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Cells of the chosen keys, of which there are at most ``rows``. An inner join on purpose: a semi join would be pushed below the aggregation, and the source scanned twice
     instead of one exchange serving the ranking and the cells."""
-    return cells.join(F.broadcast(top.select(*keys)), keys)
+    chosen = top.select(*keys)
+    return cells.join(F.broadcast(chosen) if rows <= BROADCAST_ROWS else chosen, keys)
 
 
 def _top_children(cells: DataFrame, parents: list[str], child: str, size: int) -> DataFrame:
@@ -95,7 +98,7 @@ def nested_terms(
             top = totals.orderBy(F.desc("count"), F.asc(keys[0])).limit(size)
         else:
             top = _top_children(totals, keys[:level], keys[level], size)
-        cells = _keep(cells, top, prefix)
+        cells = _keep(cells, top, prefix, prod(sizes[: level + 1]))
     return _top_children(cells, keys[:-1], keys[-1], sizes[-1])
 
 
@@ -112,7 +115,7 @@ def nested_terms_of_list(
     )
     totals = cells.groupBy(parent).agg(F.sum(F.when(F.col("_row"), F.col("count"))).alias("_total"))
     top = totals.orderBy(F.desc("_total"), F.asc(parent)).limit(sizes[0])
-    chosen = _keep(cells, top, [parent]).groupBy(parent, child).agg(F.sum("count").alias("count"))
+    chosen = _keep(cells, top, [parent], sizes[0]).groupBy(parent, child).agg(F.sum("count").alias("count"))
     return _top_children(chosen, [parent], child, sizes[1])
 
 
@@ -151,7 +154,7 @@ def series_over_time(
         return _top_rows(cells, ["bucket"], key, name, size)
     totals = cells.groupBy(key).agg(F.sum(name).alias("_total"))
     top = totals.orderBy(F.desc("_total"), F.asc(key)).limit(size)
-    return _keep(cells, top, [key]).select("bucket", key, name)
+    return _keep(cells, top, [key], size).select("bucket", key, name)
 
 
 def distinct_per_key(

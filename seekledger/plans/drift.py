@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekledger.functions.grammar import all_fields
 from seekledger.functions.numbers import hundredths
 from seekledger.operators import rollups as R
 from seekledger.plans.usage import field_references
@@ -57,15 +58,14 @@ def unmapped_fields(usage: DataFrame, mapping_fields: DataFrame) -> DataFrame:
 
 def change_impact(events: DataFrame, changes: DataFrame) -> DataFrame:
     """For proposed changes (index_group, field_name): requests, clients and templates affected."""
-    refs = field_references(
-        events.select("request_id", "index_group", "client_id", "query_template_hash", "fields")
-    ).withColumnRenamed("field", "field_name")
-    # A field may sit in several categories of one request: count the request once.
-    hit = refs.join(changes, ["index_group", "field_name"], "left_semi").select(
-        "index_group", "field_name", "request_id", "client_id", "query_template_hash"
-    ).distinct()
-    grouped = hit.groupBy("index_group", "field_name", "client_id", "query_template_hash").agg(
-        F.count(F.lit(1)).alias("_n")
+    # The union of a request's field lists counts the request once per field, without a distinct.
+    refs = events.select(
+        "index_group", "client_id", "query_template_hash", F.explode(all_fields(F.col("fields"))).alias("field_name")
+    )
+    grouped = (
+        refs.join(changes, ["index_group", "field_name"], "left_semi")
+        .groupBy("index_group", "field_name", "client_id", "query_template_hash")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     totals = grouped.groupBy("index_group", "field_name").agg(
         F.sum("_n").alias("requests"),
@@ -100,7 +100,7 @@ def template_percentiles(events: DataFrame, size: int = 20) -> DataFrame:
     )
     top = totals.orderBy(F.desc("_total"), F.asc("query_template_hash")).limit(size)
     # Only the values of the chosen templates are brought together, each once with its count.
-    p95 = R._keep(cells, top, ["query_template_hash"]).groupBy("query_template_hash").agg(
+    p95 = R._keep(cells, top, ["query_template_hash"], size).groupBy("query_template_hash").agg(
         F.round(F.percentile("_value", 0.95, F.col("_n")) / 100.0, 4).alias("p95_ms")
     )
     return top.join(p95, "query_template_hash", "left").select(
