@@ -6,7 +6,7 @@ from catalogue.common import Query, stamp_sql
 from catalogue.events_sql import with_events
 from catalogue.usage import terms_sql
 from seekledger.plans import architecture as A
-from seekledger.plans.texts import INDEX_RULES
+from seekledger.plans.texts import IMPACT, INDEX_HOW, INDEX_RULES, INDEX_WHY
 from seekledger.samples import catalog as C
 from seekledger.samples import cluster_tables as T
 
@@ -129,6 +129,58 @@ RULE_SQL = {
 }
 
 
+# Values the advice texts may name.
+TEXT_SQL = {
+    "shards": "primary_shard_count",
+    "avg_size": _bytes(_AVG),
+    "replicas": "number_of_replicas",
+    "tier": _FIRST,
+    "reason": f"CASE WHEN blocks_write THEN 'read-only' ELSE {_FIRST} || ' tier' END",
+    "fields": "field_count",
+    "limit": "total_fields_limit",
+    "field_pct": "cast(floor(field_count / total_fields_limit * 100) as int)",
+    "rollover": _span(_RO),
+    "lookback": _span(_LB),
+    "indices_hit": f"printf('%.0f', {_LB} / {_RO})",
+    "sort_pct": "cast(floor(dominant_sort_pct * 100) as int)",
+    "sort_field": "dominant_sort_field",
+    "writes": "format('{:,}', write_count)",
+    "searches": "format('{:,}', search_count)",
+    "segments": "avg_segments_per_primary",
+    "docs": f"printf('%.0fM', {_DOCS} / 1e6)",
+    "impact": f"CASE WHEN {_DOCS} > 500000000 THEN '{IMPACT['docs_critical']}' ELSE '{IMPACT['docs_warning']}' END",
+    "shard_target": "greatest(primary_shard_count * 2, 2)",
+}
+NODE_TEXT_SQL = {
+    "node": "node",
+    "node_shards": "format('{:,}', n)",
+    "impact": f"CASE WHEN n > 1500 THEN '{IMPACT['node_critical']}' ELSE '{IMPACT['node_warning']}' END",
+}
+
+
+def _text_sql(template: str, values: dict[str, str]) -> str:
+    sql = "'" + template.replace("'", "''") + "'"
+    for name, value in values.items():
+        marker = "{" + name + "}"
+        if marker in template:
+            sql = f"replace({sql}, '{marker}', cast({value} as varchar))"
+    return sql
+
+
+def _texts_sql() -> str:
+    parts = [
+        f"SELECT index_group, '{code}' AS recommendation, {_text_sql(INDEX_WHY[code], TEXT_SQL)} AS why, "
+        f"{_text_sql(INDEX_HOW[code], TEXT_SQL)} AS how FROM profile WHERE {RULE_SQL[code][0]}"
+        for code in RULE_SQL
+    ]
+    node = "node_shard_count"
+    parts.append(
+        f"SELECT '_cluster', '{node}', {_text_sql(INDEX_WHY[node], NODE_TEXT_SQL)}, {_text_sql(INDEX_HOW[node], NODE_TEXT_SQL)} "
+        "FROM (SELECT node, count(*) AS n FROM shards WHERE state = 'STARTED' AND node IS NOT NULL GROUP BY 1) WHERE n > 1000"
+    )
+    return with_events(" UNION ALL ".join(parts), *_PROFILE)
+
+
 def _rule_sql(code: str) -> str:
     condition, critical, current = RULE_SQL[code]
     category, usual, breaking, page = INDEX_RULES[code]
@@ -203,7 +255,8 @@ QUERIES: dict[str, Query] = {
         f"WITH {TENANT_CTES} {_NODE_SQL}",
     ),
     "h24_index_advice_texts": Query(
-        lambda spark, sf_dir: C.tenant_findings(spark, sf_dir).select("index_group", "recommendation", "why", "how")
+        lambda spark, sf_dir: C.tenant_findings(spark, sf_dir).select("index_group", "recommendation", "why", "how"),
+        _texts_sql(),
     ),
     "h25_index_recommendations": Query(
         lambda spark, sf_dir: C.tenant_findings(spark, sf_dir).select("timestamp", *_FINDING.split(", ")),
