@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekledger.llm import mixing, quality_rules, topk_search, warc
+from seekledger.llm import mixing, quality_rules, substring_dedup, topk_search, warc
 from seekledger.llm.native import word_count
 from seekledger.llm.scratch import new_path, written
 
@@ -84,6 +84,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.repeats(docs, 35).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def with_quality(docs: DataFrame) -> DataFrame:
     """Size in words and the weight by which a document is drawn: its share of plain characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -106,5 +113,6 @@ QUERIES = {
     "op1_quality_rules": Query(op1_quality_rules),
     "op2_warc": Query(op2_warc, OP2_SQL),
     "op3_topk_search": Query(op3_topk_search, OP3_SQL),
+    "op4_substring_dedup": Query(op4_substring_dedup),
     "op6_mixing": Query(op6_mixing),
 }
