@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekledger.llm import mixing, quality_rules, substring_dedup, topk_search, warc
+from seekledger.llm import mixing, ngram_join, quality_rules, substring_dedup, topk_search, warc
 from seekledger.llm.native import word_count
 from seekledger.llm.scratch import new_path, written
 
@@ -91,6 +91,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90)
+
+
 def with_quality(docs: DataFrame) -> DataFrame:
     """Size in words and the weight by which a document is drawn: its share of plain characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -114,5 +118,6 @@ QUERIES = {
     "op2_warc": Query(op2_warc, OP2_SQL),
     "op3_topk_search": Query(op3_topk_search, OP3_SQL),
     "op4_substring_dedup": Query(op4_substring_dedup),
+    "op5_ngram_join": Query(op5_ngram_join),
     "op6_mixing": Query(op6_mixing),
 }
