@@ -17,7 +17,7 @@ U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
 _WORD_BASE = int(_RANDOM.integers(1, 1 << 62)) * 8 + 5
-_RUN_BASES = tuple(int(_RANDOM.integers(1, 1 << 62)) * 8 + 5 for _ in range(2))
+RUN_BASES = tuple(int(_RANDOM.integers(1, 1 << 62)) * 8 + 5 for _ in range(2))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,7 +45,7 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
-def _runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Hash of each values[start:end]."""
     up, down = _power(base, len(values))
     sums = np.empty(len(values) + 1, U)
@@ -91,7 +91,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     after = np.concatenate([inside[1:], [False]]) if n else inside
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    hashes = _runs(_BYTE[data], start, end, _WORD_BASE)
+    hashes = runs(_BYTE[data], start, end, _WORD_BASE)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return Words(doc, start, end, hashes, first)
@@ -104,7 +104,7 @@ def windows(w: Words, length: int, hash_number: int = 0, starts: np.ndarray | No
     if starts is None:
         starts = np.arange(max(0, n - length + 1))
         starts = starts[w.doc[starts] == w.doc[starts + length - 1]] if len(starts) else starts
-    return starts, _runs(w.hash, starts, starts + length, _RUN_BASES[hash_number])
+    return starts, runs(w.hash, starts, starts + length, RUN_BASES[hash_number])
 
 
 def spread(positions: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekledger.llm import mixing, ngram_join, quality_rules, substring_dedup, topk_search, warc
+from seekledger.llm import line_dedup, mixing, ngram_join, quality_rules, substring_dedup, topk_search, warc
 from seekledger.llm.native import word_count
 from seekledger.llm.scratch import new_path, written
 
@@ -108,6 +108,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double"), "taken")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 class Query(NamedTuple):
     run: object
     sql: str | None = None
@@ -120,4 +125,5 @@ QUERIES = {
     "op4_substring_dedup": Query(op4_substring_dedup),
     "op5_ngram_join": Query(op5_ngram_join),
     "op6_mixing": Query(op6_mixing),
+    "op9_line_dedup": Query(op9_line_dedup),
 }
