@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekledger.llm import line_dedup, mixing, ngram_join, quality_rules, substring_dedup, topk_search, warc
+from seekledger.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, topk_search, warc
 from seekledger.llm.native import word_count
 from seekledger.llm.scratch import new_path, written
 
@@ -113,6 +113,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+#: Vocabulary file of a public tokenizer; read on the driver only.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.round_trip(docs, sentencepiece_codec.Model.load(model_path))
+    return coded.select(
+        "doc_id", "n_ids", F.sha2("packed", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("text_sha256")
+    )
+
+
 class Query(NamedTuple):
     run: object
     sql: str | None = None
@@ -125,5 +137,6 @@ QUERIES = {
     "op4_substring_dedup": Query(op4_substring_dedup),
     "op5_ngram_join": Query(op5_ngram_join),
     "op6_mixing": Query(op6_mixing),
+    "op8_sentencepiece": Query(op8_sentencepiece),
     "op9_line_dedup": Query(op9_line_dedup),
 }
