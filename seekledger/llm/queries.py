@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekledger.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, topk_search, warc
+from seekledger.llm import language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, topk_search, warc
 from seekledger.llm.native import word_count
 from seekledger.llm.scratch import new_path, written
 
@@ -125,6 +125,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECES
     )
 
 
+#: Documents whose lines train the language model, at most about so many.
+LANGUAGE_DOCS = 6_000
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(language_id.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    lines = language_id.training_lines(docs.filter(~held_out), LANGUAGE_DOCS)
+    model = language_id.train(sorted((r.line, r.lang) for r in lines.collect()))
+    found = language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, carry=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 class Query(NamedTuple):
     run: object
     sql: str | None = None
@@ -139,4 +152,5 @@ QUERIES = {
     "op6_mixing": Query(op6_mixing),
     "op8_sentencepiece": Query(op8_sentencepiece),
     "op9_line_dedup": Query(op9_line_dedup),
+    "op10_language_id": Query(op10_language_id),
 }
