@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekledger.llm import language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, topk_search, warc
+from seekledger.llm import language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, topk_search, warc
 from seekledger.llm.native import word_count
 from seekledger.llm.scratch import new_path, written
 
@@ -125,6 +125,22 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = PIECES
     )
 
 
+#: Labelled documents that the classifier is fitted on, at most about so many.
+CLASSIFIER_ROWS = 12_000
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 3
+    held_out = F.coalesce(remainder == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").filter(F.col("quality").isin(0, 1) & (remainder != 1))
+    sample = quality_rules.bounded_sample(labels.select("doc_id", "quality"), CLASSIFIER_ROWS)
+    # the sample is bounded by its parameter, so it may be sent to every task
+    model = quality_classifier.train(docs.join(F.broadcast(sample), "doc_id"), CLASSIFIER_ROWS)
+    found = quality_classifier.score(docs.select("doc_id", "text", held_out.alias("held_out")), model, carry=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: Documents whose lines train the language model, at most about so many.
 LANGUAGE_DOCS = 6_000
 
@@ -150,6 +166,7 @@ QUERIES = {
     "op4_substring_dedup": Query(op4_substring_dedup),
     "op5_ngram_join": Query(op5_ngram_join),
     "op6_mixing": Query(op6_mixing),
+    "op7_quality_classifier": Query(op7_quality_classifier),
     "op8_sentencepiece": Query(op8_sentencepiece),
     "op9_line_dedup": Query(op9_line_dedup),
     "op10_language_id": Query(op10_language_id),
