@@ -42,8 +42,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
         k += 1
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        columns = [one(table.column(c).combine_chunks()) for c in ("doc_id", "text")]
-        return pa.record_batch([pa.array([place + k - 1], pa.int64()), *columns], names=["block", "ids", "texts"])
+        columns = [one(table.column(c).combine_chunks()) for c in table.column_names]
+        return pa.record_batch([pa.array([place + k - 1], pa.int64()), *columns], names=["block", "ids", "texts", "rests"][: len(columns) + 1])
 
     for batch in batches:
         lengths = np.diff(flat(batch.column("text"))[1])
@@ -62,13 +62,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def pack(docs: DataFrame, text: str = "text", name: str = "blocks") -> DataFrame:
-    """``block, ids, texts`` of all rows of ``docs``, bucketed by ``block``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    packed = rows.mapInArrow(_blocks, "block long, ids array<long>, texts array<binary>")
+def pack(docs: DataFrame, text: str = "text", name: str = "blocks", carry: bool = False) -> DataFrame:
+    """``block, ids, texts`` of all rows of ``docs``, bucketed by ``block``. With ``carry`` also
+    ``rests``: the other columns of each row as JSON, which ``unpacked`` turns back."""
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")]
+    schema = "block long, ids array<long>, texts array<binary>"
+    if carry:
+        columns.append(F.to_json(F.struct(*_others(docs, text)), {"ignoreNullFields": "false"}).alias("rest"))
+        schema += ", rests array<string>"
+    packed = docs.select(*columns).mapInArrow(_blocks, schema)
     return written_bucketed(packed, name, "block", partitions(docs.sparkSession))
 
 
+def _others(docs: DataFrame, text: str) -> list[str]:
+    return [f"`{c}`" for c in docs.columns if c != text]
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """``rows(rest, text)`` -> the columns of ``docs``."""
+    schema = docs.drop(text).schema
+    back = rows.select(F.from_json("rest", schema).alias("_r"), F.col(text).cast("string").alias("_t"))
+    return back.select(*(F.col("_t").alias(c) if c == text else F.col(f"_r.`{c}`") for c in docs.columns))
+
+
 class Keys(NamedTuple):
     """Distinct keys of a block in ascending order."""
 
@@ -179,7 +195,7 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             row = {}
             for name, column in zip(batch.schema.names, batch.columns):
                 value = column[i]
-                row[name] = value.values if name in ("ids", "texts") else value.as_py()
+                row[name] = value.values if name in ("ids", "texts", "rests") else value.as_py()
             yield row
 
 

@@ -194,9 +194,11 @@ def _parity(x: Lines, pick: np.ndarray) -> np.ndarray:
     return (odd.astype(U) << np.arange(64, dtype=U)).sum(1, dtype=U)
 
 
-def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 30, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def line_classes(
+    docs: DataFrame, edits: int = 2, min_chars: int = 30, text: str = "text", carry: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(blocks of ``docs``, removed lines ``block, pos, line, near``)."""
-    table = pack(docs, text)
+    table = pack(docs, text, carry=carry)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_block(batches):
@@ -284,10 +286,13 @@ def _links(members: DataFrame, edits: int) -> DataFrame:
     return written(links.unionByName(verified(rest)), "line_links")
 
 
-def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 30, text: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, edits: int = 2, min_chars: int = 30, text: str = "text", carry: bool = False
+) -> DataFrame:
     """One row per document: ``doc_id, n_lines`` (not blank), ``n_copies`` and ``n_near`` (lines
-    removed as equal and as near-equal), ``kept_text`` (the other lines, blank ones included)."""
-    table, removed = line_classes(docs, edits, min_chars, text)
+    removed as equal and as near-equal), ``kept_text`` (the other lines, blank ones included), and
+    with ``carry`` also ``rest`` (its other columns, for ``blocks.unpacked``)."""
+    table, removed = line_classes(docs, edits, min_chars, text, carry)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_block(batches):
@@ -303,12 +308,13 @@ def dedup_lines(docs: DataFrame, edits: int = 2, min_chars: int = 30, text: str
                 copies.append(len(mine) - near[-1])
                 body = body or b""
                 kept.append(b"\n".join(t for i, t in enumerate(body.split(b"\n")) if i not in mine) if mine else body)
-            yield pa.record_batch(
-                [row["ids"], pa.array(counts, pa.int64()), pa.array(copies, pa.int64()), pa.array(near, pa.int64()),
-                 pa.array(kept, pa.binary()), pa.array((row["block"] << ROW_BITS) | np.arange(len(kept)), pa.int64())],
-                names=["doc_id", "n_lines", "n_copies", "n_near", "kept_text", "uid"],
-            )
+            columns = [row["ids"], pa.array(counts, pa.int64()), pa.array(copies, pa.int64()),
+                       pa.array(near, pa.int64()), pa.array(kept, pa.binary())]
+            names = ["doc_id", "n_lines", "n_copies", "n_near", "kept_text"]
+            if carry:
+                columns, names = [*columns, row["rests"]], [*names, "rest"]
+            yield pa.record_batch(columns, names=names)
 
     return with_answer(table, removed, "block", "removed").mapInArrow(
-        finish, "doc_id long, n_lines long, n_copies long, n_near long, kept_text binary, uid long"
+        finish, "doc_id long, n_lines long, n_copies long, n_near long, kept_text binary" + ", rest string" * carry
     )

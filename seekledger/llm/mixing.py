@@ -79,13 +79,10 @@ def mix(
     """``docs`` (with ``doc_id``, ``source`` and the two named columns) + ``source_size``,
     ``target``, ``times`` (int) and ``taken`` = times x size. ``quality`` is a positive weight:
     the larger, the earlier a document is drawn."""
-    spark = docs.sparkSession
     key = exponential_key(F.col("doc_id"), F.greatest(F.col(quality), F.lit(1e-6)), seed)
-    keyed = docs.select(
-        "doc_id", F.col("source"), F.col(size).cast("long").alias("size"), key.alias("key")
-    ).filter(F.col("size") > 0)
+    keyed = docs.select("doc_id", "source", F.col(size).cast("long").alias("size"), key.alias("key"))
     keyed = written(keyed, "mix_keys")
-    sizes = docs.groupBy("source").agg(F.sum(F.col(size).cast("long")).alias("source_size"), F.count("*").alias("n"))
+    sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sizes = written(sizes, "mix_sizes")
     n_sources, n_rows = sizes.agg(F.count("*"), F.sum("n")).first()
     targets = written(source_targets(sizes.drop("n"), weights), "mix_targets")
@@ -96,7 +93,7 @@ def mix(
     plan = targets.select("source", "source_size", "target", epochs.alias("epochs"), rest.alias("rest"))
 
     bands = max(1, min(65_536, (n_rows or 0) // rows_per_band + 1))
-    banded = keyed.withColumn("band", _band(F.col("key"), 1.0, bands))
+    banded = keyed.filter("size > 0").withColumn("band", _band(F.col("key"), 1.0, bands))
     by_band = banded.groupBy("source", "band").agg(F.sum("size").alias("band_size"))
     running = F.sum("band_size").over(W.partitionBy("source").orderBy("band"))
     ends = by_band.withColumn("end", running)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekledger.llm.arrays import mix, windows, words
-from seekledger.llm.blocks import ROW_BITS, Keys, answered, distinct, each_block, pack, shared, with_answer
+from seekledger.llm.blocks import ROW_BITS, Keys, answered, distinct, each_block, pack, shared, unpacked, with_answer
 from seekledger.llm.components import components
 from seekledger.llm.scratch import written
 
@@ -263,7 +263,32 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     """One row per document: ``doc_id, n_shingles, component_id``. Documents link when 100 x shared
     >= percent x all of their distinct n-grams; the component is the smallest ``doc_id`` that links
     reach, the document's own included."""
-    table = pack(docs, text)
+    return _classes(pack(docs, text), n, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest ``doc_id``. The texts stay in
+    their blocks; only the places of the rows that go move."""
+    table = pack(docs, text, carry=True)
+    spare = _classes(table, n, percent).filter(~F.col("first"))
+    places = spare.select(
+        F.shiftright("uid", ROW_BITS).alias("block"), F.col("uid").bitwiseAND((1 << ROW_BITS) - 1).cast("int").alias("pos")
+    )
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_block(batches):
+            gone = np.zeros(len(row["ids"]), bool)
+            gone[[r["pos"] for r in row["gone"] or []]] = True
+            stay = pa.array(np.flatnonzero(~gone))
+            yield pa.record_batch([row["rests"].take(stay), row["texts"].take(stay)], names=["rest", text])
+
+    kept = with_answer(table, written(places, "spare"), "block", "gone").mapInArrow(finish, f"rest string, `{text}` binary")
+    return unpacked(kept, docs, text)
+
+
+def _classes(table: DataFrame, n: int, percent: int) -> DataFrame:
+    """``uid, doc_id, n_shingles, component_id, first`` of each document of the blocks ``table``;
+    ``first`` marks one row of each component."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_block(batches):
@@ -281,7 +306,9 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, text: str
         table.mapInArrow(describe, "doc_id long, uid long, n long, hash_a long, hash_b long"), "sets"
     )
     same = ["n", "hash_a", "hash_b"]
-    points = written(rows.filter("n > 0").groupBy(*same).agg(F.min("uid").alias("uid"), F.min("doc_id").alias("doc_id")), "points")
+    place = F.struct("doc_id", "uid")
+    points = rows.filter("n > 0").groupBy(*same).agg(F.min("uid").alias("uid"), F.min(place).alias("head"))
+    points = written(points, "points")
     wanted = points.select(F.shiftright("uid", ROW_BITS).alias("block"), F.col("uid").bitwiseAND((1 << ROW_BITS) - 1).alias("pos"))
     asked = with_answer(table, wanted, "block", "points")
 
@@ -320,10 +347,11 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, text: str
     comp = components(links)
     # documents -> points -> components; copies of a hot set meet their point in a skew-splittable join
     best = points.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    least = best.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = best.join(least, "comp").select(*same, "component_id")
+    least = best.groupBy("comp").agg(F.min("head").alias("least"))
+    named = best.join(least, "comp").select(*same, "least")
+    own = F.coalesce(F.col("least"), place)
     return rows.join(named, same, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "uid", "doc_id", F.col("n").alias("n_shingles"), own["doc_id"].alias("component_id"), (own == place).alias("first")
     )
 
 

@@ -98,7 +98,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_quality(docs: DataFrame) -> DataFrame:
     """Size in words and the weight by which a document is drawn: its share of plain characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.length(F.translate(text, "#*$%&|<>!?0123456789", ""))
+    plain = F.length(F.regexp_replace(text, r"[#*$%&|<>!?0-9]+", ""))
     return docs.select("*", word_count(F.col("text")).alias("size"), (plain / F.greatest(F.length(text), F.lit(1))).alias("quality"))
 
 

@@ -8,10 +8,14 @@ so nothing depends on the executor that made it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: dict[str, list[str]] = {}
+#: Paths and tables made so far, by (application, scope).
+_made: dict[tuple[str, str], list[tuple[str, str | None]]] = {}
+_scope = ""
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,10 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, table: str | None = None) -> str:
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/llm-{app}/{name}-{uuid.uuid4().hex[:12]}"
-    _made.setdefault(app, []).append(path)
+    _made.setdefault((app, _scope), []).append((path, table))
     return path
 
 
@@ -39,19 +43,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def written_bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """The same, bucketed by ``column``: later joins on it move only the other side."""
     spark = df.sparkSession
-    path = new_path(spark, name)
     table = f"llm_{name}_{uuid.uuid4().hex[:12]}"
+    path = new_path(spark, name, table)
     writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
     writer.bucketBy(buckets, column).saveAsTable(table)
     return spark.table(table)
 
 
-def release(spark: SparkSession) -> None:
-    """Remove what this application has put into the shared folder. Call it only when every result
-    derived from those tables has itself been written."""
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """What is made inside belongs to ``name``, for ``release``."""
+    global _scope
+    before, _scope = _scope, name
+    try:
+        yield
+    finally:
+        _scope = before
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Remove what this application has made in a scope. Call it only when every result derived from
+    those tables has itself been written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made.pop(spark.sparkContext.applicationId, []):
+    for path, table in _made.pop((spark.sparkContext.applicationId, name), []):
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
 
