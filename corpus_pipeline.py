@@ -35,7 +35,8 @@ def _stage(f: Stage) -> Stage:
 
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    statistics = scratch.written(quality_rules.text_statistics(docs.withColumn("_row", F.struct(*docs.columns)), keys=("doc_id", "_row")), "statistics")
+    rows = docs.withColumn("_row", F.struct(*docs.columns))
+    statistics = scratch.written(quality_rules.text_statistics(rows, keys=("doc_id", "_row")), "statistics")
     rules = learned_rules(spark, sf_dir, statistics.drop("_row"))
     return statistics.filter(~quality_rules.base_failed() & rules.keep()).select("_row.*")
 
@@ -56,16 +57,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mixing.mix(with_quality(docs)).filter("times > 0")
-    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return copies.select(*docs.columns)
+    sized = with_quality(docs, "_size", "_quality")
+    taken = mixing.mix(sized.withColumn("_row", F.struct(*docs.columns)), "_size", "_quality").filter("times > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("_row.*")
 
 
 @_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.Model.load(PIECES)
     coded = sentencepiece_codec.encode(docs, model).withColumn("_ids", F.col("ids"))
-    return sentencepiece_codec.decode(coded, model, ids="_ids").select(*docs.columns, "ids")
+    columns = [c for c in docs.columns if c != "ids"]
+    return sentencepiece_codec.decode(coded, model, ids="_ids").select(*columns, "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -62,13 +62,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
+_JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def pack(docs: DataFrame, text: str = "text", name: str = "blocks", carry: bool = False) -> DataFrame:
     """``block, ids, texts`` of all rows of ``docs``, bucketed by ``block``. With ``carry`` also
     ``rests``: the other columns of each row as JSON, which ``unpacked`` turns back."""
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")]
     schema = "block long, ids array<long>, texts array<binary>"
     if carry:
-        columns.append(F.to_json(F.struct(*_others(docs, text)), {"ignoreNullFields": "false"}).alias("rest"))
+        columns.append(F.to_json(F.struct(*_others(docs, text)), _JSON).alias("rest"))
         schema += ", rests array<string>"
     packed = docs.select(*columns).mapInArrow(_blocks, schema)
     return written_bucketed(packed, name, "block", partitions(docs.sparkSession))
@@ -81,7 +84,7 @@ def _others(docs: DataFrame, text: str) -> list[str]:
 def unpacked(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """``rows(rest, text)`` -> the columns of ``docs``."""
     schema = docs.drop(text).schema
-    back = rows.select(F.from_json("rest", schema).alias("_r"), F.col(text).cast("string").alias("_t"))
+    back = rows.select(F.from_json("rest", schema, _JSON).alias("_r"), F.col(text).cast("string").alias("_t"))
     return back.select(*(F.col("_t").alias(c) if c == text else F.col(f"_r.`{c}`") for c in docs.columns))
 
 

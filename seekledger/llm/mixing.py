@@ -54,7 +54,7 @@ def source_targets(
     )
     limit = F.col("source_size") * max_epochs
     total, all_weight = sources.agg(F.sum("source_size"), F.sum("weight")).first()
-    level = float(total) / all_weight if all_weight else 0.0
+    level = float(total or 0) / all_weight if all_weight else 0.0
     capped = -1
     while True:
         full = limit <= F.col("weight") * level
@@ -129,19 +129,22 @@ def mix(
     )
     plan = written(
         plan.alias("p").join(cut.alias("c"), F.expr("p.source <=> c.source"), "left").select(
-            F.col("p.source").alias("_source"), "source_size", "target", "epochs", "rest",
-            F.col("c.cut").alias("cut"), F.col("c.least").alias("least"),
+            F.struct("p.*", F.col("c.cut").alias("cut"), F.col("c.least").alias("least")).alias("_mix")
         ),
         "mix_plan",
     )
+    docs = docs.drop(*(c for c in ("source_size", "target", "times", "taken", "_mix") if c in docs.columns))
+    joined = docs.join(near(plan), docs["source"].eqNullSafe(plan["_mix"]["source"]))
     mine = F.struct(key.alias("key"), F.col("doc_id").alias("doc_id"))
     # without a cut, all documents before the band of the cut are taken, the band's own are not
-    drawn = F.when(F.col("least").isNull(), F.lit(False)).when(
-        F.col("cut").isNotNull(), mine <= F.col("cut")
-    ).otherwise(mine < F.col("least"))
-    times = F.when(F.col(size) > 0, F.col("epochs") + drawn.cast("int")).otherwise(0)
-    joined = docs.join(near(plan), docs["source"].eqNullSafe(plan["_source"]))
-    out = joined.withColumn("times", times.cast("int"))
-    return out.withColumn("taken", (F.col("times") * F.col(size)).cast("long")).drop(
-        "_source", "epochs", "rest", "cut", "least"
+    drawn = F.when(F.col("_mix.least").isNull(), F.lit(False)).when(
+        F.col("_mix.cut").isNotNull(), mine <= F.col("_mix.cut")
+    ).otherwise(mine < F.col("_mix.least"))
+    times = F.when(F.col(size) > 0, F.col("_mix.epochs") + drawn.cast("int")).otherwise(0)
+    return joined.select(
+        *docs.columns,
+        F.col("_mix.source_size").alias("source_size"),
+        F.col("_mix.target").alias("target"),
+        times.cast("int").alias("times"),
+        (times * F.col(size)).cast("long").alias("taken"),
     )

@@ -95,11 +95,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 90)
 
 
-def with_quality(docs: DataFrame) -> DataFrame:
-    """Size in words and the weight by which a document is drawn: its share of plain characters."""
+def with_quality(docs: DataFrame, size: str = "size", quality: str = "quality") -> DataFrame:
+    """+ size in words and the weight by which a document is drawn: its share of plain characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = F.length(F.regexp_replace(text, r"[#*$%&|<>!?0-9]+", ""))
-    return docs.select("*", word_count(F.col("text")).alias("size"), (plain / F.greatest(F.length(text), F.lit(1))).alias("quality"))
+    share = plain / F.greatest(F.length(text), F.lit(1))
+    return docs.select("*", word_count(F.col("text")).alias(size), share.alias(quality))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

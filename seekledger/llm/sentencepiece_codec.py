@@ -311,4 +311,5 @@ def round_trip(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                  pa.array([codec.decode(x) for x in ids], pa.string())],
             )
 
+    docs = docs.drop("n_ids", "packed", "decoded")
     return docs.mapInArrow(run, ", ".join([*_ddl(docs, (text,)), "n_ids long", "packed binary", "decoded string"]))
