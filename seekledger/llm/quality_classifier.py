@@ -241,9 +241,8 @@ def train(labelled: DataFrame, max_rows: int = 12_000, text: str = "text", label
     kind = labelled.schema["doc_id"].dataType.simpleString()
     found = few.mapInArrow(vectors, f"doc_id {kind}, label int, vector binary").collect()
     found.sort(key=lambda r: (str(r.doc_id), r.label, bytes(r.vector)))
-    x = np.array([np.frombuffer(r.vector, np.float32) for r in found], np.float64).reshape(len(found), -1)
-    if not len(found):
-        x = np.zeros((0, 2 * DIMENSIONS + MEASURES))
+    vectors_ = [np.frombuffer(r.vector, np.float32) for r in found]
+    x = np.array(vectors_, np.float64).reshape(len(found), 2 * DIMENSIONS + MEASURES)
     return Model(table, fit_network(x, np.array([r.label for r in found], float)))
 
 
