@@ -45,13 +45,21 @@ def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+class Runs:
+    """Hashes of values[start:end]; the prefix sums are made once."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        up, self._down = _power(base, len(values))
+        self._sums = np.empty(len(values) + 1, U)
+        self._sums[0] = 0
+        np.cumsum(values * up[: len(values)], out=self._sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
+
+
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of each values[start:end]."""
-    up, down = _power(base, len(values))
-    sums = np.empty(len(values) + 1, U)
-    sums[0] = 0
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    return Runs(values, base)(starts, ends)
 
 
 class Words(NamedTuple):

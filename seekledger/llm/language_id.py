@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekledger.llm.arrays import RUN_BASES, mix, runs
+from seekledger.llm.arrays import RUN_BASES, Runs, mix, runs
 
 U = np.uint64
 UNDETERMINED = "und"
@@ -76,20 +76,20 @@ def read_words(texts: list[str | None]) -> Words:
 
 def features(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, hashed feature) of the words code[start:end]."""
-    values = mix(code.astype(U), 21)
+    run = Runs(mix(code.astype(U), 21), RUN_BASES[0])
     size = end - start
-    words, hashed = [np.arange(len(start))], [mix(runs(values, start, end, RUN_BASES[0]), 31)]
+    words, hashed = [np.arange(len(start))], [mix(run(start, end), 31)]
     for n in (1, 2, 3):
         long = np.flatnonzero(size >= n)
         words += [long, long]
-        hashed.append(mix(runs(values, start[long], start[long] + n, RUN_BASES[0]), 40 + n))
-        hashed.append(mix(runs(values, end[long] - n, end[long], RUN_BASES[0]), 50 + n))
+        hashed.append(mix(run(start[long], start[long] + n), 40 + n))
+        hashed.append(mix(run(end[long] - n, end[long]), 50 + n))
     for n in (2, 3):
         count = np.maximum(size - n + 1, 0)
         word = np.repeat(np.arange(len(start)), count)
         at = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count) + start[word]
         words.append(word)
-        hashed.append(mix(runs(values, at, at + n, RUN_BASES[0]), 60 + n))
+        hashed.append(mix(run(at, at + n), 60 + n))
     return np.concatenate(words), (np.concatenate(hashed) >> U(64 - FEATURE_BITS)).astype(np.int64)
 
 

@@ -11,7 +11,8 @@ the index for its own and the ``edits`` next lower lengths with the substrings t
 
 Similar lines form classes (connected components); of each class the first line stays. As in the n-gram
 join, each line is first verified against the least of its key, and only keys that still hold several
-classes list pairs, those whose letter parities differ in at most 2 x edits places.
+classes list pairs: those whose sketches (parities of letters and of pairs of letters) differ in no more
+places than the edits can turn over.
 
 Cases: null and empty texts have no lines and stay as they are (null gives empty kept text); rows that
 repeat a ``doc_id`` are separate documents; shorter lines take part by equality only; a text all of
@@ -25,17 +26,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekledger.llm.arrays import RUN_BASES, flat, mix, runs
+from seekledger.llm.arrays import RUN_BASES, Runs, flat, mix, runs
 from seekledger.llm.blocks import ROW_BITS, Keys, answered, distinct, each_block, pack, shared, with_answer
 from seekledger.llm.components import components
 from seekledger.llm.scratch import written
 
 U = np.uint64
 _KEY_BITS = 44
-_SPACE_CODES = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
 
 
 class Lines(NamedTuple):
@@ -65,7 +65,8 @@ def lines(texts: pa.Array) -> Lines:
     doc = np.searchsorted(offsets, start, side="right") - 1
     fed = np.concatenate([[0], np.cumsum(code == 10)])
     number = fed[start] - fed[offsets[doc]]
-    full = np.concatenate([[0], np.cumsum(~np.isin(code, _SPACE_CODES))])
+    blank = (code == 0x20) | ((code >= 0x09) & (code <= 0x0D))
+    full = np.concatenate([[0], np.cumsum(~blank)])
     solid = np.flatnonzero(np.diff(full))
     some = full[end] > full[start]
     start, end, doc, number = start[some], end[some], doc[some], number[some]
@@ -95,7 +96,7 @@ def _segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.nda
 
 def _segment_keys(x: Lines, pick: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, key, is index) of the lines ``pick``."""
-    values = mix(x.code.astype(U), 12)
+    hashed = Runs(mix(x.code.astype(U), 12), RUN_BASES[0])
     start, size = x.start[pick], x.end[pick] - x.start[pick]
     owners, keys, index = [], [], []
     for shorter in range(edits + 1):
@@ -108,7 +109,7 @@ def _segment_keys(x: Lines, pick: np.ndarray, edits: int) -> tuple[np.ndarray, n
                 own = shorter == 0 and move == 0
                 begin = at + move
                 ok = (begin >= 0) & (begin + n <= size) & (n > 0)
-                h = runs(values, (start + begin)[ok], (start + begin + n)[ok], RUN_BASES[0])
+                h = hashed((start + begin)[ok], (start + begin + n)[ok])
                 salt = mix((length[ok].astype(U) << U(8)) | U(i), 13)
                 owners.append(pick[ok])
                 keys.append(mix(h ^ salt, 14) >> U(64 - _KEY_BITS))
@@ -184,14 +185,32 @@ def _verify(edits: int):
     return run
 
 
-def _parity(x: Lines, pick: np.ndarray) -> np.ndarray:
-    """A bit per letter class of a line: whether it occurs an odd number of times."""
+#: Words of a sketch: one for letters, the others for pairs of letters.
+_SKETCH = 5
+
+
+def _sketches(x: Lines, pick: np.ndarray) -> np.ndarray:
+    """Parities of letters (by 64 classes) and of neighbouring pairs of letters (by 256 classes). An
+    edit turns over at most 2 bits of the first word and 4 of the others."""
     size = x.end[pick] - x.start[pick]
     line = np.repeat(np.arange(len(pick)), size)
     at = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(x.start[pick], size)
-    bit = (mix(x.code[at].astype(U), 15) >> U(58)).astype(np.int64)
-    odd = np.bincount(line * 64 + bit, minlength=64 * len(pick)).reshape(-1, 64) & 1
-    return (odd.astype(U) << np.arange(64, dtype=U)).sum(1, dtype=U)
+    code = x.code[at].astype(U)
+    inner = np.flatnonzero(line[1:] == line[:-1])
+    pairs = mix(code[inner] * U(0x9E3779B97F4A7C15) + code[inner + 1], 16)
+    bits = np.concatenate([mix(code, 15) >> U(58), U(64) + (pairs >> U(56))]).astype(np.int64)
+    place = np.concatenate([line, line[inner]]) * (64 * _SKETCH) + bits
+    odd = np.bincount(place, minlength=64 * _SKETCH * len(pick)).reshape(-1, _SKETCH, 64) & 1
+    return (odd.astype(U) << np.arange(64, dtype=U)).sum(2, dtype=U)
+
+
+def _sketch_names() -> list[str]:
+    return [f"s{k}" for k in range(_SKETCH)]
+
+
+def _close(p: str, q: str, edits: int) -> Column:
+    turned = [F.bit_count(F.col(f"{p}s{k}").bitwiseXOR(F.col(f"{q}s{k}"))) for k in range(_SKETCH)]
+    return (turned[0] <= 2 * edits) & (sum(turned[1:], F.lit(0)) <= 4 * edits)
 
 
 def line_classes(
@@ -243,14 +262,16 @@ def line_classes(
             yield pa.record_batch(
                 [pa.array(ids.view(np.int64)), row["ids"].take(pa.array(x.doc[some])),
                  pa.array((row["block"] << ROW_BITS) | x.doc[some], pa.int64()), pa.array(x.number[some], pa.int32()),
-                 pa.array(_parity(x, some).view(np.int64)), pa.array(bodies, pa.string()),
+                 *(pa.array(s.view(np.int64)) for s in np.ascontiguousarray(_sketches(x, some).T)), pa.array(bodies, pa.string()),
                  pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)), pa.int32()), pa.array(key, pa.int64()))],
-                names=["id", "doc_id", "uid", "line", "parity", "text", "keys"],
+                names=["id", "doc_id", "uid", "line", *_sketch_names(), "text", "keys"],
             )
 
     met = shared(known, keys_of, _KEY_BITS, "met")
     members = written(
-        met.mapInArrow(emit, "id long, doc_id long, uid long, line int, parity long, text string, keys array<long>"),
+        met.mapInArrow(
+            emit, f"id long, doc_id long, uid long, line int, {' long, '.join(_sketch_names())} long, text string, keys array<long>"
+        ),
         "line_members",
     )
     comp = components(_links(members, edits))
@@ -263,7 +284,8 @@ def line_classes(
 
 
 def _links(members: DataFrame, edits: int) -> DataFrame:
-    tiles = written(members.select("id", "parity", F.explode("keys").alias("key")), "line_tiles")
+    sketch = _sketch_names()
+    tiles = written(members.select("id", *sketch, F.explode("keys").alias("key")), "line_tiles")
     texts = members.select("id", "text")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -271,9 +293,8 @@ def _links(members: DataFrame, edits: int) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return written(both.mapInArrow(_verify(edits), "a long, b long, ok boolean").filter("ok").select("a", "b"), "line_links")
 
-    close = lambda p, q: F.bit_count(p.bitwiseXOR(q)) <= 2 * edits
-    least = tiles.groupBy("key").agg(F.min(F.struct("id", "parity")).alias("m"), F.count("*").alias("c")).filter("c > 1")
-    seeds = tiles.join(least, "key").filter((F.col("id") != F.col("m.id")) & close(F.col("parity"), F.col("m.parity")))
+    least = tiles.groupBy("key").agg(F.min(F.struct("id", *sketch)).alias("m"), F.count("*").alias("c")).filter("c > 1")
+    seeds = tiles.join(least, "key").filter((F.col("id") != F.col("m.id")) & _close("", "m.", edits))
     links = verified(seeds.select(F.col("m.id").alias("a"), F.col("id").alias("b")).distinct())
     comp = components(links)
     placed = tiles.join(comp.withColumnRenamed("uid", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -281,7 +302,7 @@ def _links(members: DataFrame, edits: int) -> DataFrame:
     open_ = written(placed.join(mixed.select("key"), "key", "left_semi"), "open_lines")
     p, q = open_.alias("p"), open_.alias("q")
     met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.comp") != F.col("q.comp"))
-                 & close(F.col("p.parity"), F.col("q.parity")))
+                 & _close("p.", "q.", edits))
     rest = met.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
     return written(links.unionByName(verified(rest)), "line_links")
 
