@@ -6,10 +6,11 @@ p (a + b) / (100 + p) tokens, and never more than the sum over groups of the sma
 or a pair of tree nodes whose summed minima fall short holds no link.
 
 The space is first cut into tiles so that trees stay small. With d the largest symmetric difference
-that a linked pair of these sizes can have, the groups are dealt to d + 1 segments; a linked pair
-agrees in all of at least one segment, so a tile is (size class, segment, contents of the segment),
-and a document lies in the tiles of its own size class and the next lower one. Tiles with one document
-are found by ``blocks.shared`` and never leave their block. Each other tile gets an R-tree, packed
+that a linked pair of these sizes can have, the groups are dealt to m > d segments; a linked pair
+agrees in all of at least m - d segments, so a tile is (size class, segment, contents of the segment),
+and a document lies in the tiles of its own size class and the next lower one. m is so chosen that few
+documents have m - d empty segments; the others meet in a segment that is not empty and leave out their
+empty ones. Tiles with one document are found by ``blocks.shared`` and never leave their block. Each other tile gets an R-tree, packed
 along the points' order, and is joined with itself from the roots down.
 
 Links are needed only between components, so groups of any size need no list of their pairs: equal
@@ -25,6 +26,7 @@ the smallest ``doc_id``; extra columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,7 +76,19 @@ class SizeClasses:
             bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // percent + 1))
         self.bounds = np.array(bounds)
         top = self.bounds[1:] - 1  # the largest size of each class
-        self.segments = np.append(top * (100 - percent) // percent, 0) + 1
+        self.differences = np.append(top * (100 - percent) // percent, 0)
+        self.segments = np.array([self._segments(int(d), int(n)) for d, n in zip(self.differences, self.bounds)])
+
+    @staticmethod
+    def _segments(d: int, n: int) -> int:
+        """Segments for sets of n tokens that differ in d at most: the fewest that exceed d by more
+        than the empty ones to be expected, with room."""
+        if d == 0:
+            return 1
+        for m in range(d + 1, max(n, d + 1) + 1):
+            if m - d >= 3 + 1.5 * m * math.exp(-n / m):
+                return m
+        return d + 1
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, sizes, side="right") - 1
@@ -95,6 +109,7 @@ def _tile_keys(token: np.ndarray, first: np.ndarray, rows: np.ndarray, percent:
     for lower in (0, 1):
         cls = classes.of(sizes) - lower
         segments = np.where(cls >= 0, classes.segments[np.maximum(cls, 0)], 0)
+        spare = segments - np.where(cls >= 0, classes.differences[np.maximum(cls, 0)], 0)
         segments[segments == 1] = 0  # no difference allowed: equal sets, one point already
         base = np.cumsum(segments) - segments
         on = segments[index] > 0
@@ -103,9 +118,13 @@ def _tile_keys(token: np.ndarray, first: np.ndarray, rows: np.ndarray, percent:
         np.add.at(sums, base[index[on]] + segment.astype(np.int64), body[on])
         doc = np.repeat(np.arange(len(rows)), segments)
         number = np.arange(len(sums)) - base[doc]
+        empty = sums == 0
+        few = np.bincount(doc, empty, len(rows)) < spare
         salt = mix((cls[doc].astype(U) << U(32)) | number.astype(U), 3)
-        docs.append(rows[doc])
-        keys.append(mix(sums ^ salt, 4) >> U(64 - _KEY_BITS))
+        key = mix(sums ^ salt, 4) >> U(64 - _KEY_BITS)
+        sent = ~(empty & few[doc])
+        docs.append(rows[doc[sent]])
+        keys.append(key[sent])
     return np.concatenate(docs), np.concatenate(keys)
 
 
@@ -122,16 +141,29 @@ def _need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // (100 + percent))
 
 
+def _points(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+
+
+def _bounded(percent: int) -> Callable:
+    """Keeps pairs (a, b, point_a, point_b) whose summed minima reach the least overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = _points(batch.column("point_a")), _points(batch.column("point_b"))
+            near = np.minimum(p, q).sum(1) >= _need(p.sum(1) + q.sum(1), percent)
+            stay = pa.array(np.flatnonzero(near))
+            yield pa.record_batch([batch.column("a").take(stay), batch.column("b").take(stay)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in batch.column(name)]
+            get = lambda name: [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(name)]
             good = []
-            for x, y, p, q in zip(get("set_a", "<u8"), get("set_b", "<u8"), get("point_a", "<u4"), get("point_b", "<u4")):
-                need = int(_need(np.int64(len(x) + len(y)), percent))
-                if int(np.minimum(p, q).sum()) < need:
-                    good.append(False)
-                    continue
+            for x, y in zip(get("set_a"), get("set_b")):
                 both = np.concatenate([x, y])
                 both.sort()
                 shared_ = int((both[1:] == both[:-1]).sum())
@@ -330,20 +362,33 @@ def _classes(table: DataFrame, n: int, percent: int) -> DataFrame:
                 [
                     pa.array((row["block"] << ROW_BITS) | some, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
                     pa.array([_point(s).tobytes() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), pa.array(key, pa.int64())),
                 ],
-                names=["uid", "n", "set", "point", "keys"],
+                names=["uid", "n", "point", "keys"],
             )
 
     members = written(
-        shared(asked, keys_of, _KEY_BITS, "tiles").mapInArrow(
-            emit, "uid long, n long, set binary, point binary, keys array<long>"
-        ),
+        shared(asked, keys_of, _KEY_BITS, "tiles").mapInArrow(emit, "uid long, n long, point binary, keys array<long>"),
         "members",
     )
-    links = _links(members, percent)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_block(batches):
+            if not row["points"]:
+                continue
+            token, first = tokens(row["texts"], n)
+            some = _wanted(row)
+            sets = [token[first[d] : first[d + 1]].astype("<u8").tobytes() for d in some]
+            yield pa.record_batch(
+                [pa.array((row["block"] << ROW_BITS) | some, pa.int64()), pa.array(sets, pa.binary())], names=["uid", "set"]
+            )
+
+    def sets_of(uids: DataFrame) -> DataFrame:
+        places = uids.select(F.shiftright("uid", ROW_BITS).alias("block"), F.col("uid").bitwiseAND((1 << ROW_BITS) - 1).alias("pos"))
+        return with_answer(table, places, "block", "points").mapInArrow(fetch, "uid long, set binary")
+
+    links = _links(members, percent, sets_of)
     comp = components(links)
     # documents -> points -> components; copies of a hot set meet their point in a skew-splittable join
     best = points.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
@@ -355,19 +400,36 @@ def _classes(table: DataFrame, n: int, percent: int) -> DataFrame:
     )
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Links between points, enough to join every component."""
+def _links(members: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links between points, enough to join every component. ``sets_of`` fetches the tokens of
+    points, which only those in pairs that the bound leaves over need."""
     tiles = written(members.select("uid", F.explode("keys").alias("key")), "tiles")
-    sets, at = members.select("uid", "set", "point"), members.select("uid", "n", "point")
+    at = members.select("uid", "n", "point")
+    sets: DataFrame | None = None
+
+    def joined(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+        side = lambda s: rows.select(F.col("uid").alias(s), F.col(value).alias(f"{value}_{s}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        return joined(pairs, at, "point").mapInArrow(_bounded(percent), "a long, b long")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda s: sets.select(F.col("uid").alias(s), F.col("set").alias(f"set_{s}"), F.col("point").alias(f"point_{s}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return written(both.mapInArrow(_verify(percent), "a long, b long, ok boolean").filter("ok").select("a", "b"), name)
+        nonlocal sets
+        pairs = written(pairs, "pairs")
+        uids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
+        if sets is None:
+            sets = written(sets_of(uids), "token_sets")
+        else:
+            more = written(uids.join(sets.select("uid"), "uid", "left_anti"), "more_points")
+            if not more.isEmpty():
+                sets = sets.unionByName(written(sets_of(more), "token_sets"))
+        found = joined(pairs, sets, "set").mapInArrow(_verify(percent), "a long, b long, ok boolean")
+        return written(found.filter("ok").select("a", "b"), name)
 
     centre = tiles.groupBy("key").agg(F.min("uid").alias("a"), F.count("*").alias("c")).filter("c > 1").drop("c")
     seeds = tiles.join(centre, "key").filter("uid != a").select("a", F.col("uid").alias("b")).distinct()
-    links = verified(seeds, "links")
+    links = verified(bounded(seeds), "links")
     all_pairs = False
     while True:
         comp = components(links)
