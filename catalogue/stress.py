@@ -62,13 +62,8 @@ def _counted(spark, sf_dir):
     requests = L.request_stream(spark, C.requests_path(spark, sf_dir))
     events = build_usage_events(requests, C.group_map(spark, sf_dir))
     sink = new_place(spark, "stream_counts")
-    counts = L.counts_over_time(events, WIDTH, "index_group")
-    query = (
-        counts.writeStream.format("parquet").outputMode("append").option("path", sink)
-        .option("checkpointLocation", f"{sink}-checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(sink)
+    L.start_counts(events, WIDTH, sink, f"{sink}-checkpoint", "index_group").awaitTermination()
+    return L.latest_counts(spark, sink, "index_group")
 
 
 _EVENT_LIST = ", ".join(f'"{c}"' for c in EVENT_COLUMNS)
@@ -116,8 +111,7 @@ QUERIES: dict[str, Query] = {
         _counted,
         with_events(
             f"SELECT strftime(b, '%Y-%m-%d %H:%M:%S.%f') AS bucket, index_group, count(*) AS count FROM (SELECT index_group, "
-            "time_bucket(INTERVAL '12 hours', \"timestamp\", TIMESTAMP '1970-01-01') AS b FROM ev) "
-            "WHERE b + INTERVAL 12 HOUR <= (SELECT max(\"timestamp\") - INTERVAL 10 MINUTE FROM ev) GROUP BY b, index_group"
+            "time_bucket(INTERVAL '12 hours', \"timestamp\", TIMESTAMP '1970-01-01') AS b FROM ev) GROUP BY b, index_group"
         ),
     ),
 }

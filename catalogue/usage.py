@@ -16,7 +16,7 @@ from seekledger.samples import catalog as C
 from seekledger.samples.request_log import read_table
 
 NO_CLIENT = f"coalesce(client_id, '{R.NO_CLIENT}')"
-AGENT = "CASE WHEN length(client_user_agent) <= 512 THEN client_user_agent END"
+AGENT = "client_user_agent"
 FIELD = "category"
 
 
@@ -162,12 +162,12 @@ QUERIES: dict[str, Query] = {
         ),
     ),
     "a12_sample_events": Query(
-        lambda spark, sf_dir: newest(C.usage_events(spark, sf_dir), 100, "orders").select(
+        lambda spark, sf_dir: newest(C.usage_events(spark, sf_dir), 1000, "orders").select(
             "request_id", "timestamp", "index", "operation"
         ),
         with_events(
             f"SELECT request_id, {stamp_sql(chr(34) + 'timestamp' + chr(34), 'timestamp')}, \"index\", operation FROM "
-            "(SELECT * FROM ev WHERE index_group = 'orders' ORDER BY \"timestamp\" DESC, request_id DESC LIMIT 100)"
+            "(SELECT * FROM ev WHERE index_group = 'orders' ORDER BY \"timestamp\" DESC, request_id DESC LIMIT 1000)"
         ),
     ),
     "a13_raw_events": Query(
@@ -181,9 +181,9 @@ QUERIES: dict[str, Query] = {
     "a14_group_listing": Query(
         lambda spark, sf_dir: list_groups(C.group_map(spark, sf_dir)),
         with_requests(
-            "SELECT g AS index_group, string_agg(index_name, ',' ORDER BY index_name) AS indices FROM "
+            "SELECT g AS index_group, index_name FROM "
             "(SELECT index_name, CASE WHEN index_name LIKE 'logs-____.__.0%' THEN 'logs-stream' WHEN index_name LIKE 'logs-%' "
-            "THEN 'logs' WHEN index_name LIKE 'orders-%' THEN 'orders' ELSE index_name END AS g FROM known) GROUP BY g",
+            "THEN 'logs' WHEN index_name LIKE 'orders-%' THEN 'orders' ELSE index_name END AS g FROM known)",
             "known AS (SELECT DISTINCT index_name FROM (SELECT unnest(string_split(split_part(path, '/', 2), ',')) AS index_name "
             "FROM req) WHERE index_name LIKE 'logs-%' OR index_name LIKE 'orders-%' OR index_name = 'products')",
         ),
@@ -343,7 +343,7 @@ QUERIES: dict[str, Query] = {
         "SELECT p_type AS category, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     ),
     "e43_traffic_counters": Query(
-        lambda spark, sf_dir: E.traffic_counters(C.requests(spark, sf_dir)),
+        lambda spark, sf_dir: E.traffic_counters(C.requests(spark, sf_dir), C.usage_events(spark, sf_dir)),
         with_requests(
             "SELECT count(*) AS requests_proxied, count(*) FILTER (elapsed_ms IS NULL) AS requests_failed, "
             "CAST(0 AS BIGINT) AS requests_unobserved, "

@@ -277,7 +277,10 @@ def lookback(nodes: Column) -> Column:
             lambda c, i: (i == 0) | (c["body"] != F.get(candidates, i - F.lit(1))["body"]),
         )
 
-    widest = F.array_max(first_of_body(F.transform(_all(nodes, _LOOKBACK, 0), candidate)))
+    # The candidates are bound to a name first: inside the filter the expression itself would be
+    # computed again for every one of them.
+    found = F.array(F.transform(_all(nodes, _LOOKBACK, 0), candidate))
+    widest = F.element_at(F.transform(found, lambda candidates: F.array_max(first_of_body(candidates))), 1)
     return F.when(F.contains(nodes, F.lit("now-")), widest)
 
 

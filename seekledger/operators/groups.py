@@ -5,16 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only for a table counted to be small; beyond the bound the frame is returned
-    as it is and the join is shuffled, with adaptive skew handling."""
-    if df.isStreaming:
-        return df
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
 
 def is_hidden(name: Column) -> Column:
     return F.startswith(name, F.lit("."))
@@ -47,16 +37,14 @@ def build_group_map(indices: DataFrame, aliases: DataFrame, data_streams: DataFr
 
 
 def list_groups(group_map: DataFrame) -> DataFrame:
-    return group_map.groupBy("index_group").agg(
-        F.sort_array(F.collect_set("index_name")).alias("indices")
-    )
+    """One row per group and index, whatever the size of a group."""
+    return group_map.select("index_group", "index_name").distinct()
 
 
 def resolve_group(df: DataFrame, group_map: DataFrame, index_column: str = "index") -> DataFrame:
-    """Add index_group; a name that is no known index (an alias, say) is its own group."""
-    lookup = sized_broadcast(
-        group_map.select(F.col("index_name").alias(index_column), F.col("index_group").alias("_group"))
-    )
+    """Add index_group; a name that is no known index (an alias, say) is its own group. Whether the
+    map is broadcast follows from its size in bytes, at planning or at run time."""
+    lookup = group_map.select(F.col("index_name").alias(index_column), F.col("index_group").alias("_group"))
     return (
         df.join(lookup, index_column, "left")
         .withColumn("index_group", F.coalesce("_group", index_column))

@@ -12,8 +12,8 @@ from math import prod
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekledger.operators.groups import BROADCAST_ROWS
-
+# Rankings whose size parameters allow no more rows than this are broadcast.
+BROADCAST_ROWS = 200_000
 NO_CLIENT = "(no x-client-id)"
 MAX_BARS = 60
 # Bar widths an automatic time axis chooses from.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,21 +12,16 @@ from pyspark.sql import functions as F
 _written: dict[tuple[str, str], str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """Folder every executor can read, as the session names it. A local session without one gets a
-    folder of its own; on a cluster there is none to assume."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can read: ``spark.checkpoint.dir`` as the session names it, else a
+    folder in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="seekledger-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def new_place(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     folder = shared_folder(spark)
-    if folder is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     safe = re.sub(r"\W+", "_", name).strip("_")
     return f"{folder.rstrip('/')}/seekledger-{spark.sparkContext.applicationId}/{safe}-{uuid.uuid4().hex[:8]}"
 
@@ -42,10 +36,7 @@ def written_once(
 
     Many rollups read the same usage events; parsing each body once and keeping the result in the
     shared folder cuts the lineage, survives lost executors and gives later scans column pruning.
-    Without a shared folder the plan is computed in line.
     """
-    if shared_folder(spark) is None:
-        return build()
     key = (spark.sparkContext.applicationId, name)
     if key not in _written:
         path = new_place(spark, name)
@@ -63,14 +54,23 @@ def written_path(spark: SparkSession, name: str) -> str:
     return _written[(spark.sparkContext.applicationId, name)]
 
 
-def append_events(events: DataFrame, path: str) -> None:
+def append_events(events: DataFrame, path: str, run: str | None = None) -> None:
     """Append usage events, one folder per day. The rebalance gives files of even size: it splits
-    a heavy day over several tasks and merges light ones."""
-    events.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+    a heavy day over several tasks and merges light ones.
+
+    A named ``run`` (a batch id, say) has a folder of its own inside each day, which writing it again
+    replaces: a job that is retried adds nothing twice."""
+    even = events.hint("rebalance", "event_date")
+    if run is None:
+        even.write.mode("append").partitionBy("event_date").parquet(path)
+        return
+    writer = even.withColumn("run", F.lit(run)).write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "run").parquet(path)
 
 
 def clear_events(events: DataFrame, path: str) -> None:
-    events.limit(0).write.mode("overwrite").parquet(path)
+    """Empty the table; its day layout stays."""
+    events.limit(0).write.mode("overwrite").partitionBy("event_date").parquet(path)
 
 
 def replace_groups(old: DataFrame, new: DataFrame, processed: DataFrame) -> DataFrame:
@@ -88,6 +88,6 @@ def write_snapshot(snapshot: DataFrame, folder: str) -> str:
 
 
 def newest(events: DataFrame, n: int = 20, index_group: str | None = None) -> DataFrame:
-    """The newest events, at most 100."""
+    """The ``n`` newest events."""
     chosen = events if index_group is None else events.filter(F.col("index_group") == index_group)
-    return chosen.orderBy(F.desc("timestamp"), F.desc("request_id")).limit(min(n, 100))
+    return chosen.orderBy(F.desc("timestamp"), F.desc("request_id")).limit(n)

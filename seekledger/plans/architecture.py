@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seekledger.functions.numbers import byte_count, byte_label, grouped, half_even, safe_int
 from seekledger.operators import rollups as R
-from seekledger.operators.groups import is_hidden, sized_broadcast
+from seekledger.operators.groups import is_hidden
 from seekledger.plans.texts import IMPACT, INDEX_CURRENT, INDEX_HOW, INDEX_RULES, INDEX_WHY
 from seekledger.schemas import INDEX_RECOMMENDATIONS
 from seekledger.sources.cluster import representative_index, visible
@@ -39,7 +39,7 @@ CLUSTER_GROUP = "_cluster"
 def grouped_rows(listing: DataFrame, group_map: DataFrame) -> DataFrame:
     """Listing rows with their group; rows of unknown indices drop out."""
     lookup = group_map.select(F.col("index_name").alias("index"), "index_group")
-    return visible(listing).join(sized_broadcast(lookup), "index")
+    return visible(listing).join(lookup, "index")
 
 
 def usage_stats(events: DataFrame, include_doc_write: bool = False) -> DataFrame:
@@ -349,13 +349,15 @@ def findings_by_group_severity(rows: DataFrame) -> DataFrame:
     return R.nested_terms(rows, ["index_group", "severity"], [20, 10])
 
 
+# Columns of the findings view (fixed).
 FINDING_COLUMNS = (
     "index_group", "category", "recommendation", "severity", "current_value", "why", "how", "reference_url",
 )
 
 
 def all_findings(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.desc("timestamp")).select(*FINDING_COLUMNS)
+    """Newest first; the rows of one snapshot share their time, so groups and rules part them."""
+    return rows.orderBy(F.desc("timestamp"), "index_group", "recommendation").select(*FINDING_COLUMNS)
 
 
 def urgent_findings(rows: DataFrame) -> DataFrame:

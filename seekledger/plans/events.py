@@ -1,8 +1,9 @@
 """Request log -> usage events: one narrow pipeline, the same for batch and stream.
 
 Everything is a function of one request, so nothing is shuffled. Rows that leave no event (system
-calls, hidden indices, sampled out, no response seen, body too large) are dropped before the body
-is parsed, and only body and mode cross into Python.
+calls, hidden indices, sampled out, no response seen) are dropped before the body is parsed, and only
+body and mode cross into Python. Bodies nested too deep to parse leave no event either:
+``rejected_requests`` lists them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekledger.functions import grammar, paths
-from seekledger.functions.bodies import TEMPLATE_TEXT_LIMIT, observe_bodies
+from seekledger.functions.bodies import observe_bodies
 from seekledger.functions.numbers import avg_ms, keep_rate
 from seekledger.operators.groups import resolve_group
 from seekledger.schemas import USAGE_EVENTS
@@ -23,17 +24,31 @@ UNKNOWN_INDEX = "_unknown"
 
 @dataclass(frozen=True)
 class EventSettings:
+    """``body_limit`` (bytes): larger bodies are kept as events but not parsed; the original observed
+    none over 1 MiB. ``text_limit`` (characters): longer template and body texts are cut; the original
+    cut at 4096. Neither is set by default."""
+
     cluster_id: str = "default"
-    body_limit: int = 1024 * 1024
+    body_limit: int | None = None
+    text_limit: int | None = None
     event_sample_rate: float = 1.0
     store_bodies: bool = True
     body_sample_rate: float = 1.0
 
 
-def is_observed(settings: EventSettings = EventSettings()) -> Column:
-    """A response was seen and the body was small enough to be buffered."""
-    size = F.coalesce(F.octet_length("body"), F.lit(0))
-    return F.col("elapsed_ms").isNotNull() & (size <= settings.body_limit)
+def is_answered() -> Column:
+    return F.col("elapsed_ms").isNotNull()
+
+
+def is_parsed(settings: EventSettings = EventSettings()) -> Column:
+    """The body is within the limit, if there is one."""
+    if settings.body_limit is None:
+        return F.lit(True)
+    return F.coalesce(F.octet_length("body"), F.lit(0)) <= settings.body_limit
+
+
+def _text(text: Column, settings: EventSettings) -> Column:
+    return text if settings.text_limit is None else F.substring(text, 1, settings.text_limit)
 
 
 def route(requests: DataFrame) -> DataFrame:
@@ -46,15 +61,26 @@ def route(requests: DataFrame) -> DataFrame:
     )
 
 
-def build_usage_events(
-    requests: DataFrame, group_map: DataFrame, settings: EventSettings = EventSettings()
-) -> DataFrame:
+def _parsed(requests: DataFrame, settings: EventSettings) -> DataFrame:
     kept = (
-        route(requests.filter(is_observed(settings)))
+        route(requests.filter(is_answered()))
         .filter(~F.col("skipped"))
         .filter(keep_rate(F.col("request_id"), settings.event_sample_rate))
     )
-    parsed = kept.withColumn("seen", observe_bodies("body", "mode")).withColumn("nodes", F.col("seen.nodes"))
+    body = F.col("body") if settings.body_limit is None else F.when(is_parsed(settings), F.col("body"))
+    return kept.withColumn("seen", observe_bodies(body, F.col("mode")))
+
+
+def rejected_requests(requests: DataFrame, settings: EventSettings = EventSettings()) -> DataFrame:
+    """Requests whose body is nested too deep to parse: they leave no event."""
+    failed = _parsed(requests, settings).filter("seen.failed")
+    return failed.select("request_id", "ts", "path", F.octet_length("body").cast("long").alias("body_bytes"))
+
+
+def build_usage_events(
+    requests: DataFrame, group_map: DataFrame, settings: EventSettings = EventSettings()
+) -> DataFrame:
+    parsed = _parsed(requests, settings).filter(~F.col("seen.failed")).withColumn("nodes", F.col("seen.nodes"))
     named = resolve_group(
         parsed.withColumn("index", F.coalesce(F.get("indices", F.lit(0)), F.lit(UNKNOWN_INDEX))), group_map
     )
@@ -79,7 +105,7 @@ def build_usage_events(
         "language": F.when(grammar.has_script_references(F.col("scripts")), "dsl+painless").otherwise("dsl"),
         "query_fingerprint": F.col("seen.fingerprint"),
         "query_template_hash": F.col("seen.template_hash"),
-        "query_template_text": F.col("seen.template_text"),
+        "query_template_text": _text(F.col("seen.template_text"), settings),
         "response_time_ms": F.round("elapsed_ms", 2),
         "response_status": F.col("status"),
         "client_id": F.col("client_id"),
@@ -88,7 +114,7 @@ def build_usage_events(
         "lookback_seconds": F.col("lookback.seconds"),
         "lookback_field": F.col("lookback.field"),
         "lookback_label": F.col("lookback.label"),
-        "query_body": F.when(stored, F.substring("body", 1, TEMPLATE_TEXT_LIMIT)),
+        "query_body": F.when(stored, _text(F.col("body"), settings)),
         "response_hits": F.col("response_hits"),
         "query_type": F.when(searched, grammar.query_type(F.col("nodes"))),
         "bulk_documents": F.col("seen.documents"),
@@ -97,27 +123,31 @@ def build_usage_events(
     return extracted.select([columns[f.name].cast(f.dataType).alias(f.name) for f in USAGE_EVENTS.fields])
 
 
-def traffic_counters(requests: DataFrame, settings: EventSettings = EventSettings()) -> DataFrame:
-    """One row of request counters and response times."""
+def traffic_counters(
+    requests: DataFrame, events: DataFrame, settings: EventSettings = EventSettings()
+) -> DataFrame:
+    """One row of request counters and response times. ``events`` are those made of ``requests``:
+    what could have left an event and did not is an extraction error, so no body is parsed again."""
     sampled = keep_rate(F.col("request_id"), settings.event_sample_rate)
     tagged = (
         route(requests)
-        .withColumn("answered", F.col("elapsed_ms").isNotNull())
-        .withColumn("observed", is_observed(settings))
-        .withColumn("emitted", F.col("observed") & ~F.col("skipped") & sampled)
-        .withColumn("ms", F.when(F.col("observed"), F.round("elapsed_ms", 2)))
+        .withColumn("answered", is_answered())
+        .withColumn("due", F.col("answered") & ~F.col("skipped") & sampled)
+        .withColumn("ms", F.when(F.col("answered"), F.round("elapsed_ms", 2)))
     )
-    parsed = tagged.withColumn(
-        "failed", observe_bodies(F.when(F.col("emitted"), F.col("body")), F.col("mode"))["failed"]
-    )
-    return parsed.agg(
+    counted = tagged.agg(
         F.count(F.lit(1)).alias("requests_proxied"),
         F.count_if(~F.col("answered")).alias("requests_failed"),
-        F.count_if(F.col("answered") & ~F.col("observed")).alias("requests_unobserved"),
-        F.count_if(F.col("observed") & F.col("skipped")).alias("events_skipped"),
-        F.count_if(F.col("observed") & ~F.col("skipped") & ~sampled).alias("events_sampled_out"),
-        F.count_if(F.col("failed")).alias("extraction_errors"),
-        F.count_if(F.col("emitted")).alias("events_emitted"),
+        F.count_if(F.col("due") & ~is_parsed(settings)).alias("requests_unobserved"),
+        F.count_if(F.col("answered") & F.col("skipped")).alias("events_skipped"),
+        F.count_if(F.col("answered") & ~F.col("skipped") & ~sampled).alias("events_sampled_out"),
+        F.count_if("due").alias("_due"),
         F.coalesce(F.round(avg_ms(F.col("ms")), 2), F.lit(0.0)).alias("response_avg_ms"),
         F.coalesce(F.max("ms"), F.lit(0.0)).alias("response_max_ms"),
     )
+    emitted = events.agg(F.count(F.lit(1)).alias("events_emitted"))
+    return counted.join(emitted).select(  # one row each
+        "requests_proxied", "requests_failed", "requests_unobserved", "events_skipped", "events_sampled_out",
+        (F.col("_due") - F.col("events_emitted")).alias("extraction_errors"),
+        "events_emitted", "response_avg_ms", "response_max_ms",
+    )

@@ -16,8 +16,7 @@ from seekledger.functions.numbers import avg_ms, sum_ms
 from seekledger.operators import rollups as R
 from seekledger.schemas import FIELD_CATEGORIES
 
-# Longer user agents are kept in the event but not indexed, so no terms table shows them.
-USER_AGENT_LIMIT = 512
+# Columns of the raw-events view (fixed).
 RAW_COLUMNS = (
     "timestamp", "index_group", "operation", "language", "client_id", "client_ip",
     "client_user_agent", "lookback_label", "path", "query_body", "response_status", "response_time_ms",
@@ -65,11 +64,6 @@ def with_field(events: DataFrame, field: str, category: str | None = None) -> Da
     return events.filter(condition)
 
 
-def _indexed_agents(events: DataFrame) -> DataFrame:
-    agent = F.col("client_user_agent")
-    return events.withColumn("client_user_agent", F.when(F.length(agent) <= USER_AGENT_LIMIT, agent))
-
-
 # --- Traffic ---------------------------------------------------------------------------------
 
 
@@ -101,8 +95,11 @@ def response_by_group(events: DataFrame, size: int = 20) -> DataFrame:
     return R.terms(events, "index_group", size, {"avg_ms": avg_ms(_ms())})
 
 
-def raw_events(events: DataFrame) -> DataFrame:
-    return events.select(*RAW_COLUMNS).orderBy(F.desc("timestamp"))
+def raw_events(events: DataFrame, page: int | None = None) -> DataFrame:
+    """All events, or the newest ``page`` of them in order."""
+    if page is not None:
+        events = events.orderBy(F.desc("timestamp"), F.desc("request_id")).limit(page)
+    return events.select(*RAW_COLUMNS)
 
 
 # --- Field heat ------------------------------------------------------------------------------
@@ -177,7 +174,7 @@ def clients(events: DataFrame, size: int = 20) -> DataFrame:
 
 def client_addresses(events: DataFrame, size: int = 20, approximate: bool = False) -> DataFrame:
     return R.distinct_per_key(
-        _indexed_agents(events), "client_ip", "client_user_agent", size, ("count", "user_agents"), approximate
+        events, "client_ip", "client_user_agent", size, ("count", "user_agents"), approximate
     )
 
 
@@ -195,7 +192,7 @@ def client_fields(events: DataFrame, with_filtered: bool = False) -> DataFrame:
 
 
 def user_agents(events: DataFrame, size: int = 10) -> DataFrame:
-    return R.terms(_indexed_agents(events), "client_user_agent", size)
+    return R.terms(events, "client_user_agent", size)
 
 
 # --- Lookback --------------------------------------------------------------------------------

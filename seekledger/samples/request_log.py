@@ -126,17 +126,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input of fewer splits than cores; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spread(read_table(spark, sf_dir, "events"), "event_id").withColumn("k", F.expr(K))
+    events = read_table(spark, sf_dir, "events").repartition("event_id").withColumn("k", F.expr(K))
     # One row per shape, a fixed list.
     shapes = spark.createDataFrame([astuple(s) for s in SHAPES], "event_type string, k4 int, method string, path string, body string")
-    rows = events.withColumn("k4", F.col("k") % 4).join(F.broadcast(shapes), ["event_type", "k4"])
+    rows = events.withColumn("k4", F.col("k") % 4).join(F.broadcast(shapes), ["event_type", "k4"], "left")
+    unmatched = F.raise_error(F.concat(F.lit("no request shape for event "), F.col("event_id").cast("string")))
+    rows = rows.withColumn("path", F.when(F.col("path").isNull(), unmatched).otherwise(F.col("path")))
     return rows.select(
         [F.expr(REQUEST_COLUMNS[f.name]).cast(f.dataType).alias(f.name) for f in REQUEST_LOG.fields]
     )

@@ -17,10 +17,12 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | None = None, name: str = "seekledger") -> SparkSession:
+def local_session(
+    cores: int | None = None, name: str = "seekledger", settings: dict[str, str] | None = None
+) -> SparkSession:
     cores = cores or os.cpu_count() or 4
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | (settings or {})).items():
         builder = builder.config(key, value)
     spark = builder.config("spark.sql.shuffle.partitions", str(cores)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seekledger.functions.bodies import FS, GS, observe_bodies
 from seekledger.functions.numbers import safe_int
-from seekledger.operators.groups import is_hidden, sized_broadcast
+from seekledger.operators.groups import is_hidden
 
 # Types without columnar values unless asked for.
 NO_DOC_VALUES = ("text", "annotated_text")
@@ -33,7 +33,7 @@ def representative_index(group_map: DataFrame, last: bool = False) -> DataFrame:
 
 
 def _parsed(mappings: DataFrame, group_map: DataFrame, last: bool) -> DataFrame:
-    chosen = mappings.join(sized_broadcast(representative_index(group_map, last)), "index_name")
+    chosen = mappings.join(representative_index(group_map, last), "index_name")
     return chosen.select(
         "index_group", observe_bodies("mapping_json", F.lit("mapping"))["nodes"].alias("nodes")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekledger import schemas
-from seekledger.plans.events import EventSettings, is_observed
+from seekledger.plans.events import EventSettings, is_answered, is_parsed
 
 INPUTS = {
     "requests": schemas.REQUEST_LOG,
@@ -28,8 +28,8 @@ def read_input(spark: SparkSession, name: str, path: str, format: str = "parquet
 
 
 def unobserved_requests(requests: DataFrame, settings: EventSettings = EventSettings()) -> DataFrame:
-    """Answered requests whose body is too large to be observed: number and bytes."""
-    large = requests.filter(F.col("elapsed_ms").isNotNull() & ~is_observed(settings))
+    """Answered requests whose body is over the limit, if there is one: number and bytes."""
+    large = requests.filter(is_answered() & ~is_parsed(settings))
     return large.agg(
         F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).alias("bytes")
     )

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from seekledger.operators.tables import append_events
 from seekledger.plans.events import EventSettings, build_usage_events
 from seekledger.schemas import REQUEST_LOG
 
-FLUSH_INTERVAL = "0.5 seconds"
+FLUSH_INTERVAL = "60 seconds"
 REPEAT_WINDOW = "10 minutes"
 
 
@@ -31,22 +32,25 @@ def once_per_request(requests: DataFrame, window: str = REPEAT_WINDOW) -> DataFr
 
 def start_ingest(
     requests: DataFrame,
-    group_map: DataFrame,
+    group_map: DataFrame | Callable[[], DataFrame],
     sink: str,
     checkpoint: str,
     settings: EventSettings = EventSettings(),
     interval: str | None = FLUSH_INTERVAL,
+    window: str = REPEAT_WINDOW,
 ) -> StreamingQuery:
     """Append usage events to ``sink``. Without an interval the stream handles what is there and
-    stops, keeping its place in the checkpoint."""
-    events = build_usage_events(requests, group_map, settings)
-    writer = (
-        events.writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("event_date")
-        .option("path", sink)
-        .option("checkpointLocation", checkpoint)
-    )
+    stops, keeping its place in the checkpoint.
+
+    Requests redelivered within ``window`` count once. Each batch is rebalanced and written as a run of
+    its own, which a repeated batch replaces. ``group_map`` may be a function that reads the map: it is
+    called for every batch, so an index that joins a group counts for it from then on."""
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        groups = group_map() if callable(group_map) else group_map
+        append_events(build_usage_events(batch, groups, settings), sink, run=f"batch-{batch_id:012d}")
+
+    writer = once_per_request(requests, window).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
     return writer.trigger(**trigger).start()
 
@@ -54,12 +58,34 @@ def start_ingest(
 def counts_over_time(
     events: DataFrame, width: str, key: str | None = None, lateness: str = "10 minutes"
 ) -> DataFrame:
-    """Rows per time bucket (and key) on a stream; a bucket is final once the watermark passes it."""
+    """Rows per time bucket (and key) on a stream; a bucket is final once the watermark passes it.
+    In append mode only final buckets come out, in update mode all that changed (``start_counts``)."""
     keys = [F.window("timestamp", width).alias("w")] + ([F.col(key)] if key else [])
     counts = events.withWatermark("timestamp", lateness).groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(F.col("w.start").alias("bucket"), *([key] if key else []), "count")
 
 
+def start_counts(
+    events: DataFrame, width: str, sink: str, checkpoint: str, key: str | None = None, lateness: str = "10 minutes"
+) -> StreamingQuery:
+    """Keep counts per time bucket (and key) in ``sink``, open buckets included: a batch writes the
+    buckets it changed as a run of its own, and ``latest_counts`` reads the newest of each."""
+    counts = counts_over_time(events, width, key, lateness)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        changed = batch.withColumn("batch", F.lit(batch_id))
+        changed.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/run=batch-{batch_id:012d}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, sink: str, key: str | None = None) -> DataFrame:
+    """The newest count of each bucket (and key)."""
+    keys = ["bucket", *([key] if key else [])]
+    return spark.read.parquet(sink).groupBy(*keys).agg(F.max_by("count", "batch").alias("count"))
+
+
 def start_refresh(
     events: DataFrame, checkpoint: str, refresh: Callable[[int], None], interval: str = "300 seconds"
 ) -> StreamingQuery:

@@ -14,8 +14,7 @@ sys.path.insert(0, str(ROOT / "tests"))
 def spark(tmp_path_factory):
     from seekledger.session import local_session
 
-    session = local_session(4, "tests")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    folders = {"spark.checkpoint.dir": "shared", "spark.sql.warehouse.dir": "warehouse"}
+    session = local_session(4, "tests", {key: str(tmp_path_factory.mktemp(name)) for key, name in folders.items()})
     yield session
     session.stop()

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
 from datetime import datetime
 
 import pytest
 
-from seekledger.plans.events import EventSettings, build_usage_events, traffic_counters
+from seekledger.plans.events import EventSettings, build_usage_events, rejected_requests, traffic_counters
 from seekledger.schemas import FIELD_CATEGORIES, REQUEST_LOG
 
 SEARCH = ("POST", "/x/_search")
@@ -184,10 +185,40 @@ def test_large_bodies_and_unanswered_requests_are_counted_apart(spark, groups):
     rows = [_row(1, *SEARCH, '{"sort":["a"]}'), _row(2, *SEARCH, "x" * 101), _row(3, *SEARCH, "{}", None), _row(4, "GET", "/_cat/x", None)]
     requests = spark.createDataFrame(rows, REQUEST_LOG)
     limits = EventSettings(body_limit=100)
-    assert [r.request_id for r in build_usage_events(requests, groups, limits).collect()] == [1]
-    counters = traffic_counters(requests, limits).first()
+    events = build_usage_events(requests, groups, limits)
+    assert sorted(r.request_id for r in events.collect()) == [1, 2]
+    counters = traffic_counters(requests, events, limits).first()
     assert (counters.requests_proxied, counters.requests_failed, counters.requests_unobserved) == (4, 1, 1)
-    assert (counters.events_skipped, counters.events_emitted, counters.response_avg_ms) == (1, 1, 1.24)
+    assert (counters.events_skipped, counters.events_emitted, counters.response_avg_ms) == (1, 2, 1.24)
+    assert counters.extraction_errors == 0
+
+
+def test_nothing_is_lost_by_size(spark, groups):
+    filters = [{"term": {f"field{k}": "v" * 40}} for k in range(30_000)]
+    rows = [_row(1, *SEARCH, json.dumps({"query": {"bool": {"filter": filters}}}))]
+    event = build_usage_events(spark.createDataFrame(rows, REQUEST_LOG), groups).first()
+    assert len(rows[0][4]) > 1 << 20 and len(event.fields.filtered) == 30_000
+    assert event.query_body == rows[0][4] and len(event.query_template_text) > 500_000
+
+
+def test_bodies_too_deep_to_parse_are_rejected(spark, groups):
+    deep = lambda n: '{"query": ' + '{"bool": {"filter": ' * n + '{"term": {"deep": 1}}' + "}}" * n + "}"
+    requests = spark.createDataFrame([_row(1, *SEARCH, deep(900)), _row(2, *SEARCH, deep(60_000))], REQUEST_LOG)
+    events = build_usage_events(requests, groups).cache()
+    assert [(r.request_id, r.fields.filtered) for r in events.collect()] == [(1, ["deep"])]
+    assert events.first().query_template_hash is not None
+    assert [r.request_id for r in rejected_requests(requests).collect()] == [2]
+    counters = traffic_counters(requests, events).first()
+    assert (counters.events_emitted, counters.extraction_errors) == (1, 1)
+
+
+def test_lookback_of_many_ranges_is_linear(spark, groups):
+    ranges = [{"range": {f"f{k}": {"gte": f"now-{k % 50 + 1}h"}}} for k in range(2_000)]
+    rows = [_row(1, *SEARCH, json.dumps({"query": {"bool": {"filter": ranges}}}))]
+    start = time.monotonic()
+    event = build_usage_events(spark.createDataFrame(rows, REQUEST_LOG), groups).first()
+    assert (event.lookback_seconds, event.lookback_field) == (50 * 3600, "f49")
+    assert time.monotonic() - start < 60
 
 
 def test_sampling_keeps_the_same_rows_and_clamps(spark, groups):

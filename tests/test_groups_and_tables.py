@@ -34,8 +34,8 @@ def test_group_map_order_of_precedence(spark):
     )
     got = {r.index_name: r.index_group for r in frame.collect()}
     assert got == {"logs-1": "logs", "logs-2": "stream", "products": "products", ".ds-metrics-1": "metrics"}
-    listing = {r.index_group: r.indices for r in G.list_groups(frame).collect()}
-    assert "b" not in listing and listing["stream"] == ["logs-2"]
+    listing = {tuple(r) for r in G.list_groups(frame).collect()}
+    assert listing == {("logs", "logs-1"), ("stream", "logs-2"), ("products", "products"), ("metrics", ".ds-metrics-1")}
 
 
 def test_resolve_falls_back_to_the_name(spark):
@@ -45,12 +45,6 @@ def test_resolve_falls_back_to_the_name(spark):
     assert got == {"i": "g", "g": "g", "other": "other", "_unknown": "_unknown"}
 
 
-def test_only_small_tables_are_broadcast(spark):
-    frame = spark.range(11)
-    assert "ResolvedHint" in G.sized_broadcast(frame, 11)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in G.sized_broadcast(frame, 10)._jdf.queryExecution().analyzed().toString()
-
-
 def _events(spark, rows):
     full = []
     for at, (group, day, fields) in enumerate(rows):
@@ -73,8 +67,19 @@ def test_append_clear_and_newest(spark, tmp_path):
     assert [r.request_id for r in T.newest(stored, 2, "a").collect()] == [1, 1]
     assert T.newest(stored, 1000).count() == 6
     other = str(tmp_path / "cleared")
+    T.append_events(events, other)
     T.clear_events(events, other)
     assert spark.read.schema(USAGE_EVENTS).parquet(other).count() == 0
+    T.append_events(events, other)
+    assert spark.read.schema(USAGE_EVENTS).parquet(other).filter("event_date = '2026-01-02'").count() == 2
+
+
+def test_a_named_run_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "events")
+    events = _events(spark, [("a", 1, {}), ("a", 2, {}), ("b", 2, {})])
+    for run in ("r1", "r2", "r1"):
+        T.append_events(events, path, run=run)
+    assert spark.read.schema(USAGE_EVENTS).parquet(path).count() == 6
 
 
 def test_snapshots_keep_groups_that_were_not_processed(spark, tmp_path):

@@ -34,7 +34,7 @@ def groups(spark):
 
 
 def _rows(frame):
-    return sorted((tuple(r) for r in frame.drop("event_date").collect()), key=lambda r: r[0])
+    return sorted((tuple(r) for r in frame.drop("event_date", "run").collect()), key=lambda r: r[0])
 
 
 def test_stream_equals_batch_and_resumes(spark, source, groups, tmp_path):
@@ -59,11 +59,31 @@ def test_redelivered_requests_count_once(spark, source, groups, tmp_path):
     rows = [_row(at, at) for at in range(40, 60)]
     spark.createDataFrame(rows, REQUEST_LOG).coalesce(1).write.mode("append").parquet(source)
     sink = str(tmp_path / "sink")
-    stream = L.once_per_request(L.request_stream(spark, source))
+    stream = L.request_stream(spark, source)
     L.start_ingest(stream, groups, sink, str(tmp_path / "checkpoint"), interval=None).awaitTermination()
     assert spark.read.schema(USAGE_EVENTS).parquet(sink).count() == 60
 
 
+def test_an_index_joins_a_group_midway(spark, source, tmp_path):
+    sink, maps = str(tmp_path / "sink"), []
+
+    def group_map():
+        maps.append(len(maps))
+        rows = [("i0", "g")] + [("i1", "g")] * (len(maps) > 1)
+        return spark.createDataFrame(rows, "index_name string, index_group string")
+
+    L.start_ingest(L.request_stream(spark, source, max_files=1), group_map, sink, str(tmp_path / "checkpoint"), interval=None).awaitTermination()
+    stored = spark.read.schema(USAGE_EVENTS).parquet(sink).filter("index = 'i1'")
+    assert len(maps) >= 3 and {r.index_group for r in stored.collect()} == {"i1", "g"}
+
+
+def test_open_buckets_are_counted_too(spark, source, groups, tmp_path):
+    sink = str(tmp_path / "counts")
+    events = build_usage_events(L.request_stream(spark, source, max_files=1), groups)
+    L.start_counts(events, "10 minutes", sink, str(tmp_path / "checkpoint"), "index_group").awaitTermination()
+    assert L.latest_counts(spark, sink, "index_group").agg({"count": "sum"}).first()[0] == 60
+
+
 def test_buckets_are_final_behind_the_watermark(spark, source, groups, tmp_path):
     sink = str(tmp_path / "counts")
     events = build_usage_events(L.request_stream(spark, source), groups)
