@@ -123,13 +123,55 @@ def _impact(spark, sf_dir):
     return J.change_impact(C.usage_events(spark, sf_dir), changes.select("index_group", "field_name"))
 
 
-def _history(spark, sf_dir):
+def _snapshots(spark, sf_dir):
+    """The mapping as it is, and one in which some fields are gone, retyped or new."""
     old = _fields(spark, sf_dir)
     kept = old.filter("field_name NOT LIKE 'internal%'").withColumn(
         "mapped_type", F.expr("case when mapped_type = 'float' then 'double' else mapped_type end")
     )
     added = _unmapped(spark, sf_dir).withColumn("mapped_type", F.lit("keyword"))
-    return J.mapping_history(old, kept.select("index_group", "field_name", "mapped_type").unionByName(added))
+    return old, kept.select("index_group", "field_name", "mapped_type").unionByName(added)
+
+
+def _history(spark, sf_dir):
+    return J.mapping_history(*_snapshots(spark, sf_dir))
+
+
+def _growth(spark, sf_dir):
+    usage = M.field_usage(M.recent(C.usage_events(spark, sf_dir), C.as_of(spark, sf_dir)))
+    return J.field_growth(*_snapshots(spark, sf_dir), usage)
+
+
+def _verdicts(spark, sf_dir):
+    """Every action proposed for every mapped field."""
+    actions = F.explode(F.array(*map(F.lit, [*J.BREAKS, "add_field"])))
+    changes = _fields(spark, sf_dir).select("index_group", "field_name", actions.alias("action"))
+    usage = M.field_usage(M.recent(C.usage_events(spark, sf_dir), C.as_of(spark, sf_dir)))
+    return J.change_verdicts(usage, changes)
+
+
+# Written out by hand, apart from the rules in the code.
+_BROKEN_SQL = {
+    "remove_field": "queried filtered aggregated sorted sourced written",
+    "remove_multi_field": "queried filtered aggregated sorted sourced written",
+    "text_to_keyword": "queried",
+    "keyword_to_text": "filtered aggregated sorted",
+    "disable_index": "queried filtered",
+    "disable_doc_values": "aggregated sorted",
+    "disable_norms": "queried",
+    "add_field": "",
+}
+
+
+def _verdict_arm(action: str) -> str:
+    uses = _BROKEN_SQL[action].split()
+    names = ", ".join(f"CASE WHEN coalesce(count_{c}, 0) > 0 THEN '{c}' END" for c in uses) or "NULL"
+    total = " + ".join(f"coalesce(count_{c}, 0)" for c in uses) or "0"
+    return (
+        f"SELECT index_group, field_name, '{action}' AS action, ({total}) > 0 AS breaking, "
+        f"concat_ws(',', {names}) AS broken, CAST({total} AS BIGINT) AS broken_references "
+        "FROM mapped LEFT JOIN used USING (index_group, field_name)"
+    )
 
 
 UNMAPPED = (
@@ -326,6 +368,13 @@ QUERIES: dict[str, Query] = {
             "GROUP BY 1, 2 HAVING max(ts) < TIMESTAMP '2024-01-16'", ALL_REFS
         ),
     ),
+    "j02_abandoned_over_threshold": Query(
+        lambda spark, sf_dir: J.abandoned_fields(_windows(spark, sf_dir), 2),
+        with_events(
+            "SELECT \"index\" AS index_group, field, count(*) AS before, CAST(0 AS BIGINT) AS after FROM every "
+            "GROUP BY 1, 2 HAVING max(ts) < TIMESTAMP '2024-01-16' AND count(*) > 2", ALL_REFS
+        ),
+    ),
     "j03_unmapped_fields": Query(
         _unmapped, with_events("SELECT * FROM unmapped", FIELDS_CTE, ALL_REFS, UNMAPPED)
     ),
@@ -338,6 +387,10 @@ QUERIES: dict[str, Query] = {
             REFS_CTE, USAGE_CTE, FIELDS_CTE, DIFF_CTE, ALL_REFS,
         ),
     ),
+    "j04_change_verdicts": Query(
+        _verdicts,
+        with_events(" UNION ALL ".join(map(_verdict_arm, _BROKEN_SQL)), REFS_CTE, USAGE_CTE, FIELDS_CTE),
+    ),
     "j05_type_conflicts": Query(
         lambda spark, sf_dir: J.type_conflicts(_fields(spark, sf_dir)),
         with_events(
@@ -364,4 +417,17 @@ QUERIES: dict[str, Query] = {
             FIELDS_CTE, ALL_REFS, UNMAPPED,
         ),
     ),
+    "j07_field_growth": Query(
+        _growth,
+        with_events(
+            "SELECT index_group, count(*) FILTER (NOT is_new) AS fields_before, count(*) FILTER (is_new OR NOT gone) AS fields_after, "
+            "count(*) FILTER (is_new) AS added, count(*) FILTER (gone) AS removed, "
+            "CAST(coalesce(sum(uses) FILTER (is_new), 0) AS BIGINT) AS references_to_added FROM ("
+            "SELECT index_group, field_name, false AS is_new, field_name LIKE 'internal%' AS gone, 0 AS uses FROM mapped UNION ALL "
+            "SELECT u.index_group, u.field_name, true, false, "
+            + " + ".join(f"coalesce(count_{c}, 0)" for c in FIELDS)
+            + " FROM unmapped u LEFT JOIN used USING (index_group, field_name)) GROUP BY 1",
+            REFS_CTE, USAGE_CTE, FIELDS_CTE, ALL_REFS, UNMAPPED,
+        ),
+    ),
 }

@@ -40,12 +40,12 @@ def new_templates(windows: DataFrame) -> DataFrame:
     return template_drift(windows).filter(F.col("state") == "new")
 
 
-def abandoned_fields(windows: DataFrame) -> DataFrame:
-    """Fields used in the first window and not at all in the second."""
+def abandoned_fields(windows: DataFrame, threshold: int = 0) -> DataFrame:
+    """Fields used more than ``threshold`` times in the first window and not at all in the second."""
     counts = field_references(windows.select("index_group", "is_new", "fields")).groupBy("index_group", "field").agg(
         F.count_if(~F.col("is_new")).alias("before"), F.count_if("is_new").alias("after")
     )
-    return counts.filter((F.col("before") > 0) & (F.col("after") == 0))
+    return counts.filter((F.col("before") > threshold) & (F.col("after") == 0))
 
 
 def unmapped_fields(usage: DataFrame, mapping_fields: DataFrame) -> DataFrame:
@@ -77,6 +77,73 @@ def change_impact(events: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+# What each proposed action breaks: the uses that stop working (fixed rules). An action not listed, such
+# as adding a field, breaks none.
+_ANY_USE = ("queried", "filtered", "aggregated", "sorted", "sourced", "written")
+BREAKS = {
+    "remove_field": _ANY_USE,
+    "remove_multi_field": _ANY_USE,
+    "text_to_keyword": ("queried",),
+    "keyword_to_text": ("filtered", "aggregated", "sorted"),
+    "disable_index": ("queried", "filtered"),
+    "disable_doc_values": ("aggregated", "sorted"),
+    "disable_norms": ("queried",),
+}
+
+
+def change_verdicts(usage: DataFrame, changes: DataFrame) -> DataFrame:
+    """For proposed changes (index_group, field_name, action): whether the field's use in the window
+    that ``usage`` (``mapping.field_usage``) covers makes them breaking, what breaks, and how often it is used."""
+    counted = changes.join(usage, ["index_group", "field_name"], "left").fillna(0, [f"count_{c}" for c in _ANY_USE])
+    broken = F.filter(
+        F.array(
+            *[
+                F.when(F.col("action").isin(*[a for a, uses in BREAKS.items() if c in uses]) & (F.col(f"count_{c}") > 0), c)
+                for c in _ANY_USE
+            ]
+        ),
+        lambda c: c.isNotNull(),
+    )
+    judged = counted.withColumn("broken", broken)
+    uses = F.lit(0)
+    for c in _ANY_USE:
+        uses = uses + F.when(F.array_contains("broken", c), F.col(f"count_{c}")).otherwise(0)
+    return judged.select(
+        "index_group", "field_name", "action", (F.size("broken") > 0).alias("breaking"), "broken",
+        uses.cast("long").alias("broken_references"),
+    )
+
+
+def multi_field_gaps(mapping_fields: DataFrame, suffix: str = "keyword") -> DataFrame:
+    """Fields that have a sub-field of this name in some group but not in the group given."""
+    end = f".{suffix}"
+    sub = mapping_fields.filter(F.endswith("field_name", F.lit(end))).select(
+        "index_group", F.expr(f"substring(field_name, 1, length(field_name) - {len(end)})").alias("field_name")
+    )
+    some = sub.select("field_name").distinct()
+    rest = mapping_fields.select("index_group", "field_name").join(some, "field_name", "left_semi")
+    return rest.join(sub, ["index_group", "field_name"], "left_anti").distinct()
+
+
+def field_growth(old: DataFrame, new: DataFrame, usage: DataFrame) -> DataFrame:
+    """Per group, between two mapping snapshots: fields before and after, added and removed, and the
+    references to added fields in ``usage`` (``mapping.field_usage`` of the events since)."""
+    keys = ["index_group", "field_name"]
+    both = old.select(*keys).withColumn("in_old", F.lit(True)).join(
+        new.select(*keys).withColumn("in_new", F.lit(True)), keys, "full"
+    )
+    uses = sum((F.col(f"count_{c}") for c in _ANY_USE), F.lit(0))
+    used = both.join(usage.select(*keys, uses.alias("uses")), keys, "left")
+    added = F.col("in_old").isNull()
+    return used.groupBy("index_group").agg(
+        F.count("in_old").alias("fields_before"),
+        F.count("in_new").alias("fields_after"),
+        F.count_if(added).alias("added"),
+        F.count_if(F.col("in_new").isNull()).alias("removed"),
+        F.coalesce(F.sum(F.when(added, F.col("uses"))), F.lit(0)).cast("long").alias("references_to_added"),
+    )
+
+
 def type_conflicts(mapping_fields: DataFrame) -> DataFrame:
     """Field names mapped to different types in different groups."""
     kinds = mapping_fields.groupBy("field_name").agg(

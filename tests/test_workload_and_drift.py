@@ -68,3 +68,21 @@ def test_operation_kinds(spark):
     frame = spark.createDataFrame(list(cases), "operation string, http_method string")
     got = {(r.operation, r.http_method): r.kind for r in frame.withColumn("kind", S.operation_kind()).collect()}
     assert got == cases
+
+
+def test_multi_field_gaps(spark):
+    rows = [("a", "title"), ("a", "title.keyword"), ("b", "title"), ("b", "size"), ("c", "title"), ("c", "title.keyword")]
+    fields = spark.createDataFrame(rows, "index_group string, field_name string")
+    assert {tuple(r) for r in J.multi_field_gaps(fields).select("index_group", "field_name").collect()} == {("b", "title")}
+
+
+def test_change_verdicts(spark):
+    counts = ", ".join(f"count_{c} long" for c in ("queried", "filtered", "aggregated", "sorted", "sourced", "written"))
+    usage = spark.createDataFrame([("g", "f", 2, 0, 3, 0, 1, 0)], f"index_group string, field_name string, {counts}")
+    changes = spark.createDataFrame(
+        [("g", "f", a) for a in (*J.BREAKS, "add_field")] + [("g", "idle", "remove_field")],
+        "index_group string, field_name string, action string",
+    )
+    got = {(r.field_name, r.action): (r.breaking, r.broken_references) for r in J.change_verdicts(usage, changes).collect()}
+    assert got["f", "remove_field"] == (True, 6) and got["f", "disable_doc_values"] == (True, 3)
+    assert got["f", "disable_index"] == (True, 2) and got["f", "add_field"] == (False, 0) == got["idle", "remove_field"]
