@@ -37,8 +37,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2  # model type
 UNKNOWN_PENALTY = 10.0
-#: Stretches up to this length are remembered, so many of them in a task.
-MEMORY_CHARS, MEMORY_ENTRIES = 48, 300_000
+#: Stretches up to this length are remembered, so many of them in each generation.
+MEMORY_CHARS, MEMORY_ENTRIES = 48, 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -73,9 +73,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 @dataclass(frozen=True)
 class Model:
-    pieces: list[str]
-    scores: list[float]
-    kinds: list[int]
+    pieces: tuple[str, ...]
+    scores: tuple[float, ...]
+    kinds: tuple[int, ...]
     dummy_prefix: bool = True
     squeeze: bool = False
 
@@ -97,7 +97,18 @@ class Model:
                 prefix, squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
         if ranked:
             scores = [-math.log(2 - s) if k in (NORMAL, USER) else s for s, k in zip(scores, kinds)]
-        return Model(pieces, scores, kinds, prefix, squeeze)
+        return Model(tuple(pieces), tuple(scores), tuple(kinds), prefix, squeeze)
+
+
+_codecs: dict[Model, Codec] = {}
+
+
+def _codec(model: Model) -> Codec:
+    """The codec of a model, kept with its memory by the worker process from task to task."""
+    if model not in _codecs:
+        _codecs.clear()
+        _codecs[model] = Codec(model)
+    return _codecs[model]
 
 
 class Codec:
@@ -106,6 +117,12 @@ class Codec:
         usable = [k in (NORMAL, USER) for k in model.kinds]
         self.vocabulary = {p: (s, i) for i, (p, s, u) in enumerate(zip(model.pieces, model.scores, usable)) if u}
         self.longest = max(map(len, self.vocabulary), default=1)
+        self.trie: dict = {}
+        for piece, entry in self.vocabulary.items():
+            node = self.trie
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = entry
         self.unknown_id = model.kinds.index(UNKNOWN) if UNKNOWN in model.kinds else 0
         least = min((s for s, _ in self.vocabulary.values()), default=0.0)
         self.unknown = least - UNKNOWN_PENALTY
@@ -172,60 +189,84 @@ class Codec:
 
 
 class _Memory(dict):
+    """Ids of stretches, packed. Two generations of bounded size: what is still in use when the young one
+    is full moves over from the old one as it is asked for again."""
+
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
-        search = StreamingViterbi(self.codec)
-        ids = search.feed(stretch) + search.finish()
-        packed = np.array(ids, "<i4").tobytes()
+        packed = self.old.get(stretch)
+        if packed is None:
+            search = StreamingViterbi(self.codec)
+            ids = search.feed(stretch) + search.finish()
+            packed = struct.pack(f"<{len(ids)}i", *ids)
         if len(stretch) <= MEMORY_CHARS:
             if len(self) >= MEMORY_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[stretch] = packed
         return packed
 
 
 class StreamingViterbi:
-    """Feed characters, get the ids that are final; ``finish`` gives the rest."""
+    """Feed characters, get the ids that are final; ``finish`` gives the rest.
+
+    ``open`` holds the characters after the last committed boundary. A start is expanded, along the trie
+    of pieces, once as many characters follow it as the longest piece has."""
 
     def __init__(self, codec: Codec):
         self.codec = codec
-        self.open = ""  # characters after the last committed boundary
-        self.best = [0.0]  # of each boundary in the open part
+        self.open = ""
+        self.best = [0.0]  # of each boundary reached so far
         self.back: list[tuple[int, int | None]] = [(0, None)]  # where its last piece starts, and the id
+        self.done = 0  # starts expanded
         self.widest = 0  # the longest open part so far
 
     def feed(self, text: str) -> list[int]:
         out: list[int] = []
-        codec = self.codec
-        get, longest = codec.vocabulary.get, codec.longest
-        for char in text:
-            self.open += char
-            end = len(self.open)
-            top, at, piece = None, end - 1, None
-            for start in range(max(0, end - longest), end):
-                known = get(self.open[start:end])
-                if known is not None:
-                    score = self.best[start] + known[0]
-                    if top is None or score > top:
-                        top, at, piece = score, start, known[1]
-            if char not in codec.vocabulary:  # a single character always has an unknown piece at least
-                score = self.best[end - 1] + codec.unknown
-                if top is None or score > top:
-                    top, at, piece = score, end - 1, None
-            self.best.append(top)
-            self.back.append((at, piece))
-            self.widest = max(self.widest, end)
-            if end >= 2 * longest:
+        longest = self.codec.longest
+        for at in range(0, len(text), longest):
+            self.open += text[at : at + longest]
+            self.widest = max(self.widest, len(self.open))
+            self._expand(len(self.open) - longest)
+            if self.done >= longest:
                 out += self._commit()
         return out
 
+    def _expand(self, limit: int) -> None:
+        codec, window, best, back = self.codec, self.open, self.best, self.back
+        trie, unknown, n = codec.trie, codec.unknown, len(window)
+        for start in range(self.done, limit):
+            base, node = best[start], trie
+            for end in range(start, n):
+                node = node.get(window[end])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    score = base + piece[0]
+                    while len(best) < end + 2:
+                        best.append(-math.inf)
+                        back.append((0, None))
+                    if score > best[end + 1]:
+                        best[end + 1] = score
+                        back[end + 1] = (start, piece[1])
+            if window[start] not in codec.vocabulary:  # a single character always has an unknown piece at least
+                if len(best) < start + 2:
+                    best.append(-math.inf)
+                    back.append((0, None))
+                if base + unknown > best[start + 1]:
+                    best[start + 1] = base + unknown
+                    back[start + 1] = (start, None)
+        self.done = max(self.done, limit)
+
     def _commit(self) -> list[int]:
-        """Commits up to the boundary at which the paths of all live boundaries meet."""
-        end = len(self.open)
-        live = set(range(max(0, end - self.codec.longest + 1), end + 1))
+        """Commits up to the boundary at which the paths of all live boundaries meet. Live are those
+        from which pieces are still to start."""
+        live = {e for e in range(self.done, len(self.best)) if self.best[e] > -math.inf}
         while len(live) > 1:
             last = max(live)
             live.remove(last)
@@ -237,20 +278,26 @@ class StreamingViterbi:
         self.open = self.open[meet:]
         self.best = [b - self.best[meet] for b in self.best[meet:]]
         self.back = [(max(at - meet, 0), piece) for at, piece in self.back[meet:]]
+        self.done -= meet
         return out
 
     def _ids(self, end: int) -> list[int]:
         path: list[tuple[int, int, int | None]] = []
+        back = self.back
         while end > 0:
-            start, piece = self.back[end]
+            start, piece = back[end]
             path.append((start, end, piece))
             end = start
         out: list[int] = []
         for start, stop, piece in reversed(path):
-            out += self.codec.unknown_ids(self.open[start:stop]) if piece is None else [piece]
+            if piece is None:
+                out += self.codec.unknown_ids(self.open[start:stop])
+            else:
+                out.append(piece)
         return out
 
     def finish(self) -> list[int]:
+        self._expand(len(self.open))
         out = self._ids(len(self.open))
         self.__init__(self.codec)
         return out
@@ -275,7 +322,7 @@ def encode(docs: DataFrame, model: Model, text: str = "text", ids: str = "ids")
     """``docs`` + ``ids`` (array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = _codec(model)
         for batch in batches:
             packed = [codec.encode_packed(t or "") for t in batch.column(text).to_pylist()]
             yield _replaced(batch, (ids,), [_packed_lists(packed)])
@@ -287,7 +334,7 @@ def decode(coded: DataFrame, model: Model, ids: str = "ids", text: str = "text")
     """``coded`` with ``ids`` turned into ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = _codec(model)
         for batch in batches:
             texts = [codec.decode(np.asarray(x.values, np.int64)) if x.is_valid else "" for x in batch.column(ids)]
             yield _replaced(batch, (ids, text), [pa.array(texts, pa.string())])
@@ -301,7 +348,7 @@ def round_trip(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     and ``decoded`` (string), in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = _codec(model)
         for batch in batches:
             packed = [codec.encode_packed(t or "") for t in batch.column(text).to_pylist()]
             ids = [np.frombuffer(p, "<i4") for p in packed]
