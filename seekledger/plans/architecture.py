@@ -44,19 +44,25 @@ def grouped_rows(listing: DataFrame, group_map: DataFrame) -> DataFrame:
 
 def usage_stats(events: DataFrame, include_doc_write: bool = False) -> DataFrame:
     """Lookback percentiles, dominant sort field and its share, search and write counts per group."""
+    writes = WRITE_OPERATIONS + (("doc_write",) if include_doc_write else ())
+    kind = F.when(F.col("operation").isin(*SEARCH_OPERATIONS), "search").when(F.col("operation").isin(*writes), "write")
+    # The one scan: requests with equal lookback, kind and sort fields are one row from here on, and the
+    # three results below share its exchange.
+    cells = events.groupBy(
+        "index_group", "lookback_seconds", kind.alias("kind"), F.array_distinct("fields.sorted").alias("sorted")
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
     lookbacks = R.exact_percentiles(
-        events, ["index_group"], "lookback_seconds", {"lookback_p50_seconds": 0.5, "lookback_p95_seconds": 0.95}
+        cells, ["index_group"], "lookback_seconds", {"lookback_p50_seconds": 0.5, "lookback_p95_seconds": 0.95}, weight="_n"
     )
-    writes = WRITE_OPERATIONS + (("doc_write",) if include_doc_write else ())
-    counts = events.groupBy("index_group").agg(
-        F.count_if(F.col("operation").isin(*SEARCH_OPERATIONS)).alias("search_count"),
-        F.count_if(F.col("operation").isin(*writes)).alias("write_count"),
-        F.count_if(F.size("fields.sorted") > 0).alias("_sorted"),
+    counts = cells.groupBy("index_group").agg(
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(f"{k}_count") for k in ("search", "write")],
+        F.coalesce(F.sum(F.when(F.size("sorted") > 0, n)), F.lit(0)).alias("_sorted"),
     )
     sorts = (
-        events.select("index_group", F.explode(F.array_distinct("fields.sorted")).alias("dominant_sort_field"))
+        cells.select("index_group", F.explode("sorted").alias("dominant_sort_field"), "_n")
         .groupBy("index_group", "dominant_sort_field")
-        .agg(F.count(F.lit(1)).alias("_uses"))
+        .agg(F.sum("_n").alias("_uses"))
     )
     dominant = R._top_rows(sorts, ["index_group"], "dominant_sort_field", "_uses", 1)
     both_zero = (F.col("lookback_p50_seconds") == 0) & (F.col("lookback_p95_seconds") == 0)
@@ -114,7 +120,7 @@ def rollover_hours(cat_indices: DataFrame, group_map: DataFrame) -> DataFrame:
     gaps = created.withColumn("before", before).join(ends, day).select(
         "index_group", ((F.col("at") - F.coalesce("before", "before_day")) / 3.6e9).alias("gap")
     )
-    return R.exact_percentiles(gaps, ["index_group"], "gap", {"estimated_rollover_hours": 0.5}, digits=None)
+    return R.ranked_percentile(gaps, ["index_group"], "gap", 0.5, "estimated_rollover_hours")
 
 
 def representative_settings(settings: DataFrame, group_map: DataFrame) -> DataFrame:

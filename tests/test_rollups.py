@@ -156,3 +156,29 @@ def test_rankings_scan_their_source_once(spark, frame, tmp_path):
     ):
         plan = _final_plan(df)
         assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_ranked_percentile_equals_the_exact_one(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [("hot", r.choice([r.random() * 1e6, 7.5])) for _ in range(4000)] + [("one", 3.25), ("same", 2.0), ("same", 2.0), ("none", None)]
+    rows += [("two", 1.0), ("two", 2.0)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    for p in (0.0, 0.3, 0.5, 0.95, 1.0):
+        want = {r.k: r.x for r in R.exact_percentiles(frame, ["k"], "v", {"x": p}, digits=9).collect()}
+        got = {r.k: r.x for r in R.ranked_percentile(frame, ["k"], "v", p, "x", bins=50).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_usage_stats_scan_once(spark, tmp_path):
+    from seekledger.plans.architecture import usage_stats
+    from seekledger.schemas import USAGE_EVENTS
+
+    spark.createDataFrame([], USAGE_EVENTS).write.parquet(str(tmp_path / "e"))
+    stats = usage_stats(spark.read.schema(USAGE_EVENTS).parquet(str(tmp_path / "e")))
+    stats.collect()
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") <= 1 or "ReusedExchange" in final
+
