@@ -54,6 +54,13 @@ def written_path(spark: SparkSession, name: str) -> str:
     return _written[(spark.sparkContext.applicationId, name)]
 
 
+def forget(spark: SparkSession, *names: str) -> None:
+    """Let the tables whose name begins so be computed anew when next asked for."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _written if k[0] == app and k[1].startswith(names)]:
+        del _written[key]
+
+
 def append_events(events: DataFrame, path: str, run: str | None = None) -> None:
     """Append usage events, one folder per day. The rebalance gives files of even size: it splits
     a heavy day over several tasks and merges light ones.
