@@ -10,7 +10,7 @@ from catalogue.common import AVG_MS, SUM_MS, WIDTH, Query, stamp_sql
 from catalogue.events_sql import FIELDS, with_events
 from catalogue.mapping import DIFF_CTE, FIELDS_CTE, REFS_CTE, USAGE_CTE
 from catalogue.usage import terms_sql
-from seekledger.operators.tables import append_events, new_place, replace_groups
+from seekledger.operators.tables import append_events, clear_events, new_place, replace_groups
 from seekledger.plans import drift as J
 from seekledger.plans import mapping as M
 from seekledger.plans import usage as U
@@ -46,7 +46,7 @@ def _on(table, query, *args):
 
 
 def _tokens(column: str, term: str) -> str:
-    return f"list_contains(regexp_split_to_array(lower({column}), '\\W+'), '{term}')"
+    return f"list_contains(regexp_split_to_array(lower({column}), '[^\\pL\\pN_]+'), '{term}')"
 
 
 def _match(table, view: str, cte: str, text: str, term: str, columns: tuple, key: str, size: int) -> Query:
@@ -190,6 +190,18 @@ def _sink(spark, sf_dir):
     return stored.groupBy("event_date", "index_group").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _cleared(spark, sf_dir):
+    """Events written, cleared, and those of one group written again, in the same run twice."""
+    path = new_place(spark, "cleared_events")
+    events = C.usage_events(spark, sf_dir)
+    append_events(events, path)
+    clear_events(spark.read.schema(USAGE_EVENTS).parquet(path), path + "-empty")
+    for _ in range(2):
+        append_events(events.filter("index_group = 'orders'"), path + "-empty", run="again")
+    stored = spark.read.schema(USAGE_EVENTS).parquet(path + "-empty")
+    return stored.groupBy("event_date", "index_group").agg(F.count(F.lit(1)).alias("count"))
+
+
 def _replaced(spark, sf_dir):
     events = C.usage_events(spark, sf_dir)
     old = U.groups_by_count(U.select_events(events, end=SPLIT), 1000)
@@ -209,6 +221,13 @@ QUERIES: dict[str, Query] = {
             "SELECT strftime(\"timestamp\", '%Y-%m-%d') AS event_date, index_group, count(*) AS count FROM ev GROUP BY 1, 2"
         ),
     ),
+    "a11_clear_events": Query(
+        _cleared,
+        with_events(
+            "SELECT strftime(\"timestamp\", '%Y-%m-%d') AS event_date, index_group, count(*) AS count FROM ev "
+            "WHERE index_group = 'orders' GROUP BY 1, 2"
+        ),
+    ),
     "a10_replace_groups": Query(
         _replaced,
         with_events(

@@ -66,7 +66,7 @@ def append_events(events: DataFrame, path: str, run: str | None = None) -> None:
     a heavy day over several tasks and merges light ones.
 
     A named ``run`` (a batch id, say) has a folder of its own inside each day, which writing it again
-    replaces: a job that is retried adds nothing twice."""
+    replaces: a job that is retried adds nothing twice. A table takes runs always or never."""
     even = events.hint("rebalance", "event_date")
     if run is None:
         even.write.mode("append").partitionBy("event_date").parquet(path)

@@ -13,7 +13,7 @@ from seekledger.operators import rollups as R
 
 def matches(text: str, term: str) -> Column:
     """Full-text match without ranking: some lower-cased token equals the term."""
-    return F.array_contains(F.split(F.lower(F.col(text)), r"\W+"), term.lower())
+    return F.array_contains(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), term.lower())
 
 
 def search_text(df: DataFrame, text: str, term: str, columns: Sequence[str], key: str, size: int) -> DataFrame:
