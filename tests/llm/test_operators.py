@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seekledger.llm import arrays, blocks, line_dedup, language_id, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, warc
 from seekledger.llm.components import components
 from seekledger.llm.queries import PIECES
+from text_samples import sentence
 
 # --- arrays and blocks
 
@@ -275,8 +276,6 @@ def test_forward_backward_against_all_paths():
 
 
 def test_code_switched_words():
-    from conftest import sentence
-
     r = random.Random(8)
     lines = [(sentence(r, g, 12), g) for g in ("en", "fr", "de") for _ in range(80)]
     model = language_id.train(lines)
