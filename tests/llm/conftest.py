@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 
 from text_samples import sample_documents
 
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from seekledger.session import SETTINGS
