@@ -35,14 +35,26 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+#: Powers are kept between calls up to this exponent: what an idle worker holds stays small.
+_KEPT_POWERS = 1 << 19
+
+
+def _made_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(b: int) -> np.ndarray:
+        out = np.full(n + 1, U(b & 0xFFFFFFFFFFFFFFFF))
+        out[0] = 1
+        return np.cumprod(out, out=out)
+
+    return run(base), run(pow(base, -1, 1 << 64))
+
+
 def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(base**i, base**-i) for i up to n, kept between calls."""
-    known = _powers.get(base)
-    if known is None or len(known[0]) <= n:
-        inverse = pow(base, -1, 1 << 64)
-        run = lambda b: np.cumprod(np.concatenate([[U(1)], np.full(n + n // 2, U(b & 0xFFFFFFFFFFFFFFFF))]), dtype=U)
-        known = _powers[base] = (run(base), run(inverse))
-    return known
+    """(base**i, base**-i) for i up to n."""
+    if n > _KEPT_POWERS:
+        return _made_powers(base, n)
+    if base not in _powers:
+        _powers[base] = _made_powers(base, _KEPT_POWERS)
+    return _powers[base]
 
 
 class Runs:

@@ -28,7 +28,7 @@ from seekledger.llm.scratch import partitions, written, written_bucketed
 U = np.uint64
 #: Documents and bytes of text in a block, at most (a longer text is a block of its own).
 MAX_ROWS = 4096
-MAX_BYTES = 2 << 20
+MAX_BYTES = 1 << 20
 ROW_BITS = 12
 
 

@@ -34,7 +34,7 @@ UNDETERMINED = "und"
 CHAIN = 256
 FEATURE_BITS = 16
 #: Words of text coded at a time.
-_BATCH_CHARS = 2_000_000
+_BATCH_CHARS = 1_000_000
 
 
 class Words(NamedTuple):

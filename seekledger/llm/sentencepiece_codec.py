@@ -38,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2  # model type
 UNKNOWN_PENALTY = 10.0
 #: Stretches up to this length are remembered, so many of them in each generation.
-MEMORY_CHARS, MEMORY_ENTRIES = 48, 500_000
+MEMORY_CHARS, MEMORY_ENTRIES = 32, 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
