@@ -38,17 +38,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    payloads = pages.select(F.col("page_id").alias("id"), "url", F.encode("html", "UTF-8").alias("payload"))
+    html = F.encode("html", "UTF-8").alias("payload")
+    payloads = pages.select(F.col("page_id").alias("id"), "url", html, warc.file_rows().alias("row"))
     path = new_path(spark, "archives")
     warc.write_archives(warc.mark_revisits(payloads), path)
     read = warc.resolve(warc.decode(warc.reassemble(warc.read_archives(spark, path))))
-    page = lambda name: F.regexp_extract(name, r"^<urn:page:(-?\d+)>$", 1).cast("long")
     return read.select(
-        page(F.col("record_id")).alias("page_id"),
+        F.col("page_id").try_cast("long").alias("page_id"),
         "payload_bytes",
         F.col("digest").alias("payload_digest"),
         "record_type",
-        F.when(F.col("record_type") == "revisit", page(F.coalesce("refers_to", F.lit("")))).alias("refers_to"),
+        F.when(F.col("record_type") == "revisit", F.col("refers_page").try_cast("long")).alias("refers_to"),
     )
 
 

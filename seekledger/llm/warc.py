@@ -11,8 +11,8 @@ off. Unsegmented records move through no shuffle.
 Cases: null payloads are written as empty ones; an empty table gives an empty folder and no rows;
 payloads may hold any bytes, record delimiters included, as only lengths end a record; a record
 that is cut off, a missing or repeated segment and a wrong total give ``complete = false``;
-extra columns are ignored; rows that repeat an id are separate records but share a name, so give
-each row its own id.
+extra columns are ignored; each row is a record with a name of its own, also where ids repeat or are
+null: the id stands in a header field beside the name, and revisits refer to one record by its name.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekledger.llm.scratch import written
+
 #: Format names (fixed by the format).
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,26 +54,52 @@ def chunked(payload: Column, chunk_bytes: int) -> Column:
     return F.concat(body, _bytes("0" + _CRLF + _CRLF))
 
 
+def file_rows() -> Column:
+    """A unique ``row`` of a table read from files: its file and its place in it."""
+    return F.concat(F.sha1(F.col("_metadata.file_path").cast("binary")), F.lit("-"), F.col("_metadata.row_index"))
+
+
 def mark_revisits(payloads: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """``id, url, payload`` -> ``+ payload_digest, record_type, refers_to``. Among equal payloads of
-    at least ``min_bytes`` the largest id is the response and the others refer to it."""
+    """``id, url, payload`` -> ``+ payload_digest, record_type, refers_to, name, refers_name``. Among
+    equal payloads of at least ``min_bytes`` the largest id is the response and the others refer to it.
+
+    A column ``row``, unique and the same whenever the rows are read, tells rows of one id apart; without
+    one the rows are numbered and written first. A record is named by its id, and by its row too where
+    the id is null or repeated.
+    """
+    if "row" not in payloads.columns:
+        row = F.monotonically_increasing_id().cast("string").alias("row")
+        payloads = written(payloads.select("id", "url", "payload", row), "payloads")
     data = payloads.withColumn("payload", F.coalesce(F.col("payload"), _bytes("")))
-    data = data.withColumn("payload_digest", F.sha1("payload")).withColumn("_size", F.octet_length("payload"))
-    large = data.filter(F.col("_size") >= min_bytes)
-    chosen = large.groupBy("payload_digest", "_size").agg(F.max("id").alias("_chosen"), F.count("*").alias("_n"))
+    data = data.withColumn("payload_digest", F.sha1("payload"))
+    seen = written(data.select("row", "id", "payload_digest", F.octet_length("payload").alias("_size")), "pages_seen")
+    again = seen.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1")
+    again = again.select("id", F.lit(True).alias("_again"))
+    large = seen.filter(F.col("_size") >= min_bytes)
+    chosen = large.groupBy("payload_digest", "_size").agg(F.max(F.struct("id", "row")).alias("_chosen"), F.count("*").alias("_n"))
     # most payloads are single: only repeated ones meet their rows again
-    repeated = chosen.filter("_n > 1").drop("_n")
-    marked = data.join(repeated, ["payload_digest", "_size"], "left")
-    revisit = F.col("_chosen").isNotNull() & (F.col("_chosen") != F.col("id"))
+    repeated = chosen.filter("_n > 1 AND _chosen.id IS NOT NULL").select(
+        "payload_digest", "_size", F.col("_chosen.id").alias("_id"), F.col("_chosen.row").alias("_row")
+    )
+    repeated = repeated.join(again.select(F.col("id").alias("_id"), F.col("_again").alias("_many")), "_id", "left")
+    revisit = F.col("_id").isNotNull() & (F.col("_id") != F.col("id"))
+    marks = seen.join(repeated, ["payload_digest", "_size"], "left").join(again, "id", "left").select(
+        "row", "_again",
+        F.when(revisit, F.col("_id")).alias("refers_to"),
+        F.when(revisit, _name(F.col("_id"), F.col("_row"), F.col("_many"))).alias("refers_name"),
+    )
+    # payloads meet the few marked rows by their own unique row: no group of copies comes together
+    marked = data.join(marks.filter("_again OR refers_to IS NOT NULL"), "row", "left")
     return marked.select(
         "id", "url", "payload", "payload_digest",
-        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
-        F.when(revisit, F.col("_chosen")).alias("refers_to"),
+        F.when(F.col("refers_to").isNotNull(), F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"),
+        "refers_to", _name(F.col("id"), F.col("row"), F.col("_again")).alias("name"), "refers_name",
     )
 
 
-def _name(id_: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), id_.cast("string"), F.lit(">"))
+def _name(id_: Column, row: Column, repeated: Column) -> Column:
+    one = F.when(id_.isNotNull() & ~F.coalesce(repeated, F.lit(False)), F.lit("")).otherwise(F.concat(F.lit(";row="), row))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(id_.cast("string"), F.lit("")), one, F.lit(">"))
 
 
 def write_archives(
@@ -88,7 +116,7 @@ def write_archives(
     block = F.when(is_revisit, _bytes(http + _CRLF)).otherwise(
         F.concat(_bytes(http + "Transfer-Encoding: chunked" + _CRLF + _CRLF), chunked(F.col("payload"), chunk_bytes))
     )
-    rows = marked.select("id", "url", "payload_digest", "record_type", "refers_to", block.alias("block"))
+    rows = marked.select("id", "url", "payload_digest", "record_type", "refers_to", "name", "refers_name", block.alias("block"))
     total = F.octet_length("block")
     segments = rows.select(
         "*", total.alias("total"),
@@ -98,8 +126,8 @@ def write_archives(
     last = F.col("start") + segment_bytes > F.col("total")
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value.cast("string"), F.lit(_CRLF))
     when = lambda test, text: F.when(test, text).otherwise(F.lit(""))
-    own = F.when(first, _name(F.col("id"))).otherwise(
-        F.concat(F.lit("<urn:page:"), F.col("id").cast("string"), F.lit(":"), (F.col("k") + 1).cast("string"), F.lit(">"))
+    own = F.when(first, F.col("name")).otherwise(
+        F.concat(F.regexp_replace("name", ">$", ":"), (F.col("k") + 1).cast("string"), F.lit(">"))
     )
     head = F.concat(
         F.lit(VERSION + _CRLF),
@@ -108,9 +136,11 @@ def write_archives(
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", " ")),
         when(first, line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest")))),
-        when(first & is_revisit, F.concat(F.lit("WARC-Profile: " + PROFILE + _CRLF), line("WARC-Refers-To", F.coalesce(_name(F.col("refers_to")), F.lit(""))))),
+        when(first & F.col("id").isNotNull(), line("WARC-Page-ID", F.col("id"))),
+        when(first & is_revisit, F.concat(F.lit("WARC-Profile: " + PROFILE + _CRLF), line("WARC-Refers-To", F.coalesce("refers_name", F.lit(""))))),
+        when(first & F.col("refers_to").isNotNull(), line("WARC-Refers-To-Page-ID", F.col("refers_to"))),
         when(many, line("WARC-Segment-Number", F.col("k") + 1)),
-        when(many & ~first, line("WARC-Segment-Origin-ID", _name(F.col("id")))),
+        when(many & ~first, line("WARC-Segment-Origin-ID", F.col("name"))),
         when(many & last, line("WARC-Segment-Total-Length", F.col("total"))),
         F.lit("Content-Type: application/http; msgtype=response" + _CRLF),
         line("Content-Length", F.octet_length("part")),
@@ -124,15 +154,16 @@ def write_archives(
 
 RECORD = (
     "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, "
-    "origin_id string, segment int, total_length long, complete boolean, block binary"
+    "origin_id string, segment int, total_length long, page_id string, refers_page string, complete boolean, block binary"
 )
 _FIELDS = (
     "warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to",
-    "warc-segment-origin-id", "warc-segment-number", "warc-segment-total-length",
+    "warc-segment-origin-id", "warc-segment-number", "warc-segment-total-length", "warc-page-id", "warc-refers-to-page-id",
 )
 _SCHEMA = pa.schema(
     [(n, pa.string()) for n in ("record_type", "record_id", "target_uri", "payload_digest", "refers_to", "origin_id")]
-    + [("segment", pa.int32()), ("total_length", pa.int64()), ("complete", pa.bool_()), ("block", pa.binary())]
+    + [("segment", pa.int32()), ("total_length", pa.int64()), ("page_id", pa.string()), ("refers_page", pa.string())]
+    + [("complete", pa.bool_()), ("block", pa.binary())]
 )
 _START = re.compile(rb"WARC/1\.\d\r?\n")
 _BATCH_BYTES = 8 << 20
@@ -224,7 +255,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     head = lambda name: F.max(F.when(F.col("segment") == 1, F.col(name))).alias(name)
     pieces = F.array_sort(F.collect_list(F.struct("segment", "block")))
     joined = parts.groupBy("origin").agg(
-        *(head(n) for n in ("record_type", "record_id", "target_uri", "payload_digest", "refers_to")),
+        *(head(n) for n in ("record_type", "record_id", "target_uri", "payload_digest", "refers_to", "page_id", "refers_page")),
         F.max("total_length").alias("total"),
         F.min("complete").alias("all_complete"),
         pieces.alias("pieces"),
@@ -288,7 +319,8 @@ def resolve(decoded: DataFrame) -> DataFrame:
     )
     own = responses.filter("refers_to IS NULL OR record_type != 'revisit'").drop("payload")
     revisits = responses.filter("refers_to IS NOT NULL AND record_type = 'revisit'").drop("payload", "payload_bytes", "digest")
-    target = responses.filter("record_type = 'response'").select(
-        F.col("record_id").alias("refers_to"), "payload_bytes", "digest"
-    )
+    # a record that is there twice (an archive read twice) counts once, by its sound copy
+    best = F.max(F.struct((F.col("complete") & F.col("framed")).alias("sound"), "payload_bytes", "digest")).alias("t")
+    target = responses.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(best)
+    target = target.select("refers_to", "t.payload_bytes", "t.digest")
     return own.unionByName(revisits.join(target, "refers_to", "left").select(own.columns))

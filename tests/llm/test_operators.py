@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -99,6 +100,26 @@ def test_lost_segments_are_seen(spark, tmp_path):
     assert warc._decode(b"HTTP/1.1 200 OK\r\n\r\nabc") == (b"abc", True)
 
 
+def test_pages_that_share_an_id_or_have_none(spark, tmp_path):
+    large, other = b"x" * 90_000, b"y" * 80_000
+    rows = [(1, "u", large), (1, "v", large), (0, "u", large), (2, "u", other), (2, "u", b"z" * 70_000), (2, "u", other), (-3, "u", other)]
+    rows += [(None, "u", b"n" * 40_000), (None, None, b"n" * 40_000), (None, "u", large), (None, "u", None), (5, "u", b"s"), (5, "u", b"s")]
+    marked = warc.mark_revisits(spark.createDataFrame(rows, "id long, url string, payload binary").repartition(3))
+    warc.write_archives(marked, str(tmp_path / "a"))
+    records = warc.read_archives(spark, str(tmp_path / "a"))
+    whole = warc.reassemble(records).collect()
+    assert len({r.record_id for r in whole}) == len(rows) and all(r.complete for r in whole)
+    resolved = warc.resolve(warc.decode(warc.reassemble(records)))
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = [(r.page_id and int(r.page_id), r.payload_bytes, r.digest, r.refers_page) for r in resolved.collect()]
+    refers = {(0, large): "1", (-3, other): "2"}
+    want = [(k, len(p or b""), hashlib.sha1(p or b"").hexdigest(), refers.get((k, p))) for k, _, p in rows]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    # the same archives read twice: no revisit is doubled beyond its own copies
+    twice = warc.decode(warc.reassemble(records)).unionByName(warc.decode(warc.reassemble(records)))
+    assert warc.resolve(twice).count() == 2 * len(rows)
+
+
 # --- repeats and joins
 
 

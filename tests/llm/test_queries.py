@@ -50,6 +50,19 @@ def test_sql(spark, sf_dir, name):
     assert sorted(map(tuple, got), key=repr) == want
 
 
+def test_pages_with_repeated_and_null_ids(spark, tmp_path):
+    body, long_ = "<p>" + "é page " * 300, "y" * 70_000
+    rows = [(1, body), (1, body), (None, body), (0, body), (2, long_), (2, long_), (2, "z" * 50_000), (None, long_), (None, None), (-1, long_)]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = db.execute(q.OP2_SQL)
+    names = [c[0] for c in want.description]
+    got = q.op2_warc(spark, str(tmp_path)).select(names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 @pytest.mark.parametrize("name", list(q.QUERIES))
 def test_empty_tables(spark, empty_dir, name):
     assert q.QUERIES[name].run(spark, empty_dir).collect() == []
