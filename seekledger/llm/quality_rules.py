@@ -48,42 +48,35 @@ def _share(top: str, bottom: str) -> Column:
 def _repeat_words(word_list: Column, window: int = 3) -> Column:
     """Words inside windows of ``window`` words that occur twice or more in the text.
 
-    Each window is one long: the high bits of its hash, the low bits its position, as many as the
-    text needs. Sorting brings equal windows together; neighbours with equal high bits are compared
-    word by word, so a hash collision counts for nothing. The positions found, in order, cover
-    ``window`` words each less their overlaps.
+    Windows are sorted by their hash, then their words, then their position: equal windows are
+    neighbours whatever the hash gives and however long the text is. The positions of windows that
+    equal a neighbour, in order, cover ``window`` words each less their overlaps.
     """
 
     def of(w: Column) -> Column:
         n = F.size(w)
+        same_fields = ["h", *(f"w{k}" for k in range(window))]
 
-        def counted(span: Column) -> Column:
-            high = (-span).cast("long")
+        def placed(i: Column) -> Column:
+            parts = [F.get(w, i + k) for k in range(window)]
+            return F.struct(*(x.alias(n) for x, n in zip([F.xxhash64(*parts), *parts], same_fields)), i.alias("i"))
 
-            def packed(i: Column) -> Column:
-                parts = [F.get(w, i + k) for k in range(window)]
-                return F.xxhash64(*parts).bitwiseAND(high).bitwiseOR(i.cast("long"))
+        def same(a: Column, b: Column) -> Column:
+            equal = F.lit(True)
+            for name in same_fields:
+                equal = equal & (a[name] == b[name])
+            return F.coalesce(equal, F.lit(False))
 
-            def same(a: Column, b: Column) -> Column:
-                at, to = (x.bitwiseAND(span - 1).cast("int") for x in (a, b))
-                equal = a.bitwiseAND(high) == b.bitwiseAND(high)
-                for k in range(window):
-                    equal = equal & (F.get(w, at + k) == F.get(w, to + k))
-                return F.coalesce(equal, F.lit(False))
+        def found(s: Column) -> Column:
+            return F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
 
-            def found(s: Column) -> Column:
-                return F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
+        def covered(p: Column) -> Column:
+            steps = F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window))))
+            return F.aggregate(steps, F.lit(0).cast("long"), lambda t, x: t + x)
 
-            def covered(p: Column) -> Column:
-                steps = F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window))))
-                return F.aggregate(steps, F.lit(0).cast("long"), lambda t, x: t + x)
-
-            order = F.sort_array(F.transform(F.sequence(F.lit(0), n - window), packed))
-            places = let(order, lambda s: F.sort_array(F.transform(found(s), lambda x: x.bitwiseAND(span - 1))))
-            return let(places, covered)
-
-        span = F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double") + 1))).cast("long")
-        return F.when(n <= window, F.lit(0).cast("long")).otherwise(let(span, counted))
+        order = F.sort_array(F.transform(F.sequence(F.lit(0), n - window), placed))
+        places = let(order, lambda s: F.sort_array(F.transform(found(s), lambda x: x["i"])))
+        return F.when(n <= window, F.lit(0).cast("long")).otherwise(let(places, covered))
 
     return let(word_list, of)
 

@@ -73,6 +73,19 @@ def test_rules_are_learned_and_ordered(spark):
     assert str(quality_rules.learn(df.limit(0), names=("a", "b"))) == "keep all"
 
 
+def test_repeated_words_under_hash_collisions(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abc") for _ in range(n)) for n in (0, 2, 3, 4, 9, 30)] + ["a b c x y z a b c", None]
+    # all windows share their hash, so that different ones lie between equal ones
+    monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: F.lit(5).cast("long"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.n_repeat_words for x in quality_rules.text_statistics(docs).collect()}
+    for k, text in enumerate(texts):
+        w = (text or "").split()
+        runs = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        assert got[k] == len({i + j for i, x in enumerate(runs) if runs.count(x) > 1 for j in range(3)})
+
+
 # --- WARC
 
 
