@@ -8,8 +8,9 @@ and backward passes, run over many chains at once. A chain is a line of a text,
 a longer line. A document's language is the one with the largest sum of word marginals over its words that
 have a letter.
 
-Training uses one line of each of at most about ``max_docs`` documents, chosen by hash (``training_lines``),
-and joins spans of lines in different languages, so that transitions learn how seldom languages switch.
+Training uses a span of one line of each of at most about ``max_docs`` documents, and of some documents of
+every language however rare it is; documents, lines and places of spans are chosen by hash
+(``training_lines``). It joins spans of lines in different languages, so that transitions learn how seldom languages switch.
 The model has a fixed size, whatever the corpus.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; training rows without a language are
@@ -19,6 +20,7 @@ rows are predicted alike; extra columns are ignored; whole texts are used, line
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,11 +30,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekledger.llm.arrays import RUN_BASES, Runs, mix, runs
+from seekledger.llm.native import words as words_of
 
 U = np.uint64
 UNDETERMINED = "und"
 CHAIN = 256
 FEATURE_BITS = 16
+#: Words and characters of a line that trains, at most; the span starts anywhere in the line.
+SPAN_WORDS = 64
+SPAN_CHARS = 2000
+#: Documents of each language that train, about so many or all of a rarer one.
+LEAST_DOCS = 50
 #: Words of text coded at a time.
 _BATCH_CHARS = 1_000_000
 
@@ -169,13 +177,20 @@ def forward_backward(
     return gamma, xi
 
 
+def _span(text: str) -> list[str]:
+    """Words of a line, or ``SPAN_WORDS`` of them from a place that a hash of the line gives."""
+    words = text.split()
+    begin = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(words) - SPAN_WORDS + 1)
+    return words[begin : begin + SPAN_WORDS]
+
+
 def train(lines: list[tuple[str, str]], epochs: int = 5, batch: int = 256, rate: float = 0.25, seed: int = 7) -> Model:
     """Learn from (text, language) lines."""
     random = np.random.default_rng(seed)
     languages = sorted({language for _, language in lines})
     number = {language: k for k, language in enumerate(languages)}
     k = len(languages)
-    cut = [(text.split()[:64], number[language]) for text, language in lines]
+    cut = [(_span(text), number[language]) for text, language in lines]
     cut = [(words, y) for words, y in cut if words]
     chains: list[list[tuple[str, int]]] = [[(w, y) for w in words] for words, y in cut]
     for _ in range(len(cut) // 2):  # code-switched chains: spans of two or three lines
@@ -240,17 +255,30 @@ def train(lines: list[tuple[str, str]], epochs: int = 5, batch: int = 256, rate:
     return model
 
 
-def training_lines(docs: DataFrame, max_docs: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``line, lang``: one line, by hash, of each of at most about ``max_docs`` documents that have a
-    language and a text."""
+def training_lines(
+    docs: DataFrame, max_docs: int, text: str = "text", lang: str = "lang", least: int = LEAST_DOCS
+) -> DataFrame:
+    """``line, lang``: a span of one line, by hash, of each of at most about ``max_docs`` documents that
+    have a language and a text; of a language that has few of them, about ``least`` documents or all."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    share = min(1.0, max_docs / n) if n else 0.0
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # the model has a column for each language, so their counts fit the driver
+    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    n = sum(counts.values())
+    if not n:
+        return rows.select(F.col(text).alias("line"), F.col(lang).alias("lang"))
+    shares = [(language, min(1.0, max(max_docs / n, least / c))) for language, c in counts.items()]
+    known = rows.sparkSession.createDataFrame(shares, "_lang string, _share double")
+    rows = rows.join(F.broadcast(known), F.col(lang) == F.col("_lang"))
+    fine = F.lit(1 << 52)  # a share of a large language may be below one in a million
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(23)), fine) < F.col("_share") * fine)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"\p{L}"))
-    one = F.get(lines, F.pmod(F.xxhash64("doc_id", F.lit(29)), F.greatest(F.size(lines), F.lit(1))).cast("int"))
-    # a chain for training is at most 64 words: longer lines are cut where they are read
-    return rows.select(F.substring(one, 1, 2000).alias("line"), F.col(lang).alias("lang")).filter("line IS NOT NULL")
+    by_hash = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(n, F.lit(1))).cast("int")
+    one = rows.select("doc_id", F.col(lang).alias("lang"), F.get(lines, by_hash(29, F.size(lines))).alias("_line"))
+    one = one.filter("_line IS NOT NULL").withColumn("_words", words_of(F.col("_line")))
+    begin = by_hash(31, F.size("_words") - SPAN_WORDS + 1)
+    span = one.withColumn("_span", F.array_join(F.slice("_words", begin + 1, SPAN_WORDS), " "))
+    at = by_hash(37, F.length("_span") - SPAN_CHARS + 1)
+    return span.select(F.substring("_span", at + 1, F.lit(SPAN_CHARS)).alias("line"), "lang")
 
 
 def word_marginals(model: Model, words: Words) -> np.ndarray:

@@ -317,3 +317,15 @@ def test_code_switched_words():
     marginals = language_id.word_marginals(model, language_id.read_words([text]))
     labels = [model.languages[k] for k in marginals.argmax(1)]
     assert labels[:9].count("en") >= 8 and labels[11:].count("de") >= 8
+
+
+def test_training_spans_lie_anywhere_and_hold_every_language(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(1000)), "en") for k in range(3000)]
+    rows += [(9000 + k, f"mot{k} ici", "fr") for k in range(3)] + [(9100, "\u4e2d" * 9000, "zh"), (9200, None, "xx"), (9300, "none", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.line, r.lang) for r in language_id.training_lines(docs, 200).collect()]
+    assert sum(g == "fr" for _, g in got) == 3 and [len(t) for t, g in got if g == "zh"] == [language_id.SPAN_CHARS]
+    starts = [int(t.split()[0][1:]) for t, g in got if g == "en"]
+    assert 120 <= len(starts) <= 300 and min(starts) < 300 and max(starts) > 600
+    assert all(len(t.split()) == language_id.SPAN_WORDS for t, g in got if g == "en")
+    assert len({language_id._span(rows[0][1] + f" x{k}")[0] for k in range(20)}) > 5
