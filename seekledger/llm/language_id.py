@@ -6,7 +6,8 @@ use and others hardly do). Weights of these features and of the transitions betw
 together by stochastic gradient ascent on the likelihood; gradients and predictions come from the forward
 and backward passes, run over many chains at once. A chain is a line of a text, or each ``CHAIN`` words of
 a longer line. A document's language is the one with the largest sum of word marginals over its words that
-have a letter.
+have a letter. ``label_words`` gives the labelled words themselves, ``predict`` the documents' languages; both
+come from the same marginals.
 
 Training uses a span of one line of each of at most about ``max_docs`` documents, and of some documents of
 every language however rare it is; documents, lines and places of spans are chosen by hash
@@ -60,8 +61,9 @@ def _letters(code: np.ndarray) -> np.ndarray:
     return np.array([chr(c).isalpha() for c in known], bool)[place] if len(code) else np.zeros(0, bool)
 
 
-def read_words(texts: list[str | None]) -> Words:
-    parts = [(t or "").lower().encode("utf-32-le", "replace") for t in texts]
+def read_words(texts: list[str | None], lower: bool = True) -> Words:
+    cased = ((t or "").lower() if lower else t or "" for t in texts)
+    parts = [t.encode("utf-32-le", "replace") for t in cased]
     code = np.frombuffer(b"".join(parts), np.uint32)
     offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
     blank = (code == 0x20) | ((code >= 0x09) & (code <= 0x0D))
@@ -125,7 +127,7 @@ def _emissions(model: Model, words: Words) -> np.ndarray:
     owner, feature = features(words.code, words.start[first], words.end[first])
     score = np.stack(
         [np.bincount(owner, model.weights[feature, k], len(known)) for k in range(len(model.languages))], 1
-    )
+    ).astype(np.float64, copy=False)  # without words bincount gives integers
     hit, language = _in_lexicon(model, known)
     score[hit] += model.lexicon_weights[language]
     return score[place]
@@ -285,45 +287,88 @@ def word_marginals(model: Model, words: Words) -> np.ndarray:
     return forward_backward(_emissions(model, words), words.chain, model.transitions)[0]
 
 
-def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
+class Labels(NamedTuple):
+    """Languages of some texts and of their words with a letter."""
+
+    names: list[str]  # of each text
+    scores: list[float]
+    doc: np.ndarray  # of each labelled word
+    start: np.ndarray  # in code points of its text
+    end: np.ndarray
+    language: np.ndarray  # number of the most probable language
+    marginal: np.ndarray
+
+
+def _places(texts: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words lie in their texts as given: lower case may change lengths, never the blanks."""
+    given = read_words(texts, lower=False)
+    first = np.concatenate([[0], np.cumsum([len(t or "") for t in texts])]).astype(np.int64)[given.doc]
+    assert len(given.start) == len(words.start)
+    return given.start - first, given.end - first
+
+
+def _label(model: Model, texts: list[str | None], places: bool) -> Labels:
     words = read_words(texts)
     k = len(model.languages)
     on = words.letters > 0
     if k == 0:
-        return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        none = np.zeros(0, np.int64)
+        return Labels([UNDETERMINED] * len(texts), [0.0] * len(texts), none, none, none, none, np.zeros(0))
     gamma = word_marginals(model, words)[on]
     sums = np.stack([np.bincount(words.doc[on], gamma[:, j], len(texts)) for j in range(k)], 1)
     total = sums.sum(1)
     best = sums.argmax(1)
     share = sums[np.arange(len(texts)), best] / np.maximum(total, 1e-12)
     names = [model.languages[b] if t > 0 else UNDETERMINED for b, t in zip(best, total)]
-    return names, [float(min(1.0, s)) if t > 0 else 0.0 for s, t in zip(share, total)]
+    scores = [float(min(1.0, s)) if t > 0 else 0.0 for s, t in zip(share, total)]
+    start, end = (x[on] for x in _places(texts, words)) if places else (words.start[on], words.end[on])
+    return Labels(names, scores, words.doc[on], start, end, gamma.argmax(1), gamma.max(1, initial=0))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns + ``lang_pred, score``."""
+_SPANS = "array<struct<start:int,end:int,language:string,marginal:double>>"
+
+
+def _spans(found: Labels, model: Model, n: int) -> pa.Array:
+    language = pa.array(model.languages, pa.string()).take(pa.array(found.language))
+    columns = [pa.array(found.start, pa.int32()), pa.array(found.end, pa.int32()), language, pa.array(found.marginal)]
+    values = pa.StructArray.from_arrays(columns, names=["start", "end", "language", "marginal"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(found.doc, np.arange(n + 1)), pa.int32()), values)
+
+
+def label_words(
+    docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",), spans: bool = True
+) -> DataFrame:
+    """``carry`` columns + ``lang_pred, score`` and, with ``spans``, ``words``: of each word with a letter its
+    place in the text (characters from ``start``, counted from 0, up to ``end``), its most probable
+    language and the marginal of that language."""
     rows = docs.select(*carry, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            names, scores, at = [], [], 0
+            at = 0
             while at < len(texts):  # some text at a time, in whole texts
                 end, chars = at, 0
                 while end < len(texts) and (end == at or chars + len(texts[end] or "") <= _BATCH_CHARS):
                     chars += len(texts[end] or "")
                     end += 1
-                found = _predict(model, texts[at:end])
-                names += found[0]
-                scores += found[1]
+                found = _label(model, texts[at:end], spans)
+                part = batch.slice(at, end - at)
+                columns = [*(part.column(c) for c in carry), pa.array(found.names, pa.string()), pa.array(found.scores, pa.float64())]
+                names = [*carry, "lang_pred", "score"]
+                if spans:
+                    columns, names = [*columns, _spans(found, model, end - at)], [*names, "words"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 at = end
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carry), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*carry, "lang_pred", "score"],
-            )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    made = ["lang_pred string", "score double", *([f"words {_SPANS}"] if spans else [])]
+    return rows.mapInArrow(run, ", ".join([*fields, *made]))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry`` columns + ``lang_pred, score``: ``label_words`` without the words."""
+    return label_words(docs, model, text, carry, spans=False)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -329,3 +329,19 @@ def test_training_spans_lie_anywhere_and_hold_every_language(spark):
     assert 120 <= len(starts) <= 300 and min(starts) < 300 and max(starts) > 600
     assert all(len(t.split()) == language_id.SPAN_WORDS for t, g in got if g == "en")
     assert len({language_id._span(rows[0][1] + f" x{k}")[0] for k in range(20)}) > 5
+
+
+def test_words_of_a_text_are_labelled(spark):
+    r = random.Random(8)
+    model = language_id.train([(sentence(r, g, 12), g) for g in ("en", "fr", "de") for _ in range(80)])
+    text = "\u0130 " + sentence(r, "en", 10) + " 12 \n" + sentence(r, "de", 10)
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "12 34"), (4, "")], "doc_id long, text string")
+    got = {x.doc_id: x for x in language_id.label_words(docs, model).collect()}
+    assert [text[w.start : w.end] for w in got[1].words] == [w for w in text.split() if w != "12"]
+    labels = [w.language for w in got[1].words]
+    assert labels[1:10].count("en") >= 8 and labels[12:].count("de") >= 8
+    assert all(1 / 3 <= w.marginal <= 1 for w in got[1].words) and not (got[2].words or got[3].words or got[4].words)
+    plain = {x.doc_id: (x.lang_pred, x.score) for x in language_id.predict(docs, model).collect()}
+    assert plain == {k: (x.lang_pred, x.score) for k, x in got.items()} and plain[3] == ("und", 0.0)
+    untrained = language_id.label_words(docs, language_id.train([])).collect()
+    assert all(x.words == [] and x.lang_pred == "und" for x in untrained)
