@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekledger.llm import language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup, topk_search, warc
+from seekledger.llm import language_id, line_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, source_divergence
+from seekledger.llm import spelling_variants, substring_dedup, topk_search, warc
 from seekledger.llm.native import word_count
 from seekledger.llm.scratch import new_path, written
 
@@ -155,6 +156,55 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_variants.word_counts(table(spark, sf_dir, "documents"))
+    found = spelling_variants.group_variants(words)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_lm_scoring(spark: SparkSession, sf_dir: str, model_path: str = PIECES) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_scoring.score_texts(docs, sentencepiece_codec.Model.load(model_path))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), k AS (SELECT lang, term, count(*) AS all_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+lv AS (SELECT lang, count(*)::HUGEINT AS v, sum(all_n)::HUGEINT AS total FROM k GROUP BY lang),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (gn.total + 2 * lv.v) AS p,
+    1 + (1000000000::HUGEINT * (k.all_n + 2)) // (lv.total + 2 * lv.v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN lv ON lv.lang = g.lang JOIN gn ON gn.lang = g.lang AND gn.source = g.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), s AS (
+  SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
 class Query(NamedTuple):
     run: object
     sql: str | None = None
@@ -171,4 +221,7 @@ QUERIES = {
     "op8_sentencepiece": Query(op8_sentencepiece),
     "op9_line_dedup": Query(op9_line_dedup),
     "op10_language_id": Query(op10_language_id),
+    "op11_spelling_variants": Query(op11_spelling_variants),
+    "op12_lm_scoring": Query(op12_lm_scoring),
+    "op13_source_divergence": Query(op13_source_divergence, OP13_SQL),
 }
