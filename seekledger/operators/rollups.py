@@ -197,7 +197,7 @@ def exact_percentiles(
     """Interpolated percentiles per key from value counts: memory grows with the number of distinct
     values of a key, not with its rows. Interpolating values of two decimals gives at most four.
     ``weight`` names a column of row counts. ``accuracy`` switches to the bounded approximate form,
-    ``ranked_percentile`` is the exact one for values that hardly repeat."""
+    ``selection.ranked_percentile`` is the exact one for values that hardly repeat."""
     if accuracy is not None:
         return df.groupBy(*keys).agg(
             *[F.percentile_approx(value, p, accuracy).alias(n) for n, p in percents.items()]
@@ -208,31 +208,3 @@ def exact_percentiles(
     return counts.groupBy(*keys).agg(
         *[(p if digits is None else F.round(p, digits)).alias(n) for n, p in exact.items()]
     )
-
-
-def ranked_percentile(df: DataFrame, keys: list[str], value: str, p: float, name: str, bins: int = 1024) -> DataFrame:
-    """Interpolated percentile per key for values that hardly repeat: no task holds all values of a key.
-
-    Values are counted in ``bins`` even parts of their key's range; the bins that hold the two ranks
-    the percentile lies between are found from the counts, and only their values are ordered."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(_count().alias("_n"))
-    range_ = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
-    part = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)) * bins)
-    binned = counts.join(range_, keys).withColumn("_bin", F.least(F.coalesce(part, F.lit(0)), F.lit(bins - 1)).cast("int"))
-    ends = binned.groupBy(*keys, "_bin", "_all").agg(F.sum("_n").alias("_m")).withColumn(
-        "_end", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_bin"))
-    )
-    at = p * (F.col("_all") - 1)
-    ranks = F.explode(F.array(F.floor(at), F.ceil(at)))
-    places = (
-        ends.withColumn("_rank", ranks)
-        .filter((F.col("_end") - F.col("_m") <= F.col("_rank")) & (F.col("_rank") < F.col("_end")))
-        .select(*keys, "_bin", "_rank", (F.col("_end") - F.col("_m")).alias("_before"), (at - F.floor(at)).alias("_part"))
-        .distinct()
-    )
-    inside = binned.select(*keys, "_bin", "_v", "_n").join(places, [*keys, "_bin"])
-    reached = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_rank").orderBy("_v"))
-    found = inside.withColumn("_reached", reached).filter(F.col("_reached") > F.col("_rank"))
-    low_high = found.groupBy(*keys, "_rank", "_part").agg(F.min("_v").alias("_v"))
-    low, high = F.min("_v"), F.max("_v")
-    return low_high.groupBy(*keys).agg((low + (high - low) * F.max("_part")).alias(name))

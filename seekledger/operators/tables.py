@@ -26,6 +26,14 @@ def new_place(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/seekledger-{spark.sparkContext.applicationId}/{safe}-{uuid.uuid4().hex[:8]}"
 
 
+def kept(table: DataFrame, name: str) -> DataFrame:
+    """Write a table to a place of its own and read it back: its lineage ends there."""
+    spark = table.sparkSession
+    path = new_place(spark, name)
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def written_once(
     spark: SparkSession,
     name: str,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seekledger.functions.numbers import byte_count, byte_label, grouped, half_even, safe_int
 from seekledger.operators import rollups as R
 from seekledger.operators.groups import is_hidden
+from seekledger.operators.selection import ranked_percentile
 from seekledger.plans.texts import IMPACT, INDEX_CURRENT, INDEX_HOW, INDEX_RULES, INDEX_WHY
 from seekledger.schemas import INDEX_RECOMMENDATIONS
 from seekledger.sources.cluster import representative_index, visible
@@ -42,15 +43,25 @@ def grouped_rows(listing: DataFrame, group_map: DataFrame) -> DataFrame:
     return visible(listing).join(lookup, "index")
 
 
-def usage_stats(events: DataFrame, include_doc_write: bool = False) -> DataFrame:
-    """Lookback percentiles, dominant sort field and its share, search and write counts per group."""
+CELL_KEYS, CELL_ROWS = ["index_group", "lookback_seconds", "kind", "sorted"], "_n"
+
+
+def usage_cells(events: DataFrame, include_doc_write: bool = False, by: list[str] = []) -> DataFrame:
+    """Number of requests with equal lookback, kind and sort fields; counts of parts add up."""
     writes = WRITE_OPERATIONS + (("doc_write",) if include_doc_write else ())
     kind = F.when(F.col("operation").isin(*SEARCH_OPERATIONS), "search").when(F.col("operation").isin(*writes), "write")
-    # The one scan: requests with equal lookback, kind and sort fields are one row from here on, and the
-    # three results below share its exchange.
-    cells = events.groupBy(
-        "index_group", "lookback_seconds", kind.alias("kind"), F.array_distinct("fields.sorted").alias("sorted")
-    ).agg(F.count(F.lit(1)).alias("_n"))
+    return events.groupBy(
+        *by, "index_group", "lookback_seconds", kind.alias("kind"), F.array_distinct("fields.sorted").alias("sorted")
+    ).agg(F.count(F.lit(1)).alias(CELL_ROWS))
+
+
+def usage_stats(events: DataFrame, include_doc_write: bool = False) -> DataFrame:
+    """Lookback percentiles, dominant sort field and its share, search and write counts per group."""
+    return stats_of_cells(usage_cells(events, include_doc_write))
+
+
+def stats_of_cells(cells: DataFrame) -> DataFrame:
+    """``usage_stats`` of what ``usage_cells`` has counted. The three results share the exchange of the one scan."""
     n = F.col("_n")
     lookbacks = R.exact_percentiles(
         cells, ["index_group"], "lookback_seconds", {"lookback_p50_seconds": 0.5, "lookback_p95_seconds": 0.95}, weight="_n"
@@ -120,7 +131,7 @@ def rollover_hours(cat_indices: DataFrame, group_map: DataFrame) -> DataFrame:
     gaps = created.withColumn("before", before).join(ends, day).select(
         "index_group", ((F.col("at") - F.coalesce("before", "before_day")) / 3.6e9).alias("gap")
     )
-    return R.ranked_percentile(gaps, ["index_group"], "gap", 0.5, "estimated_rollover_hours")
+    return ranked_percentile(gaps, ["index_group"], "gap", 0.5, "estimated_rollover_hours")
 
 
 def representative_settings(settings: DataFrame, group_map: DataFrame) -> DataFrame:

@@ -23,15 +23,19 @@ def recent(events: DataFrame, as_of: datetime, lookback_hours: int = LOOKBACK_HO
     return events.filter((F.col("timestamp") >= start) & (F.col("event_date") >= F.to_date(start)))
 
 
+def usage_measures() -> list[Column]:
+    """References and last use in each category."""
+    in_category = {c: F.col("category") == c for c in FIELD_CATEGORIES}
+    return [F.count_if(hit).alias(f"count_{c}") for c, hit in in_category.items()] + [
+        F.max(F.when(hit, F.col("timestamp"))).alias(f"last_seen_{c}") for c, hit in in_category.items()
+    ]
+
+
 def field_usage(events: DataFrame) -> DataFrame:
     """Per group and field: references and last use in each category. One explode, one shuffle of
     partially aggregated rows."""
     refs = field_references(events.select("index_group", "timestamp", "fields"))
-    in_category = {c: F.col("category") == c for c in FIELD_CATEGORIES}
-    return refs.groupBy("index_group", F.col("field").alias("field_name")).agg(
-        *[F.count_if(hit).alias(f"count_{c}") for c, hit in in_category.items()],
-        *[F.max(F.when(hit, F.col("timestamp"))).alias(f"last_seen_{c}") for c, hit in in_category.items()],
-    )
+    return refs.groupBy("index_group", F.col("field").alias("field_name")).agg(*usage_measures())
 
 
 def _total(columns: tuple[str, ...] | list[str]) -> Column:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekledger.operators.snapshots import Snapshots
 from seekledger.operators.tables import replace_groups, write_snapshot
 from seekledger.plans import architecture as A
 from seekledger.plans import mapping as M
+from seekledger.plans.partials import Partials
 from seekledger.schemas import INDEX_RECOMMENDATIONS, MAPPING_DIFF, MAPPING_RECOMMENDATIONS
 from seekledger.sources.cluster import mapping_fields
 
@@ -61,3 +63,23 @@ def refresh_architecture(
     processed = profile.select("index_group").unionByName(cluster)
     spark = profile.sparkSession
     return {"index_recommendations": _next(spark, "index_recommendations", folder, previous, findings, processed)}
+
+
+def refresh_usage(
+    partials: Partials,
+    snapshots: Snapshots,
+    mappings: DataFrame,
+    group_map: DataFrame,
+    as_of: datetime,
+    lookback_hours: int = M.LOOKBACK_HOURS,
+) -> list[str]:
+    """The same diff and advice, kept up to date: only days with new events are read (and returned), and
+    refreshes that run at the same time keep each other's groups."""
+    changed = partials.update()
+    usage = partials.window(as_of - timedelta(hours=lookback_hours))
+    fields = mapping_fields(mappings, group_map)
+    diff = snapshots.replace("mapping_diff", M.mapping_diff(fields, usage, as_of), fields)
+    processed = fields.select("index_group").distinct()
+    advised = M.mapping_recommendations(diff.join(processed, "index_group", "left_semi"), as_of)
+    snapshots.replace("mapping_recommendations", advised, processed)
+    return changed

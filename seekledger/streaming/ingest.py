@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from seekledger.operators.event_table import EventTable
+from seekledger.operators.keyed_table import KeyedTable
 from seekledger.operators.tables import append_events
 from seekledger.plans.events import EventSettings, build_usage_events
 from seekledger.schemas import REQUEST_LOG
 
 FLUSH_INTERVAL = "60 seconds"
 REPEAT_WINDOW = "10 minutes"
+#: Folders of a day beyond which a batch is followed by a compaction.
+COMPACT_AT = 32
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_DISK_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """State of queries started inside is kept by RocksDB, so that it may outgrow an executor's memory; a store
+    that the session names itself stays."""
+    before = spark.conf.get(_STORE)
+    if before.endswith(".HDFSBackedStateStoreProvider"):
+        spark.conf.set(_STORE, _DISK_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
 
 
 def request_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -33,26 +54,36 @@ def once_per_request(requests: DataFrame, window: str = REPEAT_WINDOW) -> DataFr
 def start_ingest(
     requests: DataFrame,
     group_map: DataFrame | Callable[[], DataFrame],
-    sink: str,
+    sink: str | EventTable,
     checkpoint: str,
     settings: EventSettings = EventSettings(),
     interval: str | None = FLUSH_INTERVAL,
     window: str = REPEAT_WINDOW,
+    name: str = "ingest",
+    compact_at: int = COMPACT_AT,
 ) -> StreamingQuery:
     """Append usage events to ``sink``. Without an interval the stream handles what is there and
     stops, keeping its place in the checkpoint.
 
     Requests redelivered within ``window`` count once. Each batch is rebalanced and written as a run of
-    its own, which a repeated batch replaces. ``group_map`` may be a function that reads the map: it is
-    called for every batch, so an index that joins a group counts for it from then on."""
+    its own. In an ``EventTable`` it appears as a whole, a batch that ``name`` has committed is skipped, and a
+    day of more than ``compact_at`` runs is compacted; in a plain folder a repeated batch replaces its run.
+    ``group_map`` may be a function that reads the map: it is called for every batch, so an index that joins
+    a group counts for it from then on."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         groups = group_map() if callable(group_map) else group_map
-        append_events(build_usage_events(batch, groups, settings), sink, run=f"batch-{batch_id:012d}")
+        events = build_usage_events(batch, groups, settings)
+        if isinstance(sink, EventTable):
+            sink.append(events, stream=name, batch=batch_id)
+            sink.compact(compact_at)
+        else:
+            append_events(events, sink, run=f"batch-{batch_id:012d}")
 
     writer = once_per_request(requests, window).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if interval is None else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    with _state_on_disk(requests.sparkSession):
+        return writer.trigger(**trigger).start()
 
 
 def counts_over_time(
@@ -65,25 +96,33 @@ def counts_over_time(
     return counts.select(F.col("w.start").alias("bucket"), *([key] if key else []), "count")
 
 
+def _count_table(spark: SparkSession, sink: str, key: str | None) -> KeyedTable:
+    """One row per bucket and key, in a part per day."""
+    fields = [T.StructField("bucket", T.TimestampType()), *([T.StructField(key, T.StringType())] if key else [])]
+    schema = T.StructType([*fields, T.StructField("count", T.LongType())])
+    return KeyedTable(spark, sink, ["bucket", *([key] if key else [])], schema, F.to_date("bucket").cast("string"))
+
+
 def start_counts(
     events: DataFrame, width: str, sink: str, checkpoint: str, key: str | None = None, lateness: str = "10 minutes"
 ) -> StreamingQuery:
-    """Keep counts per time bucket (and key) in ``sink``, open buckets included: a batch writes the
-    buckets it changed as a run of its own, and ``latest_counts`` reads the newest of each."""
+    """Keep counts per time bucket (and key) in ``sink``, open buckets included. A batch replaces the rows of
+    the buckets it has changed, which rewrites the days they lie in; what a reader opens is one folder a day,
+    however many batches there were. Buckets behind the watermark leave the state."""
     counts = counts_over_time(events, width, key, lateness)
+    table = _count_table(events.sparkSession, sink, key)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        changed = batch.withColumn("batch", F.lit(batch_id))
-        changed.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/run=batch-{batch_id:012d}")
+        table.merge(batch.select(*([F.col(key).cast("string").alias(key)] if key else []), "bucket", "count"), stream="counts", batch=batch_id)
 
     writer = counts.writeStream.outputMode("update").foreachBatch(on_batch).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    with _state_on_disk(events.sparkSession):
+        return writer.trigger(availableNow=True).start()
 
 
 def latest_counts(spark: SparkSession, sink: str, key: str | None = None) -> DataFrame:
     """The newest count of each bucket (and key)."""
-    keys = ["bucket", *([key] if key else [])]
-    return spark.read.parquet(sink).groupBy(*keys).agg(F.max_by("count", "batch").alias("count"))
+    return _count_table(spark, sink, key).read()
 
 
 def start_refresh(

@@ -161,16 +161,38 @@ def test_rankings_scan_their_source_once(spark, frame, tmp_path):
 def test_ranked_percentile_equals_the_exact_one(spark):
     import random
 
+    from seekledger.operators.selection import ranked_percentile
+
     r = random.Random(5)
     rows = [("hot", r.choice([r.random() * 1e6, 7.5])) for _ in range(4000)] + [("one", 3.25), ("same", 2.0), ("same", 2.0), ("none", None)]
     rows += [("two", 1.0), ("two", 2.0)]
     frame = spark.createDataFrame(rows, "k string, v double").repartition(3)
     for p in (0.0, 0.3, 0.5, 0.95, 1.0):
         want = {r.k: r.x for r in R.exact_percentiles(frame, ["k"], "v", {"x": p}, digits=9).collect()}
-        got = {r.k: r.x for r in R.ranked_percentile(frame, ["k"], "v", p, "x", bins=50).collect()}
+        got = {r.k: r.x for r in ranked_percentile(frame, ["k"], "v", p, "x", bins=50).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_no_task_orders_more_than_the_limit(spark):
+    """Outliers, a heavy tail, a spike and near-equal values: brackets narrow however the values lie."""
+    import random
+
+    from seekledger.operators.selection import percentile_brackets, ranked_percentile, value_counts
+
+    r = random.Random(7)
+    rows = [("outlier", r.random()) for _ in range(6000)] + [("outlier", 1e300), ("outlier", -1e18)]
+    rows += [("tail", r.paretovariate(0.2)) for _ in range(5000)]
+    rows += [("spike", r.choice([5.0, 5.0, 5.0, r.random() * 10])) for _ in range(5000)]
+    rows += [("close", 1.0 + k * 2.0**-50) for k in range(4000)] + [("few", 1.0), ("few", 9.0), (None, 3.0)]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    for p in (0.01, 0.5, 0.75, 0.999):
+        want = {x.k: x.x for x in R.exact_percentiles(frame.filter("k IS NOT NULL"), ["k"], "v", {"x": p}, digits=None).collect()}
+        got = {x.k: x.x for x in ranked_percentile(frame, ["k"], "v", p, "x", bins=16, limit=100).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+        brackets = percentile_brackets(value_counts(frame, ["k"], "v"), ["k"], p, bins=16, limit=100).collect()
+        assert len(brackets) == 5 and all(b._apart or b._values <= 100 for b in brackets)
+
+
 def test_usage_stats_scan_once(spark, tmp_path):
     from seekledger.plans.architecture import usage_stats
     from seekledger.schemas import USAGE_EVENTS

@@ -104,3 +104,103 @@ def test_refresh_runs_after_new_events(spark, source, groups, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == [0]
+
+
+def test_stream_into_an_event_table(spark, source, groups, tmp_path):
+    from seekledger.operators.event_table import EventTable
+
+    table, checkpoint = EventTable(spark, str(tmp_path / "table")), str(tmp_path / "checkpoint")
+    stream = lambda: L.request_stream(spark, source, max_files=1)
+    L.start_ingest(stream(), groups, table, checkpoint, interval=None, compact_at=2).awaitTermination()
+    batch = build_usage_events(spark.read.schema(REQUEST_LOG).parquet(source), groups)
+    assert _rows(table.read()) == _rows(batch)
+    assert table.committed("ingest") >= 2 and all(len(x["paths"]) <= 2 for x in table.days().values())
+
+
+def test_count_files_do_not_grow_with_batches(spark, groups, tmp_path):
+    """Also events that come late, but within the lateness, and too late."""
+    from pathlib import Path
+
+    path, sink, checkpoint = str(tmp_path / "requests"), str(tmp_path / "counts"), str(tmp_path / "checkpoint")
+
+    def feed(*minutes):
+        rows = [_row(at, m) for at, m in enumerate(minutes)]
+        spark.createDataFrame(rows, REQUEST_LOG).coalesce(1).write.mode("append").parquet(path)
+        events = build_usage_events(L.request_stream(spark, path), groups)
+        L.start_counts(events, "10 minutes", sink, checkpoint).awaitTermination()
+        return {r.bucket: r["count"] for r in L.latest_counts(spark, sink).collect()}
+
+    at = lambda m: START + timedelta(minutes=m)
+    assert feed(1, 2, 15) == {at(0): 2, at(10): 1}
+    assert feed(8, 18, 19) == {at(0): 3, at(10): 3}  # 8 is late, its bucket open
+    assert feed(60) == {at(0): 3, at(10): 3, at(60): 1}
+    for k in range(4):
+        got = feed(3, 61 + k)  # 3 is too late by now
+    assert got == {at(0): 3, at(10): 3, at(60): 5}
+    live = L._count_table(spark, sink, None).parts()
+    assert list(live) == ["2026-01-01"]
+    assert len(list(Path(sink, live["2026-01-01"]).glob("*.parquet"))) <= 4
+
+
+def _numbered(spark, path, n, parts):
+    rows = [_row(at, at % 50) for at in range(n)]
+    spark.createDataFrame(rows, REQUEST_LOG).repartition(parts).sortWithinPartitions("request_id").write.option("parquet.block.size", 4096).mode("append").parquet(path)
+
+
+def test_batches_are_admitted_by_rows(spark, groups, tmp_path):
+    from seekledger.streaming.rows import request_rows
+
+    path, sizes, ids = str(tmp_path / "requests"), [], []
+    _numbered(spark, path, 230, 3)
+
+    def on_batch(batch, batch_id):
+        found = [r.request_id for r in batch.select("request_id").collect()]
+        sizes.append(len(found))
+        ids.extend(found)
+
+    def start(max_wait):
+        stream = request_rows(spark, path, str(tmp_path / "log"), max_rows=50, max_wait=max_wait)
+        return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="0 seconds").start()
+
+    query = start(0.0)
+    query.processAllAvailable()
+    query.stop()
+    assert sizes == [50, 50, 50, 50, 30] and sorted(ids) == list(range(230))
+    # a restart goes on where it was, in the middle of things, and new files come later
+    _numbered(spark, path, 70, 2)
+    query = start(0.0)
+    query.processAllAvailable()
+    query.stop()
+    assert sizes[5:] == [50, 20] and sorted(ids[230:]) == list(range(70))
+
+
+def test_a_short_batch_waits(spark, tmp_path):
+    import time
+
+    from seekledger.streaming.rows import RequestRowsReader
+
+    path = str(tmp_path / "requests")
+    _numbered(spark, path, 30, 1)
+    reader = RequestRowsReader({"path": path, "log": str(tmp_path / "log"), "max_rows": "20", "max_wait": "0.3"}, REQUEST_LOG)
+    assert reader.latestOffset() == {"rows": 20}
+    assert reader.latestOffset() == {"rows": 20}
+    time.sleep(0.4)
+    assert reader.latestOffset() == {"rows": 30}
+    assert reader.latestOffset() == {"rows": 30}
+    parts = reader.partitions({"rows": 10}, {"rows": 25})
+    got = [i for p in parts for b in reader.read(p) for i in b.column("request_id").to_pylist()]
+    assert got == list(range(10, 25))
+
+
+def test_rows_through_the_ingest(spark, groups, tmp_path):
+    from seekledger.operators.event_table import EventTable
+    from seekledger.streaming.rows import request_rows
+
+    path, table = str(tmp_path / "requests"), EventTable(spark, str(tmp_path / "table"))
+    _numbered(spark, path, 90, 2)
+    stream = request_rows(spark, path, str(tmp_path / "log"), max_rows=40, max_wait=0.0)
+    query = L.start_ingest(stream, groups, table, str(tmp_path / "checkpoint"), interval="0 seconds")
+    query.processAllAvailable()
+    query.stop()
+    batch = build_usage_events(spark.read.schema(REQUEST_LOG).parquet(path), groups)
+    assert _rows(table.read()) == _rows(batch)
