@@ -126,6 +126,7 @@ def _field_sql(select: str) -> str:
     return with_events(select.replace("FROM ev ", "FROM ev_f "), _FIELD_EV)
 
 
+_DUE = f"elapsed_ms IS NOT NULL AND NOT {SKIPPED}"
 QUERIES: dict[str, Query] = {
     "b_usage_events": Query(
         _events, with_events(f"SELECT {stamp_sql(chr(34) + 'timestamp' + chr(34), 'timestamp')}, {_EVENT_LIST}, {LISTS} FROM ev")
@@ -346,10 +347,10 @@ QUERIES: dict[str, Query] = {
         lambda spark, sf_dir: E.traffic_counters(C.requests(spark, sf_dir), C.usage_events(spark, sf_dir)),
         with_requests(
             "SELECT count(*) AS requests_proxied, count(*) FILTER (elapsed_ms IS NULL) AS requests_failed, "
-            "CAST(0 AS BIGINT) AS requests_unobserved, "
+            f"count(*) FILTER ({_DUE} AND strlen(body) > 1000000) AS requests_unobserved, "
             f"count(*) FILTER (elapsed_ms IS NOT NULL AND {SKIPPED}) AS events_skipped, "
-            "CAST(0 AS BIGINT) AS events_sampled_out, CAST(0 AS BIGINT) AS extraction_errors, "
-            f"count(*) FILTER (elapsed_ms IS NOT NULL AND NOT {SKIPPED}) AS events_emitted, "
+            f"count(*) FILTER ({_DUE} AND NOT {_keep_sql('', 1)}) AS events_sampled_out, "
+            f"count(*) FILTER ({_DUE} AND lost) AS extraction_errors, count(*) FILTER ({_DUE} AND NOT lost) AS events_emitted, "
             "round(sum(CAST(round(elapsed_ms * 100) AS BIGINT)) / 100.0 / count(elapsed_ms), 2) AS response_avg_ms, "
             "max(elapsed_ms) AS response_max_ms FROM req"
         ),

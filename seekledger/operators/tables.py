@@ -84,8 +84,9 @@ def append_events(events: DataFrame, path: str, run: str | None = None) -> None:
 
 
 def clear_events(events: DataFrame, path: str) -> None:
-    """Empty the table; its day layout stays."""
-    events.limit(0).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    """Empty the table at ``path``; its day layout stays. ``events`` only gives the columns."""
+    none = events.sparkSession.createDataFrame([], events.schema)
+    none.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("event_date").parquet(path)
 
 
 def replace_groups(old: DataFrame, new: DataFrame, processed: DataFrame) -> DataFrame:

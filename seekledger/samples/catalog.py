@@ -14,7 +14,7 @@ from seekledger.plans.mapping import field_usage, mapping_diff, mapping_recommen
 from seekledger.plans.architecture import index_profile, index_recommendations, usage_stats
 from seekledger.samples import cluster_tables as tables
 from seekledger.samples import request_log as log
-from seekledger.samples.mappings import mapping_table
+from seekledger.samples.mappings import crm_groups, crm_mappings, mapping_table
 from seekledger.sources.cluster import mapping_fields, mapping_info, segment_counts
 
 
@@ -107,3 +107,15 @@ def tenant_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return written_once(spark, f"tenant_findings {sf_dir}", build)
+
+
+def crm_mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_once(spark, f"crm_mappings {sf_dir}", lambda: crm_mappings(spark, sf_dir))
+
+
+def crm_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        mappings = crm_mapping_table(spark, sf_dir)
+        return mapping_fields(mappings, crm_groups(mappings))
+
+    return written_once(spark, f"crm_fields {sf_dir}", build)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,42 @@ def mapping_table(indices: DataFrame) -> DataFrame:
     lookup = F.create_map(*[F.lit(x) for pair in mapping_texts().items() for x in pair])
     family = F.split("index_name", "-")[0]
     return indices.select("index_name", F.element_at(lookup, family).alias("mapping_json"))
+
+
+# --- Mappings that grow with the tables: an index per hundred customers, a field per customer -----------
+
+CRM_INDEX = "concat('crm-', cast(c_custkey div 100 as string))"
+#: Of one customer, as SQL that reads the same in other engines.
+CRM_FIELD = {
+    "segment": "lower(c_mktsegment)",
+    "name": "concat('f', cast(c_custkey % 100 as string))",
+    "type": "case c_nationkey % 4 when 0 then 'keyword' when 1 then 'text' when 2 then 'long' else 'date' end",
+    "off": "c_acctbal < 0",
+    "row_only": "c_custkey % 7 = 0",
+    "sub": "c_nationkey % 4 = 1 and c_custkey % 3 = 0",
+}
+
+
+def crm_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """index_name, mapping_json: an object per market segment, with a field for each of its customers."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        f"{CRM_INDEX} AS index_name", *[f"{sql} AS `{name}`" for name, sql in CRM_FIELD.items()]
+    )
+    keyword = F.create_map(F.lit("keyword"), F.struct(F.lit("keyword").alias("type")))
+    leaf = F.struct(
+        "type",
+        F.when(F.col("off"), F.lit(False)).alias("index"),
+        F.when(F.col("row_only"), F.lit(False)).alias("doc_values"),
+        F.when(F.col("sub"), keyword).alias("fields"),
+    )
+
+    def gathered(key: str, value: Column) -> Column:
+        return F.map_from_entries(F.collect_list(F.struct(key, value)))
+
+    objects = customers.groupBy("index_name", "segment").agg(gathered("name", leaf).alias("properties"))
+    roots = objects.groupBy("index_name").agg(gathered("segment", F.struct("properties")).alias("properties"))
+    return roots.select("index_name", F.to_json(F.struct("properties")).alias("mapping_json"))
+
+
+def crm_groups(mappings: DataFrame) -> DataFrame:
+    return mappings.select("index_name", F.col("index_name").alias("index_group"))

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekledger.functions.bodies import FS, GS, observe_bodies
 from seekledger.functions.numbers import safe_int
 from seekledger.operators.groups import is_hidden
+from seekledger.operators.tables import kept
 
 # Types without columnar values unless asked for.
 NO_DOC_VALUES = ("text", "annotated_text")
 
-_NAME = r"[^\x1c-\x1f]+\x1f"
-_ATTRIBUTE = (
-    rf"(?s)^0s\x1f(?:mappings\x1f)?((?:properties\x1f{_NAME})+(?:fields\x1f{_NAME})?)"
-    r"(type|index|doc_values)([\x1c\x1e])(.*)$"
+#: Every object below "properties" of the root, of its children and so on, and one level of multi-fields. A
+#: node's children lie two keys down, so fields may themselves be called "properties" or "fields".
+_WALK = """
+WITH RECURSIVE walk(index_group, path, node, kind) AS (
+  SELECT index_group, '', root, 'root' FROM {roots}
+  UNION ALL
+  SELECT w.index_group, concat(w.path, CASE WHEN w.kind = 'root' THEN '' ELSE '.' END, child.key), child.value, part.key
+  FROM walk w, LATERAL variant_explode(w.node) part, LATERAL variant_explode(part.value) child
+  WHERE (part.key = 'properties' AND w.kind <> 'fields' OR part.key = 'fields' AND w.kind = 'properties') AND child.key IS NOT NULL
 )
-_SOURCE_SWITCH = r"\x1d0s\x1f(?:mappings\x1f)?_source\x1fenabled[\x1c\x1e]([^\x1d]*)"
+SELECT index_group, path, node FROM walk WHERE kind <> 'root'
+"""
+_LIMITS = ("spark.sql.cteRecursionRowLimit", "spark.sql.cteRecursionLevelLimit")
 
 
 def visible(listing: DataFrame) -> DataFrame:
@@ -32,58 +42,66 @@ def representative_index(group_map: DataFrame, last: bool = False) -> DataFrame:
     return groups.groupBy("index_group").agg(pick.alias("index_name"))
 
 
-def _parsed(mappings: DataFrame, group_map: DataFrame, last: bool) -> DataFrame:
+def _roots(mappings: DataFrame, group_map: DataFrame, last: bool) -> DataFrame:
+    """The mapping of each group's chosen index, with or without the wrapper the cluster puts around it."""
     chosen = mappings.join(representative_index(group_map, last), "index_name")
-    return chosen.select(
-        "index_group", observe_bodies("mapping_json", F.lit("mapping"))["nodes"].alias("nodes")
+    root = F.try_parse_json("mapping_json")
+    inner = F.try_variant_get(root, "$.mappings", "variant")
+    return chosen.select("index_group", F.coalesce(inner, root).alias("root"))
+
+
+@contextmanager
+def _any_depth(spark: SparkSession) -> Iterator[None]:
+    """No limit on levels and rows of a recursive query that runs inside."""
+    before = {name: spark.conf.get(name) for name in _LIMITS}
+    for name in _LIMITS:
+        spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def _truthy(node: str, path: str, default: Column) -> Column:
+    """A switch as the cluster reads it: absent is the default; null, false, 0 and '' are off."""
+    found = F.try_variant_get(node, path, "variant")
+    kind = F.schema_of_variant(found)
+    return (
+        F.when(found.isNull(), default)
+        .when(kind == "VOID", False)
+        .when(kind == "STRING", F.try_variant_get(node, path, "string") != "")
+        .when(kind == "BOOLEAN", F.try_variant_get(node, path, "boolean"))
+        .otherwise(F.coalesce(F.try_variant_get(node, path, "double") != 0, F.lit(True)))
     )
 
 
-def _truthy(kind: Column, value: Column) -> Column:
-    return F.when(kind == FS, ~value.isin("false", "null", "0", "0.0")).otherwise(value != "")
-
-
-def _flat(parsed: DataFrame) -> DataFrame:
-    """One row per mapped field: objects, nested properties and one level of multi-fields."""
-    records = parsed.select("index_group", F.explode(F.split("nodes", GS)).alias("record"))
-
-    def part(group: int) -> Column:
-        return F.regexp_extract("record", _ATTRIBUTE, group)
-
-    attributes = records.select(
-        "index_group", part(1).alias("node"), part(2).alias("key"), part(3).alias("kind"), part(4).alias("value")
-    ).filter(F.col("node") != "")
-
-    def value_of(key: str, value: Column) -> Column:
-        return F.max(F.when(F.col("key") == key, value))
-
-    truth = _truthy(F.col("kind"), F.col("value"))
-    fields = attributes.groupBy("index_group", "node").agg(
-        value_of("type", F.when(F.col("kind") != FS, F.col("value"))).alias("mapped_type"),
-        value_of("index", truth).alias("index"),
-        value_of("doc_values", truth).alias("doc_values"),
-    )
-    named = F.regexp_replace("node", r"(?:properties|fields)\x1f([^\x1c-\x1f]+)\x1f", "$1.")
-    return fields.filter(F.col("mapped_type") != "").select(
+def _flat(roots: DataFrame) -> DataFrame:
+    """One row per mapped field: objects, nested properties and one level of multi-fields, at any depth."""
+    spark = roots.sparkSession
+    kind = F.try_variant_get("node", "$.type", "variant")
+    name = F.when(F.schema_of_variant(kind) == "STRING", F.try_variant_get("node", "$.type", "string"))
+    named = lambda walked: walked.select(
         "index_group",
-        F.rtrim(named, F.lit(".")).alias("field_name"),
-        "mapped_type",
-        F.coalesce("index", F.lit(True)).alias("is_indexed"),
-        F.coalesce("doc_values", ~F.col("mapped_type").isin(*NO_DOC_VALUES)).alias("has_doc_values"),
-    )
+        F.col("path").alias("field_name"),
+        name.alias("mapped_type"),
+        _truthy("node", "$.index", F.lit(True)).alias("is_indexed"),
+        _truthy("node", "$.doc_values", ~name.isin(*NO_DOC_VALUES)).alias("has_doc_values"),
+    ).filter(F.col("mapped_type") != "")
+    with _any_depth(spark):
+        return kept(named(spark.sql(_WALK, roots=roots)), "mapped_fields")
 
 
 def mapping_fields(mappings: DataFrame, group_map: DataFrame) -> DataFrame:
     """Mapped fields of every group, read from its first concrete index."""
-    return _flat(_parsed(mappings, group_map, last=False))
+    return _flat(_roots(mappings, group_map, last=False))
 
 
 def mapping_info(mappings: DataFrame, group_map: DataFrame) -> DataFrame:
     """Field count and whether the source is stored, from each group's last concrete index."""
-    parsed = _parsed(mappings, group_map, last=True)
-    switch = F.regexp_extract("nodes", _SOURCE_SWITCH, 1)
-    sources = parsed.select("index_group", (~switch.isin("false", "null", "0")).alias("source_enabled"))
-    counts = _flat(parsed).groupBy("index_group").agg(F.count(F.lit(1)).cast("int").alias("field_count"))
+    roots = _roots(mappings, group_map, last=True)
+    sources = roots.select("index_group", _truthy("root", "$._source.enabled", F.lit(True)).alias("source_enabled"))
+    counts = _flat(roots).groupBy("index_group").agg(F.count(F.lit(1)).cast("int").alias("field_count"))
     return sources.join(counts, "index_group", "left").select(
         "index_group", F.coalesce("field_count", F.lit(0)).alias("field_count"), "source_enabled"
     )
