@@ -23,7 +23,7 @@ EXPECTED = {
     ("click", 3): ("search", "text", 1, "rating stock_count title", "", "", "", "price", "", _NONE, 0),
     ("view", 0): ("search", "filter", 0, "", "level timestamp", "", "timestamp", "", "",
                   (f"cast(3600 * cast({_HOURS} as int) as double)", "'timestamp'", f"concat({_HOURS}, 'h')"), 0),
-    ("view", 1): ("search", "text", 0, "message", "", "", "", "host service", "", _NONE, 0),
+    ("view", 1): ("search", "text", 0, "h_only message", "", "", "", "host service", "", _NONE, 0),
     ("view", 2): ("search", "agg", 0, "", "", "duration_ms service", "", "", "", _NONE, 0),
     ("view", 3): ("count", "agg", 0, "", "status_code trace_id", "host timestamp", "", "", "", _NONE, 0),
     ("purchase", 0): ("update", None, 0, "", "", "", "", "", "status", _NONE, 0),

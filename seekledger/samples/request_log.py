@@ -42,7 +42,7 @@ SHAPES = (
           '{"query": {"bool": {"filter": [{"term": {"level": "ERROR"}}, '
           '{"range": {"timestamp": {"gte": "now-<<hours>>h"}}}]}}, "sort": [{"timestamp": {"order": "desc"}}], "size": 50}'),
     Shape("view", 1, "POST", "/logs-<<day>>/_search",
-          '{"query": {"match": {"message": "m<<k>>"}}, "highlight": {"fields": {"message": {}}}, '
+          '{"query": {"match": {"message": "m<<k>>"}}, "highlight": {"fields": {"message": {}, "h_only": {}}}, '
           '"docvalue_fields": ["service", {"field": "host"}]}'),
     Shape("view", 2, "POST", "/logs/_search",
           '{"size": 0, "aggs": {"by_service": {"terms": {"field": "service"}, '
