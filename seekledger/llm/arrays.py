@@ -1,9 +1,11 @@
 """Words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-A word is a run of bytes other than blank and tab to carriage return. Its hash is a polynomial over
-random 64-bit values of its bytes; a run of words is hashed the same way over its words. All sums
-wrap modulo 2**64: with an odd base, powers have inverses, so any run is one difference of prefix
-sums times one inverse power, and nothing loops over bytes or words in Python.
+A word is a run of bytes other than blank and tab to carriage return. Its hash adds up a random
+64-bit value for each byte and its place in the word, and mixes the sum. Runs of words are hashed by
+doubling: those of 1, 2, 4 ... words are mixed from two halves, and a run of any length from its binary
+parts. Polynomials modulo 2**64 (``Runs``) collide for texts of certain patterns whatever their base;
+they hash features only, and never decide whether texts are equal. Nothing loops over bytes or words in
+Python.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-_RANDOM = np.random.Generator(np.random.PCG64(20240501))
-_BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)
-_WORD_BASE = int(_RANDOM.integers(1, 1 << 62)) * 8 + 5
-RUN_BASES = tuple(int(_RANDOM.integers(1, 1 << 62)) * 8 + 5 for _ in range(2))
+#: Odd bases of the polynomials.
+RUN_BASES = (25955542328677901357, 25548923372355807093)
+#: A value for each byte at each of the first places of a word.
+_PLACES = 64
+_AT_PLACE = np.random.Generator(np.random.PCG64(20240502)).integers(0, 1 << 64, _PLACES * 256, dtype=U)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -111,12 +114,42 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     after = np.concatenate([inside[1:], [False]]) if n else inside
     start = np.flatnonzero(inside & (~before | edge[:-1]))
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    hashes = runs(_BYTE[data], start, end, _WORD_BASE)
+    hashes = _word_hashes(data[inside], end - start)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     return Words(doc, start, end, hashes, first)
 
 
+def _word_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of words whose bytes follow one another in ``data``."""
+    ends = np.cumsum(sizes)
+    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
+    values = _AT_PLACE[np.minimum(place, _PLACES - 1) * 256 + data]
+    late = np.flatnonzero(place >= _PLACES)
+    if len(late):
+        values[late] = mix((place[late].astype(U) << U(8)) | data[late], 21)
+    sums = np.concatenate([[U(0)], np.cumsum(values)])
+    return mix(sums[ends] - sums[ends - sizes], 22)
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(mix(left, 23) + right, 24)
+
+
+def run_hashes(values: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
+    """Hash of values[i : i + length] for each i that leaves so many."""
+    if len(values) < length:
+        return np.zeros(0, U)
+    level, size, out, covered = mix(values, 25 + salt), 1, None, 0
+    while True:
+        if length & size:
+            out = level if out is None else _joined(out[: len(values) - covered - size + 1], level[covered:])
+            covered += size
+            if covered == length:
+                return out[: len(values) - length + 1]
+        level, size = _joined(level[:-size], level[size:]), 2 * size
+
+
 def windows(w: Words, length: int, hash_number: int = 0, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of each run of ``length`` words of one document, or of those that begin
     at ``starts``."""
@@ -124,7 +157,7 @@ def windows(w: Words, length: int, hash_number: int = 0, starts: np.ndarray | No
     if starts is None:
         starts = np.arange(max(0, n - length + 1))
         starts = starts[w.doc[starts] == w.doc[starts + length - 1]] if len(starts) else starts
-    return starts, runs(w.hash, starts, starts + length, RUN_BASES[hash_number])
+    return starts, run_hashes(w.hash, length, hash_number)[starts]
 
 
 def spread(positions: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -30,10 +30,12 @@ U = np.uint64
 MAX_ROWS = 4096
 MAX_BYTES = 1 << 20
 ROW_BITS = 12
+#: Blocks of a partition: 16 million of a MiB or more, with 2**27 partitions.
+BLOCK_BITS = 24
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    place, k = TaskContext.get().partitionId() << 32, 0
+    place, k = TaskContext.get().partitionId() << BLOCK_BITS, 0
     held: list[pa.RecordBatch] = []
     rows = size = 0
 
@@ -41,6 +43,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal k
         table = pa.Table.from_batches(held).combine_chunks()
         k += 1
+        if k > 1 << BLOCK_BITS or place >> (63 - ROW_BITS):
+            raise OverflowError("more blocks or partitions than their numbers hold")
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         columns = [one(table.column(c).combine_chunks()) for c in table.column_names]
         return pa.record_batch([pa.array([place + k - 1], pa.int64()), *columns], names=["block", "ids", "texts", "rests"][: len(columns) + 1])
@@ -65,15 +69,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
-def pack(docs: DataFrame, text: str = "text", name: str = "blocks", carry: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, text: str = "text", name: str = "blocks", carry: bool = False,
+    describe: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None,
+) -> DataFrame:
     """``block, ids, texts`` of all rows of ``docs``, bucketed by ``block``. With ``carry`` also
-    ``rests``: the other columns of each row as JSON, which ``unpacked`` turns back."""
+    ``rests``: the other columns of each row as JSON, which ``unpacked`` turns back. ``describe`` is a step
+    that adds columns to the blocks before they are written, and their types."""
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")]
     schema = "block long, ids array<long>, texts array<binary>"
     if carry:
         columns.append(F.to_json(F.struct(*_others(docs, text)), _JSON).alias("rest"))
         schema += ", rests array<string>"
-    packed = docs.select(*columns).mapInArrow(_blocks, schema)
+    if describe is None:
+        packed = docs.select(*columns).mapInArrow(_blocks, schema)
+    else:
+        step, added = describe
+        packed = docs.select(*columns).mapInArrow(lambda batches: step(_blocks(batches)), f"{schema}, {added}")
     return written_bucketed(packed, name, "block", partitions(docs.sparkSession))
 
 

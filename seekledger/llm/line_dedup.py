@@ -1,4 +1,4 @@
-"""Line dedup: equal lines by hash, near-equal ones by a segment-partition edit join.
+"""Line dedup: equal lines by their digest, near-equal ones by a segment-partition edit join.
 
 Lines are compared without the white space at their ends; blank lines are left alone. Of equal lines
 the first stays, in the order of (``doc_id``, line). The distinct lines of at least ``min_chars``
@@ -22,6 +22,7 @@ whose lines go is empty; extra columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekledger.llm.arrays import RUN_BASES, Runs, flat, mix, runs
+from seekledger.llm.arrays import RUN_BASES, Runs, flat, mix
 from seekledger.llm.blocks import ROW_BITS, Keys, answered, distinct, each_block, pack, shared, with_answer
 from seekledger.llm.components import components
 from seekledger.llm.scratch import written
@@ -73,18 +74,16 @@ def lines(texts: pa.Array) -> Lines:
     return Lines(code, doc, number, solid[full[start]], solid[full[end] - 1] + 1)
 
 
-def _ids(x: Lines) -> tuple[np.ndarray, np.ndarray]:
-    values = mix(x.code.astype(U), 11)
-    return tuple(runs(values, x.start, x.end, b) for b in RUN_BASES)
+_EDGES = b" \t\n\x0b\x0c\r"
 
 
-def _kept(x: Lines, gone: list | None) -> np.ndarray:
-    """Which lines are not among the ``gone`` (pos, line) of the block."""
-    if not gone:
-        return np.ones(len(x.doc), bool)
-    span = int(x.number.max()) + 1 if len(x.number) else 1
-    listed = np.array([r["pos"] * span + r["line"] for r in gone], np.int64)
-    return ~np.isin(x.doc * span + x.number, listed)
+def _identity(line: bytes) -> bytes:
+    """128 bits of a cryptographic digest: no pattern of characters makes two lines look alike."""
+    return blake2b(line, digest_size=16).digest()
+
+
+def _whole(x: Lines, k: int) -> bytes:
+    return x.code[x.start[k] : x.end[k]].tobytes()
 
 
 def _segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,27 +93,49 @@ def _segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.nda
     return i * short + longer, short + (i >= parts - rest)
 
 
-def _segment_keys(x: Lines, pick: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, is index) of the lines ``pick``."""
+def _moves(edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter, segment, move) of each key of a line; the first of a segment's is its index."""
+    out = []
+    for shorter in range(edits + 1):
+        for i in range(edits + 1):
+            low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
+            out += [(shorter, i, move) for move in range(low, high + 1)]
+    return out
+
+
+#: No key has as many bits.
+_NO_KEY = U((1 << 48) - 1)
+
+
+def _segment_keys(x: Lines, pick: np.ndarray, edits: int) -> np.ndarray:
+    """Keys of the lines ``pick``, one column a move."""
     hashed = Runs(mix(x.code.astype(U), 12), RUN_BASES[0])
     start, size = x.start[pick], x.end[pick] - x.start[pick]
-    owners, keys, index = [], [], []
-    for shorter in range(edits + 1):
+    columns = []
+    for shorter, i, move in _moves(edits):
         length = size - shorter
-        for i in range(edits + 1):
-            at, n = _segment(length, i, edits + 1)
-            low = max(-i, shorter - (edits - i))
-            high = min(i, shorter + (edits - i))
-            for move in range(low, high + 1):
-                own = shorter == 0 and move == 0
-                begin = at + move
-                ok = (begin >= 0) & (begin + n <= size) & (n > 0)
-                h = hashed((start + begin)[ok], (start + begin + n)[ok])
-                salt = mix((length[ok].astype(U) << U(8)) | U(i), 13)
-                owners.append(pick[ok])
-                keys.append(mix(h ^ salt, 14) >> U(64 - _KEY_BITS))
-                index.append(np.full(int(ok.sum()), own))
-    return np.concatenate(owners), np.concatenate(keys), np.concatenate(index)
+        at, n = _segment(length, i, edits + 1)
+        begin = at + move
+        ok = (begin >= 0) & (begin + n <= size) & (n > 0)
+        h = hashed((start + begin)[ok], (start + begin + n)[ok])
+        salt = mix((length[ok].astype(U) << U(8)) | U(i), 13)
+        key = np.full(len(pick), _NO_KEY)
+        key[ok] = mix(h ^ salt, 14) >> U(64 - _KEY_BITS)
+        columns.append(key)
+    return np.stack(columns, axis=1) if columns else np.zeros((len(pick), 0), U)
+
+
+_KEY_BYTES = (_KEY_BITS + 7) // 8
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
+
+
+def _unpacked(packed: bytes, columns: int) -> np.ndarray:
+    raw = np.zeros((len(packed) // _KEY_BYTES, 8), np.uint8)
+    raw[:, :_KEY_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, _KEY_BYTES)
+    return raw.view("<u8").reshape(-1, columns)
 
 
 def within_edits(pairs: list[tuple[np.ndarray, np.ndarray]], edits: int) -> np.ndarray:
@@ -213,63 +234,103 @@ def _close(p: str, q: str, edits: int) -> Column:
     return (turned[0] <= 2 * edits) & (sum(turned[1:], F.lit(0)) <= 4 * edits)
 
 
+def _line_texts(texts: pa.Array, pos: np.ndarray, numbers: np.ndarray) -> list[str]:
+    """The lines of some places, in their order."""
+    out, split, last = [], [], -1
+    for p, n in zip(pos.tolist(), numbers.tolist()):
+        if p != last:
+            split, last = (texts[p].as_py() or b"").split(b"\n"), p
+        out.append(split[n].strip(_EDGES).decode("utf-8", "replace"))
+    return out
+
+
+_DESCRIBED = "id array<long>, check array<long>, owner array<long>, uid array<long>, line array<int>, long array<int>, keys binary"
+
+
+def _describe(edits: int, min_chars: int):
+    """Adds to each block its lines: digest, document, place; the numbers (``long``) of those that take part in
+    the edit join, and their keys. Later steps read these and leave the texts alone."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, batch in ((row, batch.slice(i, 1)) for batch in batches for i, row in enumerate(each_block([batch]))):
+            x = lines(row["texts"])
+            digests = np.frombuffer(b"".join([_identity(_whole(x, k)) for k in range(len(x.doc))]), "<i8").reshape(-1, 2)
+            long = np.flatnonzero(x.end - x.start >= min_chars)
+            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+            added = {
+                "id": one(digests[:, 0], pa.int64()), "check": one(digests[:, 1], pa.int64()),
+                "owner": one(row["ids"].take(pa.array(x.doc)), pa.int64()),
+                "uid": one((row["block"] << ROW_BITS) | x.doc, pa.int64()), "line": one(x.number, pa.int32()),
+                "long": one(long, pa.int32()), "keys": pa.array([_packed(_segment_keys(x, long, edits))], pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
+
+    return step
+
+
 def line_classes(
     docs: DataFrame, edits: int = 2, min_chars: int = 30, text: str = "text", carry: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(blocks of ``docs``, removed lines ``block, pos, line, near``)."""
-    table = pack(docs, text, carry=carry)
-
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in each_block(batches):
-            x = lines(row["texts"])
-            a, b = _ids(x)
-            doc_ids = row["ids"].take(pa.array(x.doc))
-            yield pa.record_batch(
-                [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), doc_ids,
-                 pa.array((row["block"] << ROW_BITS) | x.doc), pa.array(x.number, pa.int32())],
-                names=["id", "check", "doc_id", "uid", "line"],
-            )
-
-    rows = written(table.mapInArrow(describe, "id long, check long, doc_id long, uid long, line int"), "lines")
+    table = pack(docs, text, carry=carry, describe=(_describe(edits, min_chars), _DESCRIBED))
+    listed = F.explode(F.arrays_zip("id", "check", "owner", "uid", "line")).alias("x")
+    rows = table.select(listed).select("x.id", "x.check", F.col("x.owner").alias("doc_id"), "x.uid", "x.line")
     place = F.struct("doc_id", "uid", "line")
     first = rows.groupBy("id", "check").agg(F.min(place).alias("first"), F.count("*").alias("c"))
     many = written(first.filter("c > 1").drop("c"), "repeated_lines")
     at = lambda uid: (F.shiftright(uid, ROW_BITS).alias("block"), F.col(uid).bitwiseAND((1 << ROW_BITS) - 1).cast("int").alias("pos"))
     copies = rows.join(many, ["id", "check"]).filter(place != F.col("first"))
     copies = written(copies.select(*at("uid"), "line"), "line_copies")
-    known = with_answer(table, copies, "block", "gone")
-
-    def chosen(x: Lines, gone: list | None) -> np.ndarray:
-        return np.flatnonzero(_kept(x, gone) & (x.end - x.start >= min_chars))
+    moves = _moves(edits)
+    is_index = np.array([shorter == 0 and move == 0 for shorter, _, move in moves])
+
+    def chosen(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(number among the block's lines, keys) of the long lines that are no copies."""
+        long = np.array(row["long"], np.int64)
+        keys = _unpacked(row["keys"], len(moves))
+        if row["gone"] and len(long):
+            pos = np.array(row["uid"], np.int64)[long] & ((1 << ROW_BITS) - 1)
+            number = np.array(row["line"], np.int64)[long]
+            span = int(number.max()) + 1
+            gone = np.array([r["pos"] * span + r["line"] for r in row["gone"] if r["line"] < span], np.int64)
+            stay = ~np.isin(pos * span + number, gone)
+            long, keys = long[stay], keys[stay]
+        return long, keys
 
     def keys_of(row: dict) -> Keys:
-        x = lines(row["texts"])
-        _, key, index = _segment_keys(x, chosen(x, row["gone"]), edits)
-        return distinct(key, anchor=index)[0]
+        _, keys = chosen(row)
+        flat_, index = keys.ravel(), np.tile(is_index, len(keys))
+        real = flat_ != _NO_KEY
+        return distinct(flat_[real], anchor=index[real])[0]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_block(batches):
-            x = lines(row["texts"])
-            pick = chosen(x, row["gone"])
-            owner, key, _ = _segment_keys(x, pick, edits)
-            on = answered(row["met"])[distinct(key)[1]] if len(key) else np.zeros(0, bool)
-            owner, key = owner[on], key[on].astype(np.int64)
-            order = np.argsort(owner, kind="stable")
-            owner, key = owner[order], key[order]
-            some, begin = np.unique(owner, return_index=True)
-            ids, _ = _ids(x._replace(start=x.start[some], end=x.end[some]))
-            bodies = [x.code[s:e].tobytes().decode("utf-32-le", "replace") for s, e in zip(x.start[some], x.end[some])]
+            long, keys = chosen(row)
+            real = keys != _NO_KEY
+            on = np.zeros(keys.shape, bool)
+            if real.any():
+                on[real] = answered(row["met"])[distinct(keys[real])[1]]
+            some = np.flatnonzero(on.any(axis=1))
+            own = long[some]
+            ids, uids, numbers = (np.array(row[c], np.int64)[own] for c in ("id", "uid", "line"))
+            bodies = _line_texts(row["texts"], uids & ((1 << ROW_BITS) - 1), numbers)
+            codes = [np.frombuffer(b.encode("utf-32-le"), np.uint32) for b in bodies]
+            ends = np.cumsum([len(c) for c in codes], dtype=np.int64)
+            starts = ends - [len(c) for c in codes] if codes else ends
+            x = Lines(np.concatenate([*codes, np.zeros(0, np.uint32)]), own, numbers, starts, ends)
+            met = [k[o].astype(np.int64) for k, o in zip(keys[some], on[some])]
             yield pa.record_batch(
-                [pa.array(ids.view(np.int64)), row["ids"].take(pa.array(x.doc[some])),
-                 pa.array((row["block"] << ROW_BITS) | x.doc[some], pa.int64()), pa.array(x.number[some], pa.int32()),
-                 *(pa.array(s.view(np.int64)) for s in np.ascontiguousarray(_sketches(x, some).T)), pa.array(bodies, pa.string()),
-                 pa.ListArray.from_arrays(pa.array(np.append(begin, len(key)), pa.int32()), pa.array(key, pa.int64()))],
+                [pa.array(ids), pa.array([row["owner"][k] for k in own.tolist()], pa.int64()), pa.array(uids), pa.array(numbers, pa.int32()),
+                 *(pa.array(s.view(np.int64)) for s in np.ascontiguousarray(_sketches(x, np.arange(len(own))).T)), pa.array(bodies, pa.string()),
+                 pa.array(met, pa.list_(pa.int64()))],
                 names=["id", "doc_id", "uid", "line", *_sketch_names(), "text", "keys"],
-            )
+            )
 
-    met = shared(known, keys_of, _KEY_BITS, "met")
+    asked = with_answer(table.select("block", "uid", "line", "long", "keys"), copies, "block", "gone")
+    met = shared(asked, keys_of, _KEY_BITS, "met").select("block", "gone", "met")
+    hit = table.select("block", "texts", "id", "owner", "uid", "line", "long", "keys").join(met.hint("shuffle_hash"), "block")
     members = written(
-        met.mapInArrow(
+        hit.mapInArrow(
             emit, f"id long, doc_id long, uid long, line int, {' long, '.join(_sketch_names())} long, text string, keys array<long>"
         ),
         "line_members",
@@ -317,8 +378,8 @@ def dedup_lines(
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_block(batches):
-            x = lines(row["texts"])
-            counts = np.bincount(x.doc, minlength=len(row["texts"]))
+            pos = np.array(row["uid"], np.int64) & ((1 << ROW_BITS) - 1)
+            counts = np.bincount(pos, minlength=len(row["texts"]))
             gone: dict[int, dict[int, bool]] = {}
             for r in row["removed"] or []:
                 gone.setdefault(r["pos"], {})[r["line"]] = r["near"]
@@ -336,6 +397,7 @@ def dedup_lines(
                 columns, names = [*columns, row["rests"]], [*names, "rest"]
             yield pa.record_batch(columns, names=names)
 
-    return with_answer(table, removed, "block", "removed").mapInArrow(
+    columns = ["block", "ids", "texts", "uid", *(["rests"] if carry else [])]
+    return with_answer(table.select(*columns), removed, "block", "removed").mapInArrow(
         finish, "doc_id long, n_lines long, n_copies long, n_near long, kept_text binary" + ", rest string" * carry
     )

@@ -7,8 +7,8 @@ other than itself is a hit. Hits are extended word by word: each ``window`` that
 its word sequence starts anywhere else too, and windows that touch join to maximal repeats.
 
 Both steps use ``blocks.shared``, so copies of any number cost one key a block. Probe keys may collide
-(44 bits), which only adds windows to test; windows are told apart by 80 bits besides the 64 of each
-word.
+(44 bits), which only adds windows to test. Windows are compared by an 80-bit cryptographic digest of their
+words themselves, so no pattern of words makes two of them look alike.
 
 Cases: null and empty texts have no words and lose none; texts shorter than the window lose none;
 overlapping repeats within one text count; rows that repeat a ``doc_id`` are separate documents and
@@ -18,13 +18,14 @@ each gives a row; extra columns are ignored; an empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seekledger.llm.arrays import Words, spread, windows, words
+from seekledger.llm.arrays import Words, flat, spread, windows, words
 from seekledger.llm.blocks import Keys, answered, distinct, each_block, pack, shared
 
 U = np.uint64
@@ -50,10 +51,20 @@ def _candidates(w: Words, answer: list | None, anchor: int, window: int) -> np.n
     return all_[near[all_]]
 
 
-def _window_keys(w: Words, starts: np.ndarray, window: int) -> tuple[Keys, np.ndarray]:
-    _, a = windows(w, window, 0, starts)
-    _, b = windows(w, window, 1, starts)
-    return distinct(a >> U(64 - _WINDOW_BITS), (b >> U(32)).astype(np.uint32))
+def _window_keys(texts: pa.Array, w: Words, starts: np.ndarray, window: int) -> tuple[Keys, np.ndarray]:
+    data = flat(texts)[0]
+    size = w.end - w.start
+    # all words, one blank after each
+    ends = np.cumsum(size + 1)
+    plain = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    word = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(word))
+    plain[at + word] = data[at - np.repeat(np.cumsum(size) - size, size) + np.repeat(w.start, size)]
+    view = memoryview(plain.tobytes())
+    begin, end = (ends - size - 1)[starts], (ends - 1)[starts + window - 1]
+    digests = b"".join([blake2b(view[i:j], digest_size=16).digest() for i, j in zip(begin.tolist(), end.tolist())])
+    parts = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return distinct(parts[:, 0] >> U(64 - _WINDOW_BITS), (parts[:, 1] >> U(32)).astype(np.uint32))
 
 
 def repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
@@ -67,13 +78,13 @@ def repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
 
     def extend(row: dict) -> Keys:
         w = words(row["texts"])
-        return _window_keys(w, _candidates(w, row["hits"], anchor, window), window)[0]
+        return _window_keys(row["texts"], w, _candidates(w, row["hits"], anchor, window), window)[0]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_block(batches):
             w = words(row["texts"])
             starts = _candidates(w, row["hits"], anchor, window)
-            _, place = _window_keys(w, starts, window)
+            _, place = _window_keys(row["texts"], w, starts, window)
             gone = spread(starts[answered(row["repeats"])[place]], window, len(w.hash)) if len(place) else np.zeros(len(w.hash), bool)
             n, removed, spans, kept = [], [], [], []
             for k, body in enumerate(row["texts"].to_pylist()):
