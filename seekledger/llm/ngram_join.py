@@ -15,9 +15,9 @@ along the points' order, and is joined with itself from the roots down.
 
 Links are needed only between components, so groups of any size need no list of their pairs: equal
 sets are one point from the start; a first round verifies every point against the smallest of its
-tile; then the tree join lists, for each point and each foreign component of its tile, the best bound
-only, until nothing new is found; a last join lists every pair of different components that the bound
-leaves over and verifies all of them. After it no link is missing.
+tile, where size and a coarse point in the tile's rows already rule most of them out; then the tree join
+lists, for points and foreign components of their tile, the best bound only; a last join lists every pair
+of different components that the bound leaves over and verifies all of them. After it no link is missing.
 
 Cases: null, empty and blank texts have no tokens and are linked with nothing; texts with fewer than
 n words are one token; rows that repeat a ``doc_id`` are separate documents whose component is that of
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekledger.llm.arrays import mix, windows, words
@@ -46,8 +46,14 @@ _KEY_BITS = 44
 GROUPS = 64
 #: Points in a leaf and children of a node.
 LEAF = 16
-#: Points of a tile in one tree; larger tiles are split.
+#: Pairs of nodes opened at a time: with 256 pairs of children each, a level holds some MB.
+OPENED = 256
+#: Points of a group of a large tile; a task joins one group with one other.
 TILE_ROWS = 512
+#: Points of whole tiles joined at a time, and pairs found that a task holds.
+JOINED_ROWS, PAIRS = 20_000, 100_000
+#: Bytes of a coarse point: sums of neighbouring coordinates, scaled to fit.
+COARSE = 16
 
 
 def tokens(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +139,35 @@ def _wanted(row: dict) -> np.ndarray:
 
 
 def _point(token: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(token, 5) >> U(58)).astype(np.int64), minlength=GROUPS)[:GROUPS].astype("<u4")
+    return np.bincount((mix(token, 5) >> U(58)).astype(np.int64), minlength=GROUPS)[:GROUPS]
+
+
+def _packed(point: np.ndarray) -> bytes:
+    """One byte a coordinate, or four where one byte is too small for some."""
+    return point.astype(np.uint8 if point.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def _coarse(point: np.ndarray) -> tuple[int, int, int]:
+    """(halvings, two words of eight bytes): byte << halvings is never less than the count it stands for."""
+    sums, halved = point.reshape(COARSE, -1).sum(1), 0
+    while (small := -(-sums >> halved)).max(initial=0) > 255:
+        halved += 1
+    words_ = small.astype(np.uint8).view("<i8")
+    return halved, int(words_[0]), int(words_[1])
+
+
+_COARSE_DDL = "halved int, coarse0 long, coarse1 long"
+
+
+def _may_link(p: str, q: str, percent: int) -> Column:
+    """Whether the coarse points' summed minima reach the least overlap."""
+    def count(s: str, k: int) -> Column:
+        byte = F.shiftright(F.col(f"{s}coarse{k // 8}"), 8 * (k % 8)).bitwiseAND(255)
+        return F.call_function("shiftleft", byte, F.col(f"{s}halved"))
+
+    shared_ = sum((F.least(count(p, k), count(q, k)) for k in range(COARSE)), F.lit(0))
+    size = F.col(f"{p}n") + F.col(f"{q}n")
+    return shared_ * (100 + percent) >= size * percent
 
 
 def _need(size: np.ndarray, percent: int) -> np.ndarray:
@@ -141,8 +175,12 @@ def _need(size: np.ndarray, percent: int) -> np.ndarray:
     return -(-size * percent // (100 + percent))
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+def _points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    read = lambda x: np.frombuffer(x, np.uint8 if len(x) == GROUPS else "<u4").astype("<u4").tobytes()
+    rows = column.to_pylist()
+    if all(len(x) == GROUPS for x in rows):
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    return np.frombuffer(b"".join(map(read, rows)), "<u4").reshape(-1, GROUPS).astype(np.int32)
 
 
 def _bounded(percent: int) -> Callable:
@@ -151,7 +189,7 @@ def _bounded(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, q = _points(batch.column("point_a")), _points(batch.column("point_b"))
-            near = np.minimum(p, q).sum(1) >= _need(p.sum(1) + q.sum(1), percent)
+            near = np.minimum(p, q).sum(1) >= _need(p.sum(1, dtype=np.int64) + q.sum(1, dtype=np.int64), percent)
             stay = pa.array(np.flatnonzero(near))
             yield pa.record_batch([batch.column("a").take(stay), batch.column("b").take(stay)], names=["a", "b"])
 
@@ -221,15 +259,15 @@ class _Tree:
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of points the bound leaves over, some tiles at a time."""
         roots = np.arange(len(self.levels[0][0]))
-        for k in range(0, len(roots), 4096):
-            yield from self._down(roots[k : k + 4096], roots[k : k + 4096], 0)
+        for k in range(0, len(roots), OPENED):
+            yield from self._down(roots[k : k + OPENED], roots[k : k + OPENED], 0)
 
     def _down(self, a: np.ndarray, b: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         near = self._near(a, b, level)
         a, b = a[near], b[near]
         start, count = self.levels[level]
-        for k in range(0, len(a), 4096):
-            x, y = a[k : k + 4096], b[k : k + 4096]
+        for k in range(0, len(a), OPENED):
+            x, y = a[k : k + OPENED], b[k : k + OPENED]
             n = count[x] * count[y]
             which = np.repeat(np.arange(len(x)), n)
             i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -247,25 +285,31 @@ class _Tree:
 def _tree_pairs(percent: int, all_pairs: bool) -> Callable:
     """Joins the tiles of a partition: rows (key, uid, comp, n, point) sorted by key."""
 
-    def join(table: pa.Table) -> pa.RecordBatch:
+    def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
         col = lambda name: table.column(name).to_numpy()
         key, uid, comp, size = col("key"), col("uid"), col("comp"), col("n").astype(np.int64)
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
+        points = _points(table.column("point"))
         order = np.lexsort((uid, points[:, 1], points[:, 0], size, key))
-        key, uid, comp, size, points = key[order], uid[order], comp[order], size[order], points[order].astype(np.int32)
-        found: list[tuple[np.ndarray, ...]] = []
+        key, uid, comp, size, points = key[order], uid[order], comp[order], size[order], points[order]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for p, q in _Tree(key, size, comp, points, percent).pairs():
             if not len(p):
                 continue
-            if not all_pairs:  # of each point and foreign component in its tile, the best bound
+            if not all_pairs:  # of each point and foreign component, the best bound among those at hand
                 spare = np.minimum(points[p], points[q]).sum(1) - _need(size[p] + size[q], percent)
                 rank = np.lexsort((q, -spare, comp[q], p))
                 p, q = p[rank], q[rank]
                 best = np.append(True, (p[1:] != p[:-1]) | (comp[q[1:]] != comp[q[:-1]]))
                 p, q = p[best], q[best]
-            found.append((np.minimum(uid[p], uid[q]), np.maximum(uid[p], uid[q])))
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        ab = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            held.append((np.minimum(uid[p], uid[q]), np.maximum(uid[p], uid[q])))
+            if sum(len(x) for x, _ in held) > PAIRS:
+                yield pairs(held)
+                held = []
+        if held:
+            yield pairs(held)
+
+    def pairs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ab = np.unique(np.stack([np.concatenate(x) for x in zip(*held)], 1), axis=0)
         return pa.record_batch([pa.array(ab[:, 0], pa.int64()), pa.array(ab[:, 1], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,17 +320,17 @@ def _tree_pairs(percent: int, all_pairs: bool) -> Callable:
                 continue
             held.append(batch)
             rows += batch.num_rows
-            if rows < 100_000:
+            if rows < JOINED_ROWS:
                 continue
             table = pa.Table.from_batches(held)
             last = table.column("key")[-1].as_py()
             key = table.column("key").to_numpy()
             whole = int(np.searchsorted(key, last))  # the last tile may go on in the next batch
             if whole:
-                yield join(table.slice(0, whole))
+                yield from join(table.slice(0, whole))
             held, rows = table.slice(whole).to_batches(), len(table) - whole
         if rows:
-            yield join(pa.Table.from_batches(held))
+            yield from join(pa.Table.from_batches(held))
 
     return run
 
@@ -357,19 +401,21 @@ def _classes(table: DataFrame, n: int, percent: int) -> DataFrame:
             order = np.argsort(doc, kind="stable")
             doc, key = doc[order], key[order]
             some, at = np.unique(doc, return_index=True)
-            sets = [token[first[d] : first[d + 1]] for d in some]
+            made = [_point(token[first[d] : first[d + 1]]) for d in some]
+            coarse = list(zip(*map(_coarse, made))) if made else [[], [], []]
             yield pa.record_batch(
                 [
                     pa.array((row["block"] << ROW_BITS) | some, pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_point(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([int(p.sum()) for p in made], pa.int64()),
+                    pa.array([_packed(p) for p in made], pa.binary()),
+                    *(pa.array(c, t) for c, t in zip(coarse, (pa.int32(), pa.int64(), pa.int64()))),
                     pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), pa.array(key, pa.int64())),
                 ],
-                names=["uid", "n", "point", "keys"],
+                names=["uid", "n", "point", "halved", "coarse0", "coarse1", "keys"],
             )
 
     members = written(
-        shared(asked, keys_of, _KEY_BITS, "tiles").mapInArrow(emit, "uid long, n long, point binary, keys array<long>"),
+        shared(asked, keys_of, _KEY_BITS, "tiles").mapInArrow(emit, f"uid long, n long, point binary, {_COARSE_DDL}, keys array<long>"),
         "members",
     )
 
@@ -403,7 +449,7 @@ def _classes(table: DataFrame, n: int, percent: int) -> DataFrame:
 def _links(members: DataFrame, percent: int, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links between points, enough to join every component. ``sets_of`` fetches the tokens of
     points, which only those in pairs that the bound leaves over need."""
-    tiles = written(members.select("uid", F.explode("keys").alias("key")), "tiles")
+    tiles = members.select("uid", F.explode("keys").alias("key"))
     at = members.select("uid", "n", "point")
     sets: DataFrame | None = None
 
@@ -427,13 +473,16 @@ def _links(members: DataFrame, percent: int, sets_of: Callable[[DataFrame], Data
         found = joined(pairs, sets, "set").mapInArrow(_verify(percent), "a long, b long, ok boolean")
         return written(found.filter("ok").select("a", "b"), name)
 
-    centre = tiles.groupBy("key").agg(F.min("uid").alias("a"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    seeds = tiles.join(centre, "key").filter("uid != a").select("a", F.col("uid").alias("b")).distinct()
-    links = verified(bounded(seeds), "links")
-    all_pairs = False
-    while True:
+    # a tile's rows carry size and coarse point, so most seeds end where they are made
+    bounds = ["n", "halved", "coarse0", "coarse1"]
+    cells = members.select("uid", *bounds, F.explode("keys").alias("key"))
+    centre = cells.groupBy("key").agg(F.min(F.struct("uid", *bounds)).alias("m"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    seeds = cells.join(centre, "key").filter((F.col("uid") != F.col("m.uid")) & _may_link("", "m.", percent))
+    links = verified(bounded(seeds.select(F.col("m.uid").alias("a"), F.col("uid").alias("b")).distinct()), "links")
+    for all_pairs in (False, True):
         comp = components(links)
-        placed = tiles.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+        own = members.select("uid", "keys").join(comp, "uid", "left")
+        placed = own.select("uid", F.coalesce("comp", "uid").alias("comp"), F.explode("keys").alias("key"))
         mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1")
         open_ = written(placed.join(mixed.select("key"), "key", "left_semi"), "open_tiles")
         if open_.isEmpty():
@@ -441,28 +490,30 @@ def _links(members: DataFrame, percent: int, sets_of: Callable[[DataFrame], Data
         rows = _split_tiles(open_).join(at, "uid")
         ordered = rows.repartition("key").sortWithinPartitions("key")
         found = ordered.select("key", "uid", "comp", "n", "point").mapInArrow(_tree_pairs(percent, all_pairs), "a long, b long")
-        new = verified(found.distinct(), "links")
-        if new.isEmpty() and all_pairs:
-            return links
-        links = written(links.unionByName(new), "links")
-        if all_pairs:
-            return links
-        all_pairs = new.isEmpty()
+        links = written(links.unionByName(verified(found.distinct(), "links")), "links")
+    return links
 
 
 def _split_tiles(tiles: DataFrame) -> DataFrame:
-    """Splits tiles of more than ``TILE_ROWS`` rows: the members of the tile's largest component are
-    dealt to parts, as they need no comparison with each other, and all others join every part."""
+    """Splits tiles of more than ``TILE_ROWS`` rows into groups of about so many, by hash: the members of the
+    tile's largest component, which need no comparison with each other, and all others. A task joins
+    a group of the others with one of the largest component, or two groups of the others, so none holds
+    more than two groups, whatever the tile's size and however its members link."""
     by_comp = tiles.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sizes = by_comp.groupBy("key").agg(F.sum("c").alias("rows"), F.max(F.struct("c", "comp")).alias("top"))
+    groups = lambda rows: F.ceil(rows / TILE_ROWS).cast("int")
     large = sizes.filter(F.col("rows") > TILE_ROWS).select(
-        "key", F.col("top.comp").alias("main"), F.ceil(F.col("top.c") / TILE_ROWS).cast("int").alias("parts")
+        "key", F.col("top.comp").alias("main"), groups(F.col("top.c")).alias("mains"), groups(F.col("rows") - F.col("top.c")).alias("others")
     )
     split = tiles.join(large, "key", "left")
-    mine = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
-    parts = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(
-        F.col("comp") == F.col("main"), F.array(mine)
-    ).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    split = split.withColumn("part", F.explode(parts))
-    key = F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part"))
+    in_main = F.col("comp") == F.col("main")
+    mine = F.pmod(F.xxhash64("uid"), F.when(in_main, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    task = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    with_main = F.transform(upto("mains"), lambda m: task(1, m, mine))
+    among = F.transform(upto("others"), lambda o: task(2, F.least(o, mine), F.greatest(o, mine)))
+    whole = F.array(task(0, F.lit(0), F.lit(0)))
+    tasks = F.when(F.col("main").isNull(), whole).when(in_main, F.transform(upto("others"), lambda o: task(1, mine, o))).otherwise(F.concat(with_main, among))
+    split = split.withColumn("task", F.explode(tasks))
+    key = F.when(F.col("task.kind") == 0, F.col("key")).otherwise(F.xxhash64("key", "task.kind", "task.x", "task.y"))
     return split.select(key.alias("key"), "uid", "comp")
