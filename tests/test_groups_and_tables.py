@@ -154,3 +154,28 @@ def test_refresh_of_findings_clears_what_is_mended(spark, tmp_path):
     assert spark.read.parquet(first["index_recommendations"]).count() == 1
     second = refresh_architecture(profile(), shards, datetime(2026, 1, 2), str(tmp_path), first)
     assert spark.read.parquet(second["index_recommendations"]).count() == 0
+
+
+def test_groups_as_of_the_time_of_a_row(spark):
+    at = lambda d: datetime(2026, 1, d)
+    read = [("i", "a", at(1)), ("i", "a", at(3)), ("i", "b", at(5)), ("i", "b", at(6)), ("i", "a", at(9)), ("j", "g", at(4))]
+    intervals = G.group_intervals(spark.createDataFrame(read, "index_name string, index_group string, seen_at timestamp"))
+    assert {tuple(r) for r in intervals.collect()} == {
+        ("i", "a", None, at(5)), ("i", "b", at(5), at(9)), ("i", "a", at(9), None), ("j", "g", None, None)}
+    rows = [(1, "i", datetime(2020, 1, 1)), (2, "i", at(5)), (3, "i", datetime(2026, 1, 4, 23, 59)), (4, "i", at(30)), (5, "j", at(1)), (6, "k", at(1))]
+    events = spark.createDataFrame(rows, "id long, index string, ts timestamp")
+    got = {r.id: r.index_group for r in G.resolve_group(events, intervals).collect()}
+    assert got == {1: "a", 2: "b", 3: "a", 4: "a", 5: "g", 6: "k"}
+    plain = G.resolve_group(events, intervals.drop("valid_from", "valid_to"))
+    assert sorted(G.resolve_group(events, intervals).columns) == sorted(plain.columns)
+
+
+def test_clear_empties_the_folder_that_holds_the_events(spark, tmp_path):
+    path = str(tmp_path / "events")
+    events = _events(spark, [("a", 1, {}), ("a", 2, {}), ("b", 2, {})])
+    for run in ("r1", "r2"):
+        T.append_events(events, path, run=run)
+    T.clear_events(events, path)
+    assert spark.read.schema(USAGE_EVENTS).parquet(path).count() == 0
+    T.append_events(events, path, run="r1")
+    assert spark.read.schema(USAGE_EVENTS).parquet(path).count() == 3

@@ -66,3 +66,40 @@ def test_unobserved_requests(spark, tmp_path):
             {"request_id": 2, "body": "x" * 500, "elapsed_ms": 1.0}, {"request_id": 3, "body": "x" * 500}]
     requests = read_input(spark, "requests", _lines(tmp_path / "requests", rows), "json")
     assert tuple(unobserved_requests(requests, EventSettings(body_limit=100)).first()) == (1, 500)
+
+
+def _walked(spark, *texts):
+    rows = [(f"i{k}", t if isinstance(t, str) else json.dumps(t)) for k, t in enumerate(texts)]
+    mappings = spark.createDataFrame(rows, "index_name string, mapping_json string")
+    groups = mappings.selectExpr("index_name", "index_name AS index_group")
+    found: dict[str, dict] = {}
+    for r in cluster.mapping_fields(mappings, groups).collect():
+        found.setdefault(r.index_group, {})[r.field_name] = (r.mapped_type, r.is_indexed, r.has_doc_values)
+    info = {r.index_group: (r.field_count, r.source_enabled) for r in cluster.mapping_info(mappings, groups).collect()}
+    return found, info
+
+
+def test_mappings_of_any_depth_and_odd_names(spark):
+    deep = {"type": "keyword"}
+    for k in range(150):
+        deep = {"properties": {f"o{k}": deep}}
+    odd = {"properties": {"type": {"type": "long"}, "properties": {"properties": {"fields": {"type": "date", "fields": {"properties": {"type": "text"}}}}},
+                          "a.b": {"type": "text", "fields": {"raw": {"type": "keyword", "fields": {"no": {"type": "keyword"}}}, "untyped": {}}}}}
+    found, info = _walked(spark, deep, odd, {"mappings": odd, "other": 1})
+    assert list(found["i0"]) == [".".join(f"o{k}" for k in reversed(range(150)))]
+    want = {"type": ("long", True, True), "properties.fields": ("date", True, True), "properties.fields.properties": ("text", True, False),
+            "a.b": ("text", True, False), "a.b.raw": ("keyword", True, True)}
+    assert found["i1"] == found["i2"] == want and info["i1"] == info["i2"] == (5, True)
+
+
+def test_switches_and_broken_mappings(spark):
+    switches = [True, False, None, 0, 0.0, 1, 2.5, "", "false", [], {}]
+    mapping = {"_source": {"enabled": False}, "properties": {f"f{k}": {"type": "keyword", "index": v, "doc_values": v} for k, v in enumerate(switches)}}
+    mapping["properties"] |= {"list": [{"type": "x"}], "number": 3, "none": None, "typed": {"type": 7}, "blank": {"type": ""}, "text": {"type": "text", "doc_values": True}}
+    found, info = _walked(spark, mapping, "no json", "[1, 2]", "{}", '{"properties": 3}', '{"properties": {"a": {"properties": []}}}')
+    # lists and objects are no switches: on, as a value that is there
+    for k, value in enumerate(switches[:9]):
+        assert found["i0"][f"f{k}"][1:] == (bool(value), bool(value)), value
+    assert found["i0"]["text"] == ("text", True, True)
+    assert set(found["i0"]) == {f"f{k}" for k in range(11)} | {"text"} and set(found) == {"i0"}
+    assert info["i0"] == (12, False) and info["i3"] == (0, True)
