@@ -5,9 +5,10 @@ hash of its id. A source whose target is at least its size is first taken whole
 (complete epochs); the rest of its target is taken from its documents in the order of their keys, up
 to the document at which the running total comes nearest.
 
-No source is ever sorted in one task: keys fall into fine bands, band totals find the band in which
-a source's running total meets its target, and only the documents of that band are ordered. The
-result is one cut per source, so taking is a comparison in the scan of the documents.
+No source is ever sorted in one task: approximate quantiles cut a source's keys into parts of about even
+numbers, whatever its weights are; exact part totals find the part in which the running total meets the
+target, which is cut again until it holds few documents, and only those are ordered. The result is
+one cut per source, so taking is a comparison in the scan of the documents.
 
 Cases: null or empty texts have size 0 and take 0 words; a null source is a source of its own, after
 all others; rows that repeat a ``doc_id`` share a key and are taken together; an empty table gives an
@@ -35,9 +36,42 @@ def exponential_key(doc_id: Column, weight: Column, seed: int = 0) -> Column:
     return -F.log(u) / weight
 
 
-def _band(key: Column, weight_high: float, bands: int) -> Column:
-    """Monotone in the key and near even for weights about ``weight_high``."""
-    return F.least(F.lit(bands - 1), F.floor((1 - F.exp(-key * weight_high)) * bands)).cast("int")
+#: Parts that a round cuts a source's keys into.
+PARTS = 64
+
+
+def _brackets(keyed: DataFrame, plan: DataFrame, limit: int) -> DataFrame:
+    """``source, rest, lo, hi, before``: keys between which the sizes of a source, added up in their order,
+    reach ``rest``, with the sum ``before`` them; at most ``limit`` documents, or one key that many share."""
+    whole = keyed.groupBy("source").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
+    reached = plan.filter("rest > 0").select("source", "rest").alias("p")
+    start = whole.alias("w").join(reached, F.expr("w.source <=> p.source")).select(
+        "w.*", "p.rest", F.lit(0).cast("long").alias("before")
+    )
+    names = ["source", "rest", "lo", "hi", "n", "before"]
+    found = written(start.select(names), "mix_brackets")
+    while True:
+        wide = found.filter((F.col("n") > limit) & (F.col("lo") < F.col("hi")))
+        if wide.isEmpty():
+            return found.drop("n")
+        inside = (
+            keyed.alias("d").join(wide.alias("b"), F.expr("d.source <=> b.source AND b.lo <= d.key AND d.key <= b.hi"))
+            .select("d.source", "d.key", "d.size")
+        )
+        # with its source in a struct, a null one is a group and a join key like any other
+        inside = inside.select(F.struct("source").alias("s"), "key", "size")
+        cuts = inside.groupBy("s").agg(F.percentile_approx("key", [k / PARTS for k in range(1, PARTS)], 100 * PARTS).alias("cuts"))
+        # a cut is a part of its own
+        part = 2 * F.size(F.filter("cuts", lambda c: c < F.col("key"))) + F.array_contains("cuts", F.col("key")).cast("int")
+        parts = inside.join(cuts, "s").groupBy("s", part.alias("part")).agg(
+            F.sum("size").alias("m"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")
+        )
+        ends = parts.withColumn("end", F.sum("m").over(W.partitionBy("s").orderBy("part")))
+        state = wide.select(F.struct("source").alias("s"), "rest", F.col("before").alias("_before"))
+        placed = ends.join(state, "s").withColumn("before", F.col("_before") + F.col("end") - F.col("m"))
+        chosen = placed.filter("before < rest AND rest <= before + m").select("s.source", *names[1:])
+        done = found.filter((F.col("n") <= limit) | (F.col("lo") >= F.col("hi")))
+        found = written(done.unionByName(chosen), "mix_brackets")
 
 
 def source_targets(
@@ -73,7 +107,7 @@ def mix(
     size: str = "size",
     quality: str = "quality",
     weights: Sequence[float] = (1, 2, 3),
-    rows_per_band: int = 5_000,
+    rows_per_cut: int = 5_000,
     seed: int = 0,
 ) -> DataFrame:
     """``docs`` (with ``doc_id``, ``source`` and the two named columns) + ``source_size``,
@@ -82,30 +116,20 @@ def mix(
     key = exponential_key(F.col("doc_id"), F.greatest(F.col(quality), F.lit(1e-6)), seed)
     keyed = docs.select("doc_id", "source", F.col(size).cast("long").alias("size"), key.alias("key"))
     keyed = written(keyed, "mix_keys")
-    sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sizes = written(sizes, "mix_sizes")
-    n_sources, n_rows = sizes.agg(F.count("*"), F.sum("n")).first()
-    targets = written(source_targets(sizes.drop("n"), weights), "mix_targets")
-    small = n_sources <= MAX_BROADCAST_SOURCES
+    sizes = written(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), "mix_sizes")
+    targets = written(source_targets(sizes, weights), "mix_targets")
+    small = sizes.count() <= MAX_BROADCAST_SOURCES
     near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("int")
     rest = F.col("target") - epochs * F.col("source_size")
     plan = targets.select("source", "source_size", "target", epochs.alias("epochs"), rest.alias("rest"))
 
-    bands = max(1, min(65_536, (n_rows or 0) // rows_per_band + 1))
-    banded = keyed.filter("size > 0").withColumn("band", _band(F.col("key"), 1.0, bands))
-    by_band = banded.groupBy("source", "band").agg(F.sum("size").alias("band_size"))
-    running = F.sum("band_size").over(W.partitionBy("source").orderBy("band"))
-    ends = by_band.withColumn("end", running)
-    meets = (
-        ends.alias("e").join(near(plan.alias("p")), F.expr("e.source <=> p.source"))
-        .filter("e.end >= p.rest and e.end - e.band_size < p.rest")
-        .select("e.source", "e.band", (F.col("e.end") - F.col("e.band_size")).alias("before"), "p.rest")
-    )
-    meets = written(meets, "mix_bands")
+    meets = _brackets(keyed.filter("size > 0"), plan, rows_per_cut)
     inside = (
-        banded.alias("d").join(near(meets.alias("m")), F.expr("d.source <=> m.source and d.band = m.band"))
-        .select("d.source", "d.key", "d.doc_id", "d.size", "m.before", "m.rest")
+        keyed.filter("size > 0").alias("d")
+        .join(near(meets.alias("m")), F.expr("d.source <=> m.source AND m.lo <= d.key AND d.key <= m.hi"))
+        # rows that repeat a document are taken together
+        .groupBy("d.source", "d.key", "d.doc_id", "m.before", "m.rest").agg(F.sum("d.size").alias("size"))
     )
     order = W.partitionBy("source").orderBy("key", "doc_id").rangeBetween(W.unboundedPreceding, 0)
     steps = inside.withColumn("end", F.col("before") + F.sum("size").over(order))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekledger.llm.arrays import LOWER, Words, flat, mix, split, windows
+from seekledger.llm.quality_rules import bounded_sample
 from seekledger.llm.scratch import written
 
 U = np.uint64
@@ -212,9 +213,7 @@ def train(labelled: DataFrame, max_rows: int = 12_000, text: str = "text", label
         "doc_id", F.col(text).cast("binary").alias("text"), F.col(label).cast("int").alias("label")
     )
     rows = written(rows, "quality_rows")
-    n = rows.count()
-    if n > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+    rows = bounded_sample(rows, max_rows, salt=37)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((SLOTS, DIMENSIONS))

@@ -245,9 +245,18 @@ def learn(
     return out
 
 
-def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
+#: Steps in which a share of rows is measured: even one row of 4e15 can be asked for.
+SHARE_STEPS = 1 << 52
+
+
+def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id", salt: int = 17) -> DataFrame:
     """All rows, or about ``most`` of them chosen by a hash of the key."""
     n = rows.count()
     if n <= most:
         return rows
-    return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(SHARE_STEPS)) < sample_limit(most, n))
+
+
+def sample_limit(most: int, n: int) -> int:
+    """Hashes below it belong to a sample of ``most`` of ``n`` rows; never 0."""
+    return max(1, SHARE_STEPS * most // n)

@@ -238,3 +238,47 @@ def test_shares_do_not_overflow():
     count = np.array([1, 2, 10**12, 3 * 10**15, 9 * 10**15], np.int64)
     total = 9 * 10**15
     assert source_divergence.shares(count, np.int64(total)).tolist() == [1 + 10**9 * int(c) // total for c in count]
+
+
+@pytest.mark.parametrize("limit", [3, 40, 5000])
+def test_mixing_draws_in_the_order_of_the_keys(spark, limit):
+    """Against a plain sort: weights near one and of 0.05, a hot source, repeated and null ids, ties."""
+    from pyspark.sql import functions as F
+
+    from seekledger.llm import mixing
+
+    r = random.Random(5)
+    rows = [(k, r.choices(["hot", "b", "c", None], [60, 20, 15, 5])[0], r.randrange(0, 50), r.choice([0.05, 1.0, 0.05, 7.0])) for k in range(3000)]
+    rows += [rows[7], rows[7], (None, "b", 9, 1.0), (None, "c", 3, 1.0)] + [(9999, "hot", 2, 0.05)] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, quality double").repartition(4)
+    keys = {(x.doc_id, x.quality): x.k for x in docs.select("doc_id", "quality", mixing.exponential_key(F.col("doc_id"), F.col("quality")).alias("k")).collect()}
+    got = mixing.mix(docs, rows_per_cut=limit).collect()
+    assert len(got) == len(rows)
+    for source in ("hot", "b", "c", None):
+        mine = [x for x in got if x.source == source]
+        total = sum(x.size for x in mine)
+        rest = mine[0].target - math.floor(mine[0].target / total) * total
+        epochs = math.floor(mine[0].target / total)
+        # documents in the order of their keys, rows that repeat one together
+        groups = {}
+        for x in mine:
+            if x.size:
+                groups.setdefault((keys[x.doc_id, x.quality], x.doc_id if x.doc_id is not None else -1), []).append(x)
+        order, sums = sorted(groups), [0]
+        for k in order:
+            sums.append(sums[-1] + sum(x.size for x in groups[k]))
+        best = min(range(len(sums)), key=lambda i: (abs(sums[i] - rest), i))
+        drawn = set(order[:best])
+        for k in order:
+            assert {x.times for x in groups[k]} == {epochs + (k in drawn)}, (source, k)
+        assert all(x.taken == x.times * x.size for x in mine)
+
+
+def test_samples_of_any_number_of_rows(spark):
+    from seekledger.llm.quality_rules import bounded_sample, sample_limit
+
+    for n in (12_001, 25 * 10**9, 10**14):
+        assert sample_limit(12_000, n) >= 1
+    assert sample_limit(12_000, 25 * 10**9) > 10**9
+    rows = spark.range(50_000).withColumnRenamed("id", "doc_id")
+    assert 800 <= bounded_sample(rows, 1000).count() <= 1200 and bounded_sample(rows.limit(900), 1000).count() == 900
