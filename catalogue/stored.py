@@ -6,10 +6,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from catalogue.architecture import QUERIES as H_QUERIES
 from catalogue.common import Query, stamp_sql
 from catalogue.events_sql import SKIPPED, with_events, with_requests
 from catalogue.mapping import DIFF_CTE, FIELDS_CTE, REFS_CTE, USAGE_CTE
-from catalogue.usage import EVENT_COLUMNS, LISTS, _keep_sql
+from catalogue.usage import EVENT_COLUMNS, LISTS, NO_CLIENT, _keep_sql
 from catalogue.workload import NEWEST_DOCS, PRODUCTS, UPDATES, _documents, _sql
 from seekledger.operators import keyed_table as K
 from seekledger.operators.event_table import EventTable
@@ -23,7 +24,8 @@ from seekledger.plans import events as E
 from seekledger.plans import mapping as M
 from seekledger.plans import partials as P
 from seekledger.plans import sketches as S
-from seekledger.plans.refresh import SCHEMAS, refresh_usage
+from seekledger.plans import usage as U
+from seekledger.plans.refresh import SCHEMAS, refresh_findings, refresh_usage
 from seekledger.samples import business as B
 from seekledger.samples import catalog as C
 from seekledger.samples.mappings import CRM_FIELD, CRM_INDEX, crm_groups
@@ -215,6 +217,18 @@ def _crm_history(spark, sf_dir):
     return old, retyped
 
 
+# --- Clients and templates -------------------------------------------------------------------
+
+
+def _findings(spark, sf_dir):
+    """Findings refreshed twice: the first time as if every group were in trouble."""
+    profile, shards, now = C.tenant_profile(spark, sf_dir), C.tenant_shards(spark, sf_dir), C.as_of(spark, sf_dir)
+    results = Snapshots(spark, new_place(spark, "findings"), SCHEMAS)
+    for replicas in (F.lit(0).cast("long"), F.col("number_of_replicas")):
+        found = refresh_findings(profile.withColumn("number_of_replicas", replicas), shards, now, results)
+    return found
+
+
 # --- Requests out of the ordinary ------------------------------------------------------------
 
 LIMITED = E.EventSettings(body_limit=4096, text_limit=100, event_sample_rate=0.5)
@@ -253,6 +267,28 @@ QUERIES: dict[str, Query] = {
             REFS_CTE,
         ),
     ),
+    "l05_findings": Query(
+        lambda spark, sf_dir: _findings(spark, sf_dir).groupBy("index_group", "recommendation", "severity").agg(F.count(F.lit(1)).alias("count")),
+        "SELECT index_group, recommendation, severity, count(*) AS count FROM ("
+        + H_QUERIES["h25_index_recommendations"].sql + ") GROUP BY 1, 2, 3",
+    ),
+    "e44_client_activity": Query(
+        lambda spark, sf_dir: U.client_activity(C.usage_events(spark, sf_dir)),
+        with_events(
+            f"SELECT {NO_CLIENT} AS client_id, count(*) AS count, string_agg(DISTINCT index_group, ',' ORDER BY index_group) AS index_groups, "
+            f"{stamp_sql('max(' + chr(34) + 'timestamp' + chr(34) + ')', 'last_seen')} FROM ev GROUP BY 1"
+        ),
+    ),
+    "j08_template_fields": Query(
+        lambda spark, sf_dir: J.template_fields(C.usage_events(spark, sf_dir), 10, 3),
+        with_events(
+            "SELECT query_template_hash, total / 100.0 AS total_ms, field, n AS count FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY query_template_hash ORDER BY n DESC, field) AS r FROM (SELECT query_template_hash, field, count(*) AS n FROM "
+            "(SELECT query_template_hash, unnest(queried) AS field FROM ev) GROUP BY 1, 2) JOIN top USING (query_template_hash)) WHERE r <= 3",
+            "top AS (SELECT query_template_hash, sum(cents) AS total FROM ev WHERE query_template_hash IS NOT NULL GROUP BY 1 "
+            "ORDER BY 2 DESC, 1 LIMIT 10)",
+        ),
+    ),
     "d08_sketches": Query(
         _sketched,
         with_events(

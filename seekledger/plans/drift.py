@@ -179,6 +179,23 @@ def template_percentiles(events: DataFrame, size: int = 20) -> DataFrame:
     )
 
 
+def template_fields(events: DataFrame, size: int = 50, fields: int = 20) -> DataFrame:
+    """The costliest templates, each with the fields it queries most often. One count per template and
+    field; a template's own row and time are counted once, with the first field of each request."""
+    requests = events.filter(F.col("query_template_hash").isNotNull()).select(
+        "query_template_hash", "response_time_ms", F.posexplode_outer(F.array_distinct("fields.queried")).alias("_at", "field")
+    )
+    first = F.coalesce("_at", F.lit(0)) == 0
+    cells = requests.groupBy("query_template_hash", "field").agg(
+        F.count(F.lit(1)).alias("count"), F.sum(F.when(first, hundredths(F.col("response_time_ms")))).alias("_total")
+    )
+    totals = cells.groupBy("query_template_hash").agg(F.sum("_total").alias("_total"))
+    top = totals.orderBy(F.desc("_total"), F.asc("query_template_hash")).limit(size)
+    chosen = R._keep(cells.drop("_total"), top, ["query_template_hash"], size)
+    named = R._top_children(chosen, ["query_template_hash"], "field", fields)
+    return named.join(top, "query_template_hash").select("query_template_hash", (F.col("_total") / 100.0).alias("total_ms"), "field", "count")
+
+
 def mapping_history(old: DataFrame, new: DataFrame) -> DataFrame:
     """Fields added, removed or retyped between two mapping snapshots."""
     keys = ["index_group", "field_name"]

@@ -83,3 +83,10 @@ def refresh_usage(
     advised = M.mapping_recommendations(diff.join(processed, "index_group", "left_semi"), as_of)
     snapshots.replace("mapping_recommendations", advised, processed)
     return changed
+
+
+def refresh_findings(profile: DataFrame, cat_shards: DataFrame, as_of: datetime, snapshots: Snapshots) -> DataFrame:
+    """The findings of every profiled group and of the cluster, in place of those they had."""
+    cluster = profile.sparkSession.range(1).select(F.lit(A.CLUSTER_GROUP).alias("index_group"))
+    processed = profile.select("index_group").unionByName(cluster)
+    return snapshots.replace("index_recommendations", A.index_recommendations(profile, cat_shards, as_of), processed)

@@ -184,6 +184,16 @@ def client_groups(events: DataFrame) -> DataFrame:
     )
 
 
+def client_activity(events: DataFrame) -> DataFrame:
+    """Every client with its number of requests, its groups and when it was last seen. Requests are counted
+    per client and group first, so a client's list grows with its groups only."""
+    named = events.fillna({"client_id": R.NO_CLIENT})
+    cells = named.groupBy("client_id", "index_group").agg(_count().alias("_n"), F.max("timestamp").alias("_last"))
+    return cells.groupBy("client_id").agg(
+        F.sum("_n").alias("count"), F.sort_array(F.collect_set("index_group")).alias("index_groups"), F.max("_last").alias("last_seen")
+    )
+
+
 def client_fields(events: DataFrame, with_filtered: bool = False) -> DataFrame:
     fields = F.col("fields.queried")
     if with_filtered:
