@@ -19,6 +19,11 @@ tile, where size and a coarse point in the tile's rows already rule most of them
 lists, for points and foreign components of their tile, the best bound only; a last join lists every pair
 of different components that the bound leaves over and verifies all of them. After it no link is missing.
 
+Counts say little about large sets, so verification starts with parities: whether a set has an odd number of
+tokens in each of about as many groups as it has tokens. Two sets differ in one token at least for each
+group of unlike parity, and a linked pair in no more than its sizes allow. Only the tokens of the pairs that
+are left over move, 64 times the parities' size.
+
 Cases: null, empty and blank texts have no tokens and are linked with nothing; texts with fewer than
 n words are one token; rows that repeat a ``doc_id`` are separate documents whose component is that of
 the smallest ``doc_id``; extra columns are ignored; an empty table gives an empty result.
@@ -52,6 +57,8 @@ OPENED = 256
 TILE_ROWS = 512
 #: Points of whole tiles joined at a time, and pairs found that a task holds.
 JOINED_ROWS, PAIRS = 20_000, 100_000
+#: Bits of the parities in a tree's rows; whole parities are a power of two, no less than these or the set's size.
+SHORT = 512
 #: Bytes of a coarse point: sums of neighbouring coordinates, scaled to fit.
 COARSE = 16
 
@@ -142,6 +149,23 @@ def _point(token: np.ndarray) -> np.ndarray:
     return np.bincount((mix(token, 5) >> U(58)).astype(np.int64), minlength=GROUPS)[:GROUPS]
 
 
+def _parities(token: np.ndarray) -> np.ndarray:
+    """Bits packed in bytes: whether the set has an odd number of tokens in each group."""
+    bits = 1 << (max(len(token), SHORT) - 1).bit_length()
+    groups = np.bincount((mix(token, 8) & U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((groups & 1).astype(np.uint8))
+
+
+def _folded(parities: np.ndarray, size: int) -> np.ndarray:
+    """The parities of the ``size`` bytes of wider groups."""
+    return np.bitwise_xor.reduce(parities.reshape(-1, size), 0)
+
+
+def _may_differ(size: np.ndarray, percent: int) -> np.ndarray:
+    """Most tokens in one set only, of a linked pair whose sizes sum to ``size``."""
+    return size - 2 * _need(size, percent)
+
+
 def _packed(point: np.ndarray) -> bytes:
     """One byte a coordinate, or four where one byte is too small for some."""
     return point.astype(np.uint8 if point.max(initial=0) < 256 else "<u4").tobytes()
@@ -196,6 +220,23 @@ def _bounded(percent: int) -> Callable:
     return run
 
 
+def _even(percent: int) -> Callable:
+    """Keeps pairs (a, b, n_a, n_b, parity_a, parity_b) whose parities differ in no more groups than a link's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda name: [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(name)]
+            unlike = []
+            for x, y in zip(get("parity_a"), get("parity_b")):
+                size = min(len(x), len(y))
+                unlike.append(int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum()))
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            stay = pa.array(np.flatnonzero(np.array(unlike, np.int64) <= _may_differ(sizes, percent)))
+            yield pa.record_batch([batch.column("a").take(stay), batch.column("b").take(stay)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,16 +324,19 @@ class _Tree:
 
 
 def _tree_pairs(percent: int, all_pairs: bool) -> Callable:
-    """Joins the tiles of a partition: rows (key, uid, comp, n, point) sorted by key."""
+    """Joins the tiles of a partition: rows (key, uid, comp, n, point, short) sorted by key."""
 
     def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
         col = lambda name: table.column(name).to_numpy()
         key, uid, comp, size = col("key"), col("uid"), col("comp"), col("n").astype(np.int64)
         points = _points(table.column("point"))
+        short = np.frombuffer(b"".join(table.column("short").to_pylist()), "<u8").reshape(-1, SHORT // 64)
         order = np.lexsort((uid, points[:, 1], points[:, 0], size, key))
-        key, uid, comp, size, points = key[order], uid[order], comp[order], size[order], points[order]
+        key, uid, comp, size, points, short = (x[order] for x in (key, uid, comp, size, points, short))
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for p, q in _Tree(key, size, comp, points, percent).pairs():
+            even = np.bitwise_count(short[p] ^ short[q]).sum(1) <= _may_differ(size[p] + size[q], percent)
+            p, q = p[even], q[even]
             if not len(p):
                 continue
             if not all_pairs:  # of each point and foreign component, the best bound among those at hand
@@ -402,30 +446,31 @@ def _classes(table: DataFrame, n: int, percent: int) -> DataFrame:
             doc, key = doc[order], key[order]
             some, at = np.unique(doc, return_index=True)
             made = [_point(token[first[d] : first[d + 1]]) for d in some]
+            parities = [_parities(token[first[d] : first[d + 1]]) for d in some]
             coarse = list(zip(*map(_coarse, made))) if made else [[], [], []]
             yield pa.record_batch(
                 [
                     pa.array((row["block"] << ROW_BITS) | some, pa.int64()),
                     pa.array([int(p.sum()) for p in made], pa.int64()),
                     pa.array([_packed(p) for p in made], pa.binary()),
+                    pa.array([_folded(p, SHORT // 8).tobytes() for p in parities], pa.binary()),
+                    pa.array([p.tobytes() for p in parities], pa.binary()),
                     *(pa.array(c, t) for c, t in zip(coarse, (pa.int32(), pa.int64(), pa.int64()))),
                     pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), pa.array(key, pa.int64())),
                 ],
-                names=["uid", "n", "point", "halved", "coarse0", "coarse1", "keys"],
+                names=["uid", "n", "point", "short", "parity", "halved", "coarse0", "coarse1", "keys"],
             )
 
-    members = written(
-        shared(asked, keys_of, _KEY_BITS, "tiles").mapInArrow(emit, f"uid long, n long, point binary, {_COARSE_DDL}, keys array<long>"),
-        "members",
-    )
+    described = f"uid long, n long, point binary, short binary, parity binary, {_COARSE_DDL}, keys array<long>"
+    members = written(shared(asked, keys_of, _KEY_BITS, "tiles").mapInArrow(emit, described), "members")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in each_block(batches):
             if not row["points"]:
                 continue
-            token, first = tokens(row["texts"], n)
             some = _wanted(row)
-            sets = [token[first[d] : first[d + 1]].astype("<u8").tobytes() for d in some]
+            token, first = tokens(row["texts"].take(pa.array(some)), n)
+            sets = [token[i:j].astype("<u8").tobytes() for i, j in zip(first[:-1], first[1:])]
             yield pa.record_batch(
                 [pa.array((row["block"] << ROW_BITS) | some, pa.int64()), pa.array(sets, pa.binary())], names=["uid", "set"]
             )
@@ -450,18 +495,22 @@ def _links(members: DataFrame, percent: int, sets_of: Callable[[DataFrame], Data
     """Links between points, enough to join every component. ``sets_of`` fetches the tokens of
     points, which only those in pairs that the bound leaves over need."""
     tiles = members.select("uid", F.explode("keys").alias("key"))
-    at = members.select("uid", "n", "point")
+    at = members.select("uid", "n", "point", "short")
     sets: DataFrame | None = None
+    refuted: DataFrame | None = None
 
-    def joined(pairs: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-        side = lambda s: rows.select(F.col("uid").alias(s), F.col(value).alias(f"{value}_{s}"))
+    def joined(pairs: DataFrame, rows: DataFrame, *values: str) -> DataFrame:
+        side = lambda s: rows.select(F.col("uid").alias(s), *(F.col(v).alias(f"{v}_{s}") for v in values))
         return pairs.join(side("a"), "a").join(side("b"), "b")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         return joined(pairs, at, "point").mapInArrow(_bounded(percent), "a long, b long")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        nonlocal sets
+        nonlocal sets, refuted
+        pairs = joined(pairs, members, "n", "parity").mapInArrow(_even(percent), "a long, b long")
+        if refuted is not None:
+            pairs = pairs.join(refuted, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         uids = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
         if sets is None:
@@ -470,8 +519,10 @@ def _links(members: DataFrame, percent: int, sets_of: Callable[[DataFrame], Data
             more = written(uids.join(sets.select("uid"), "uid", "left_anti"), "more_points")
             if not more.isEmpty():
                 sets = sets.unionByName(written(sets_of(more), "token_sets"))
-        found = joined(pairs, sets, "set").mapInArrow(_verify(percent), "a long, b long, ok boolean")
-        return written(found.filter("ok").select("a", "b"), name)
+        found = written(joined(pairs, sets, "set").mapInArrow(_verify(percent), "a long, b long, ok boolean"), name)
+        wrong = found.filter("NOT ok").select("a", "b")
+        refuted = wrong if refuted is None else refuted.unionByName(wrong)
+        return found.filter("ok").select("a", "b")
 
     # a tile's rows carry size and coarse point, so most seeds end where they are made
     bounds = ["n", "halved", "coarse0", "coarse1"]
@@ -489,7 +540,7 @@ def _links(members: DataFrame, percent: int, sets_of: Callable[[DataFrame], Data
             return links
         rows = _split_tiles(open_).join(at, "uid")
         ordered = rows.repartition("key").sortWithinPartitions("key")
-        found = ordered.select("key", "uid", "comp", "n", "point").mapInArrow(_tree_pairs(percent, all_pairs), "a long, b long")
+        found = ordered.select("key", "uid", "comp", "n", "point", "short").mapInArrow(_tree_pairs(percent, all_pairs), "a long, b long")
         links = written(links.unionByName(verified(found.distinct(), "links")), "links")
     return links
 

@@ -345,3 +345,23 @@ def test_words_of_a_text_are_labelled(spark):
     assert plain == {k: (x.lang_pred, x.score) for k, x in got.items()} and plain[3] == ("und", 0.0)
     untrained = language_id.label_words(docs, language_id.train([])).collect()
     assert all(x.words == [] and x.lang_pred == "und" for x in untrained)
+
+
+@pytest.mark.parametrize("size", [0, 1, 300, 512, 513, 5_000])
+def test_parities_never_refute_a_link(size):
+    rng = np.random.default_rng(size)
+    for other in (size, size + 7, 3 * size + 1):
+        for shared in {0, size // 2, size * 9 // 10, size}:
+            values = np.unique(rng.integers(0, 1 << 52, size + other + 10, dtype=np.uint64))
+            rng.shuffle(values)
+            a, b = values[:size], values[size - shared : size - shared + other]
+            x, y = ngram_join._parities(a), ngram_join._parities(b)
+            least = min(len(x), len(y))
+            unlike = int(np.bitwise_count(ngram_join._folded(x, least) ^ ngram_join._folded(y, least)).sum())
+            apart = len(set(a.tolist()) ^ set(b.tolist()))
+            assert unlike <= apart and unlike % 2 == apart % 2
+            if size == 5_000 and shared <= size // 2:  # what has little in common is told by parities alone
+                assert unlike > ngram_join._may_differ(np.int64(len(a) + len(b)), 80)
+            both = len(set(a.tolist()) & set(b.tolist()))
+            if a.size and 100 * both >= 80 * (len(a) + len(b) - both):
+                assert unlike <= ngram_join._may_differ(np.int64(len(a) + len(b)), 80)
