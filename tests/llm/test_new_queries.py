@@ -176,6 +176,69 @@ def test_lm_scores_without_training_texts(spark):
     check_scores(map(tuple, lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), small_model()).collect()), rows, small_model())
 
 
+def test_expected_pieces_are_those_of_all_segmentations():
+    lattice = lm_scoring.Lattice(small_model())
+    for word in ("", "a", "abab", "aé", "babaab"):
+        found = lattice.expected(word)
+        characters = sum(n * len(p) for p, n in found.items() if p) + sum(not (c in lattice.known) for c in MARK + word)
+        assert characters == pytest.approx(len(MARK + word))
+        # the slope of the logarithm of the sum, along the logarithm of a piece's probability
+        for piece in [p for p in found if p]:
+            less = lm_scoring.Lattice(small_model())
+            node = less.back
+            for c in reversed(piece):
+                node = node[c]
+            node[""] += 1e-6
+            assert found[piece] == pytest.approx((less.log_probability(MARK + word) - lattice.log_probability(MARK + word)) / 1e-6, rel=1e-4)
+
+
+@pytest.mark.parametrize("chunk", [300, 1 << 24])
+def test_lm_scores_learned(spark, monkeypatch, chunk):
+    r = random.Random(5)
+    rows = [(k, " ".join(r.choices(["a", "ab", "Ba", "x", "abab"], k=r.randrange(0, 30)))) for k in range(60)]
+    rows += [(8, "bbb " + "ab" * 2_000), (7, None)]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    words = [[w.translate(FOLD) for w in WORD.findall(t or "")] for _, t in rows]
+    count = Counter(w for ws, out in zip(words, held) if not out for w in ws)
+    n, v = sum(count.values()), len(count)
+    fitted = None
+    for _ in range(lm_scoring.ROUNDS):
+        lattice, sums = lm_scoring.Lattice(small_model(), fitted), Counter()
+        for w in count:
+            for piece, times in lattice.expected(w).items():
+                sums[piece] += round(times * lm_scoring.UNIT)
+        fitted = {p: x for p, x in sums.items() if x}
+    lattice = lm_scoring.Lattice(small_model(), fitted)
+    ends = held.count(False)
+    end = (ends + 1) / (n + ends + 2)
+
+    def one(w):
+        z = lattice.word(w)
+        return math.log10(v) + z if not count[w] else math.log10(count[w] + v * 10.0**z)
+
+    want = {d: sum(one(w) - math.log10(n + v) + math.log10(1 - end) for w in ws) + math.log10(end) for (d, _), ws in zip(rows[:60], words)}
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", chunk)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_scoring.score_texts(docs, small_model(), learn=True).collect()
+    assert len(got) == len(rows) and all(math.isfinite(x.score) for x in got)
+    for d in want.keys() - {7, 8}:
+        assert [x.score for x in got if x.doc_id == d] == pytest.approx([want[d]], rel=1e-9)
+
+
+def test_lm_scores_learned_from_nothing(spark):
+    only = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
+    docs = spark.createDataFrame([(k, "ab x") for k in only], "doc_id long, text string")
+    assert all(math.isfinite(x.score) and x.score < 0 for x in lm_scoring.score_texts(docs, small_model(), learn=True).collect())
+
+
+def test_held_out_texts_score_near_the_base(spark, sf_dir):
+    """The base gives any unknown word one count, whatever its letters, so only mostly known texts compare."""
+    got = q.op12_lm_scoring(spark, sf_dir).filter("held_out").collect()
+    assert got and all(math.isfinite(x.score) for x in got)
+    known = [x for x in got if x.n_known >= 0.95 * x.n_tokens]
+    assert known and sum(x.score for x in known) > 1.3 * sum(x.base_score for x in known)
+
+
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
