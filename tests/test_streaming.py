@@ -55,6 +55,17 @@ def test_stream_equals_batch_and_resumes(spark, source, groups, tmp_path):
     assert spark.read.schema(USAGE_EVENTS).parquet(sink).count() == 61
 
 
+def test_event_expressions_are_built_once_for_all_batches(spark, source, groups, tmp_path, monkeypatch):
+    built = []
+    monkeypatch.setattr(L, "build_usage_events", lambda *args: built.append(1) or build_usage_events(*args))
+    table = L.EventTable(spark, str(tmp_path / "table"))
+    query = L.start_ingest(L.request_stream(spark, source, max_files=1), groups, table, str(tmp_path / "c"), interval=None)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 3 and len(built) == 1
+    batch = build_usage_events(spark.read.schema(REQUEST_LOG).parquet(source), groups)
+    assert _rows(table.read()) == _rows(batch)
+
+
 def test_redelivered_requests_count_once(spark, source, groups, tmp_path):
     rows = [_row(at, at) for at in range(40, 60)]
     spark.createDataFrame(rows, REQUEST_LOG).coalesce(1).write.mode("append").parquet(source)
