@@ -65,9 +65,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = sentencepiece_codec.Model.load(PIECES)
-    coded = sentencepiece_codec.encode(docs, model).withColumn("_ids", F.col("ids"))
     columns = [c for c in docs.columns if c != "ids"]
-    return sentencepiece_codec.decode(coded, model, ids="_ids").select(*columns, "ids")
+    return sentencepiece_codec.coded_text(docs, model).select(*columns, "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from seekledger.llm import queries as q
-from seekledger.llm import scratch
+from seekledger.llm import scratch, sentencepiece_codec
 
 
 def test_stages(spark, sf_dir, documents):
@@ -26,5 +28,15 @@ def test_stages(spark, sf_dir, documents):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(results["sentencepiece"])
 
 
+def test_texts_cross_once_to_be_coded(spark, sf_dir):
+    docs = q.table(spark, sf_dir, "documents")
+    out = dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, sf_dir)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    model = sentencepiece_codec.Model.load(q.PIECES)
+    two = sentencepiece_codec.encode(docs, model).withColumn("_ids", F.col("ids"))
+    two = sentencepiece_codec.decode(two, model, ids="_ids").select(*docs.columns, "ids")
+    assert out.schema == two.schema and sorted(map(str, out.collect())) == sorted(map(str, two.collect()))
+
+
 def test_empty(spark, empty_dir):
     assert corpus_pipeline.run(spark, empty_dir).collect() == []
