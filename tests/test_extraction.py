@@ -233,3 +233,10 @@ def test_sampling_keeps_the_same_rows_and_clamps(spark, groups):
     assert some == kept(0.3) and 500 < len(some) < 700
     assert set(kept(1.0, store_bodies=False).values()) == {None}
     assert 0 < sum(b is None for b in kept(1.0, body_sample_rate=0.5).values()) < 2000
+
+
+def test_a_body_crosses_into_python_once(spark, groups):
+    requests = spark.createDataFrame([_row(1, *SEARCH, "{}")], REQUEST_LOG)
+    for events in (build_usage_events(requests, groups), rejected_requests(requests)):
+        plan = events._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
