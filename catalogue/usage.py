@@ -87,13 +87,13 @@ _EVENT_LIST = ", ".join(f'"{c}"' for c in EVENT_COLUMNS)
 
 def _events(spark, sf_dir):
     """The whole pipeline from the raw table, every column of every event."""
-    events = E.build_usage_events(C.requests(spark, sf_dir), C.group_map(spark, sf_dir))
+    events = E.build_usage_events(C.requests(spark, sf_dir), C.group_map(spark, sf_dir), once=True)
     return events.select("timestamp", *EVENT_COLUMNS, "fields.*")
 
 
 def _sampled(spark, sf_dir):
     settings = E.EventSettings(event_sample_rate=0.25, body_sample_rate=0.5)
-    events = E.build_usage_events(C.requests(spark, sf_dir), C.group_map(spark, sf_dir), settings)
+    events = E.build_usage_events(C.requests(spark, sf_dir), C.group_map(spark, sf_dir), settings, once=True)
     return events.select("request_id", "query_body")
 
 
