@@ -6,7 +6,8 @@ Spark's text writer (a record is one "line": all of it but its last line feed).
 streams each archive line by line through one task, whatever its size, and gives one row per record.
 ``reassemble`` groups continuation records by their origin, orders them by segment number, checks
 that numbers are complete and that the total length agrees, and ``decode`` takes the chunked framing
-off. Unsegmented records move through no shuffle.
+off. Unsegmented records move through no shuffle. ``read_measured`` does all of this and parses each
+archive once: unsegmented records are decoded where they are read, only blocks of segments are written.
 
 Cases: null payloads are written as empty ones; an empty table gives an empty folder and no rows;
 payloads may hold any bytes, record delimiters included, as only lengths end a record; a record
@@ -194,13 +195,14 @@ def _take(data: bytes, at: int, final: bool) -> tuple[tuple, int] | None:
     return (*fields, stop <= len(data), data[body:stop]), min(stop, len(data))
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], schema: pa.Schema = _SCHEMA, finish=None) -> Iterator[pa.RecordBatch]:
+    """``finish`` makes a row of ``schema`` of each record; without it the record is the row."""
     out: list[tuple] = []
     size = 0
 
     def made() -> pa.RecordBatch:
-        columns = list(zip(*out)) if out else [[] for _ in _SCHEMA]
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+        columns = list(zip(*out)) if out else [[] for _ in schema]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     rest, file = b"", None
 
@@ -209,7 +211,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = 0
         while (found := _take(data, at, final)) is not None:
             record, at = found
-            out.append(record)
+            out.append(finish(record) if finish else record)
             size += len(record[-1])
         return data[at:]
 
@@ -239,19 +241,26 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield made()
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("value").cast("binary").alias("value"), F.xxhash64(F.input_file_name()).alias("file"))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record of the gzip archives in ``path`` (columns: ``RECORD``). gzip is not
     splittable, so an archive passes through one task in order and only the record at hand is held."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    source = F.xxhash64(F.input_file_name())
-    return lines.select(F.col("value").cast("binary").alias("value"), source.alias("file")).mapInArrow(_parse, RECORD)
+    return _lines(spark, path).mapInArrow(_parse, RECORD)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
     """First records with their whole block; ``complete`` is false where segments are missing or
     the total length differs."""
     whole = records.filter("segment IS NULL").drop("origin_id", "segment", "total_length")
-    parts = records.filter("segment IS NOT NULL").withColumn("origin", F.coalesce("origin_id", "record_id"))
+    return whole.unionByName(_joined(records.filter("segment IS NOT NULL")).select(whole.columns))
+
+
+def _joined(segments: DataFrame) -> DataFrame:
+    parts = segments.withColumn("origin", F.coalesce("origin_id", "record_id"))
     head = lambda name: F.max(F.when(F.col("segment") == 1, F.col(name))).alias(name)
     pieces = F.array_sort(F.collect_list(F.struct("segment", "block")))
     joined = parts.groupBy("origin").agg(
@@ -262,14 +271,13 @@ def reassemble(records: DataFrame) -> DataFrame:
     )
     block = F.aggregate("pieces.block", _bytes(""), lambda a, x: F.concat(a, x))
     numbers = F.sequence(F.lit(1), F.size("pieces"))
-    checked = joined.withColumn("block", block).withColumn(
+    return joined.withColumn("block", block).withColumn(
         "complete",
         F.coalesce(
             F.col("all_complete") & (F.col("pieces.segment") == numbers) & (F.octet_length("block") == F.col("total")),
             F.lit(False),
         ),
     )
-    return whole.unionByName(checked.select(*whole.columns))
 
 
 def _decode(block: bytes | None) -> tuple[bytes, bool]:
@@ -312,13 +320,38 @@ def decode(records: DataFrame) -> DataFrame:
     return records.mapInArrow(_decode_batches, ", ".join([*kept, "payload binary", "framed boolean"]))
 
 
+def _parse_and_decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    segment = _SCHEMA.get_field_index("segment")
+    schema = _SCHEMA.append(pa.field("payload", pa.binary())).append(pa.field("framed", pa.bool_()))
+
+    def finish(record: tuple) -> tuple:
+        return (*record, None, None) if record[segment] is not None else (*record[:-1], None, *_decode(record[-1]))
+
+    return _parse(batches, schema, finish)
+
+
+def _measured(decoded: DataFrame) -> DataFrame:
+    size = F.octet_length("payload").cast("long")
+    return decoded.select("*", size.alias("payload_bytes"), F.sha1("payload").alias("digest")).drop("payload")
+
+
+def read_measured(spark: SparkSession, path: str) -> DataFrame:
+    """The records of the archives in ``path``, reassembled and decoded, with ``payload_bytes`` and ``digest`` in
+    place of the payload. What is written on the way are the records without payloads, and the blocks of segments."""
+    read = _lines(spark, path).mapInArrow(_parse_and_decode, f"{RECORD}, payload binary, framed boolean")
+    records = written(_measured(read), "records")
+    whole = records.filter("segment IS NULL").drop("origin_id", "segment", "total_length", "block")
+    joined = _joined(records.filter("segment IS NOT NULL").drop("framed", "payload_bytes", "digest"))
+    kept = joined.select(*(c for c in whole.columns if c not in ("framed", "payload_bytes", "digest")), "block")
+    return whole.unionByName(written(_measured(decode(kept)), "reassembled"))
+
+
 def resolve(decoded: DataFrame) -> DataFrame:
-    """``+ payload_bytes, digest``: of the payload, or of the response that a revisit refers to."""
-    responses = decoded.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
-        "digest", F.sha1("payload")
-    )
-    own = responses.filter("refers_to IS NULL OR record_type != 'revisit'").drop("payload")
-    revisits = responses.filter("refers_to IS NOT NULL AND record_type = 'revisit'").drop("payload", "payload_bytes", "digest")
+    """``+ payload_bytes, digest``: of the payload, or of the response that a revisit refers to. Of records with a
+    payload, or of those of ``read_measured``."""
+    responses = _measured(decoded) if "payload" in decoded.columns else decoded
+    own = responses.filter("refers_to IS NULL OR record_type != 'revisit'")
+    revisits = responses.filter("refers_to IS NOT NULL AND record_type = 'revisit'").drop("payload_bytes", "digest")
     # a record that is there twice (an archive read twice) counts once, by its sound copy
     best = F.max(F.struct((F.col("complete") & F.col("framed")).alias("sound"), "payload_bytes", "digest")).alias("t")
     target = responses.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(best)

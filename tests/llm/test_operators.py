@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from seekledger.llm import arrays, blocks, line_dedup, language_id, ngram_join, quality_rules, sentencepiece_codec, substring_dedup, warc
+from seekledger.llm import arrays, blocks, line_dedup, language_id, ngram_join, quality_rules, queries, sentencepiece_codec, substring_dedup, warc
 from seekledger.llm.components import components
 from seekledger.llm.queries import PIECES
 from text_samples import sentence
@@ -133,6 +133,19 @@ def test_pages_that_share_an_id_or_have_none(spark, tmp_path):
     assert warc.resolve(twice).count() == 2 * len(rows)
 
 
+def test_archives_are_parsed_once(spark, sf_dir, tmp_path):
+    rows = [(1, "u", b"x" * 5000), (2, "u", bytes(range(256)) * 30), (3, "u", b""), (4, None, b"x" * 5000), (None, "u", b"s")]
+    marked = warc.mark_revisits(spark.createDataFrame(rows, "id long, url string, payload binary").repartition(2))
+    path = str(tmp_path / "a")
+    warc.write_archives(marked, path, segment_bytes=700, chunk_bytes=100)
+    whole = warc.resolve(warc.decode(warc.reassemble(warc.read_archives(spark, path))))
+    measured = warc.resolve(warc.read_measured(spark, path)).select(whole.columns)
+    assert sorted(map(repr, measured.collect())) == sorted(map(repr, whole.collect()))
+    assert measured.count() == len(rows) and measured.filter("complete AND framed").count() == len(rows)
+    # what the query returns is made of the tables written, not of the archives again
+    assert not [f for f in queries.op2_warc(spark, sf_dir).inputFiles() if ".txt" in f]
+
+
 # --- repeats and joins
 
 
