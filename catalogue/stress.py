@@ -52,7 +52,7 @@ def _ingested(spark, sf_dir):
     """The request files as a stream, read back from the sink."""
     requests = L.request_stream(spark, C.requests_path(spark, sf_dir))
     sink = new_place(spark, "stream_events")
-    query = L.start_ingest(requests, C.group_map(spark, sf_dir), sink, f"{sink}-checkpoint", interval=None)
+    query = L.start_ingest(requests, C.group_map(spark, sf_dir), sink, f"{sink}-checkpoint", interval=None, once=True)
     query.awaitTermination()
     events = spark.read.schema(USAGE_EVENTS).parquet(sink)
     return events.select("timestamp", *EVENT_COLUMNS, "fields.*")

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _written: dict[tuple[str, str], str] = {}
 
@@ -34,6 +35,13 @@ def kept(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def kept_at(table: DataFrame, path: str, spark: SparkSession | None = None) -> DataFrame:
+    """The same, in place of what was at ``path``; ``spark`` reads it, if another session is to."""
+    table.write.mode("overwrite").parquet(path)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in table.schema])
+    return (spark or table.sparkSession).read.schema(schema).parquet(path)
+
+
 def written_once(
     spark: SparkSession,
     name: str,

@@ -18,7 +18,7 @@ from seekledger.functions import grammar, paths
 from seekledger.functions.bodies import observe_bodies
 from seekledger.functions.numbers import avg_ms, keep_rate
 from seekledger.operators.groups import resolve_group
-from seekledger.operators.tables import kept
+from seekledger.operators.tables import kept, kept_at
 from seekledger.schemas import USAGE_EVENTS
 
 UNKNOWN_INDEX = "_unknown"
@@ -99,18 +99,19 @@ def describe(bodies: DataFrame) -> DataFrame:
     return extracted.select(*bodies.columns, *[c.alias(name) for name, c in columns.items()])
 
 
-def _describe_once(due: DataFrame) -> DataFrame:
+def _describe_once(due: DataFrame, place: str | None) -> DataFrame:
     """``describe``, but each different body once for the whole log: clients repeat themselves. What bodies yield
     is written by digest and joined to the requests; whether it is broadcast follows from its real bytes, as
     equal texts take next to nothing in a file."""
     spark = due.sparkSession
-    keyed = due.withColumn("_key", F.sha2(F.concat_ws("\n", "mode", "parsed"), 256))
+    key = F.sha2(F.concat_ws("\n", "mode", "parsed"), 256)
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bodies = keyed.select("_key", "mode", "parsed").distinct().repartition(tasks, "_key")
-    described = kept(describe(bodies).drop("mode", "parsed"), "described_bodies")
+    bodies = due.select("mode", "parsed").distinct().withColumn("_key", key).repartition(tasks, "_key")
+    described = describe(bodies).drop("mode", "parsed")
+    described = kept(described, "described_bodies") if place is None else kept_at(described, place)
     size = described.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
     small = F.broadcast(described) if size <= BROADCAST_BYTES else described.hint("merge")
-    return keyed.join(small, "_key").drop("_key")
+    return due.withColumn("_key", key).join(small, "_key").drop("_key")
 
 
 def rejected_requests(requests: DataFrame, settings: EventSettings = EventSettings()) -> DataFrame:
@@ -120,12 +121,17 @@ def rejected_requests(requests: DataFrame, settings: EventSettings = EventSettin
 
 
 def build_usage_events(
-    requests: DataFrame, group_map: DataFrame, settings: EventSettings = EventSettings(), once: bool = False
+    requests: DataFrame,
+    group_map: DataFrame,
+    settings: EventSettings = EventSettings(),
+    once: bool = False,
+    place: str | None = None,
 ) -> DataFrame:
     """``once``: for a log at rest. Each different body is parsed once for the whole log, by a job that runs at
-    once; otherwise nothing is shuffled, and a body is parsed once a batch of rows."""
+    once and leaves its result at ``place`` (a new one, if none is given); otherwise nothing is shuffled, and a
+    body is parsed once a batch of rows."""
     due = _due(requests, settings)
-    described = (_describe_once if once else describe)(due).filter(~F.col("failed"))
+    described = (_describe_once(due, place) if once else describe(due)).filter(~F.col("failed"))
     named = resolve_group(
         described.withColumn("index", F.coalesce(F.get("indices", F.lit(0)), F.lit(UNKNOWN_INDEX))), group_map
     )

@@ -66,6 +66,25 @@ def test_event_expressions_are_built_once_for_all_batches(spark, source, groups,
     assert _rows(table.read()) == _rows(batch)
 
 
+@pytest.mark.parametrize("as_table", [False, True])
+def test_large_batches_describe_each_body_once(spark, groups, tmp_path, as_table):
+    path, checkpoint = str(tmp_path / "requests"), str(tmp_path / "checkpoint")
+    for part in range(3):
+        rows = [(at, START + timedelta(minutes=at), *_row(at % 4, 0)[2:]) for at in range(part * 20, part * 20 + 20)]
+        spark.createDataFrame(rows + rows[-1:], REQUEST_LOG).coalesce(1).write.mode("append").parquet(path)
+    sink = L.EventTable(spark, str(tmp_path / "table")) if as_table else str(tmp_path / "sink")
+    stream = L.request_stream(spark, path, max_files=1)
+    query = L.start_ingest(stream, (lambda: groups) if as_table else groups, sink, checkpoint, interval=None, once=True)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 3 and query.exception() is None
+    batch = build_usage_events(spark.read.schema(REQUEST_LOG).parquet(path).dropDuplicates(["request_id"]), groups)
+    got = sink.read() if as_table else spark.read.schema(USAGE_EVENTS).parquet(sink)
+    assert _rows(got) == _rows(batch) and got.count() == 60
+    # of the last batch only: its requests and its four different bodies
+    kept = {p.name: spark.read.parquet(str(p)).count() for p in (tmp_path / "checkpoint-requests").iterdir()}
+    assert kept["bodies"] == 4 and kept["rows"] <= 20 and len(kept) == 2
+
+
 def test_redelivered_requests_count_once(spark, source, groups, tmp_path):
     rows = [_row(at, at) for at in range(40, 60)]
     spark.createDataFrame(rows, REQUEST_LOG).coalesce(1).write.mode("append").parquet(source)
