@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from seekledger.llm import lm_scoring, source_divergence, spelling_variants
@@ -225,6 +226,43 @@ def test_lm_scores_learned(spark, monkeypatch, chunk):
         assert [x.score for x in got if x.doc_id == d] == pytest.approx([want[d]], rel=1e-9)
 
 
+def test_pieces_are_fitted_to_all_words(spark, monkeypatch):
+    """Also where there are far more different words than a sample would hold."""
+    monkeypatch.setattr(lm_scoring, "FIT_WORDS", 5, raising=False)
+    monkeypatch.setattr(lm_scoring, "ROUNDS", 1)
+    r = random.Random(6)
+    words = sorted({"".join(r.choices("abé", k=r.randrange(1, 9))) for _ in range(300)})
+    docs = spark.createDataFrame([(k, w) for k, w in enumerate(words) if zlib.crc32(str(k).encode()) % 7 != 2], "doc_id long, text string")
+    fitted = []
+    monkeypatch.setattr(lm_scoring, "fit_pieces", lambda *a, f=lm_scoring.fit_pieces: fitted.append(f(*a)) or fitted[-1])
+    assert all(math.isfinite(x.score) for x in lm_scoring.score_texts(docs, small_model(), learn=True).collect())
+    lattice, want = lm_scoring.Lattice(small_model()), Counter()
+    for (word,) in docs.select("text").collect():
+        want.update(lattice.expected(word))
+    assert {p: fitted[0].get(p, 0) / lm_scoring.UNIT for p in want} == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
+def test_sums_of_many_words_are_those_of_one(monkeypatch):
+    """With slices of any size, characters of all widths, long words, repeats, none."""
+    r = random.Random(7)
+    words = ["".join(r.choices("abxé中🙂▁", [6, 6, 1, 1, 1, 1, 1], k=r.randrange(0, 40))) for _ in range(500)]
+    words += ["", "ab" * 100, "ab" * 400, "é" * 300, words[3]]
+    for model in (small_model(), Model.load(q.PIECES)):
+        lattice = lm_scoring.Lattice(model)
+        want = Counter()
+        for w in words:
+            want.update(lattice.expected(w))
+        found = []
+        for cells, order in ((1, words), (300, words[::-1]), (1 << 19, words)):
+            monkeypatch.setattr(lm_scoring, "CELLS", cells)
+            assert lattice.log_probabilities(pa.array(order)).tolist() == pytest.approx([lattice.word(w) for w in order], rel=1e-12)
+            found.append(lattice.expected_counts(pa.array(order)).tolist())
+        assert found[0] == found[1] == found[2]
+        names = [*lattice.pieces, ""]
+        assert [n / lm_scoring.UNIT for n in found[0]] == pytest.approx([want[p] for p in names], rel=1e-6, abs=1e-6)
+    assert lattice.log_probabilities(pa.array([], pa.string())).tolist() == [] and not lattice.expected_counts(pa.array([], pa.string())).any()
+
+
 def test_lm_scores_learned_from_nothing(spark):
     only = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
     docs = spark.createDataFrame([(k, "ab x") for k in only], "doc_id long, text string")
