@@ -54,6 +54,23 @@ def test_old_states_are_cleared(spark, tmp_path):
     assert v._numbers() == [6, 7, 8] and v.newest() == (8, {"k": 7})
 
 
+def test_a_state_is_read_once(spark, tmp_path):
+    mine, other = Versions(spark, str(tmp_path)), Versions(spark, str(tmp_path))
+    mine.commit(0, {"a": 1})
+    assert other.newest() == (1, {"a": 1}) and other.newest() == (1, {"a": 1})
+    # what a reader does to it stays its own, and what others write is seen
+    other.newest()[1]["a"] = 5
+    assert other.newest() == (1, {"a": 1})
+    mine.commit(1, {"a": 2})
+    assert other.newest() == (2, {"a": 2}) == mine.newest()
+    text = other._seen[1]
+    other._seen = other._seen[0], text.replace("2", "3")
+    assert other.newest() == (2, {"a": 3})  # from memory
+    (tmp_path / "_states" / "000000000002.json").write_text('{"a": 44}')
+    (tmp_path / "_states" / ".000000000002.json.crc").unlink()
+    assert other.newest() == (2, {"a": 44})  # another file
+
+
 def test_change_meets_a_faster_writer(spark, tmp_path):
     mine, other = Versions(spark, str(tmp_path)), Versions(spark, str(tmp_path))
     seen = []

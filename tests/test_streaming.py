@@ -235,3 +235,62 @@ def test_rows_through_the_ingest(spark, groups, tmp_path):
     query.stop()
     batch = build_usage_events(spark.read.schema(REQUEST_LOG).parquet(path), groups)
     assert _rows(table.read()) == _rows(batch)
+
+
+def test_sizes_of_all_batches_are_counted(spark, monkeypatch):
+    """Also where a query remembers fewer batches than it had."""
+    from catalogue import stored
+
+    monkeypatch.setattr(stored, "BATCH_ROWS", 150)
+    remembered = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(remembered, "2")
+    try:
+        row = stored._by_rows(spark, "/root/testdata/sf0.001").first()
+    finally:
+        spark.conf.unset(remembered)
+    assert (row.requests, row.largest_batch) == (spark.read.parquet("/root/testdata/sf0.001/events.parquet").count(), 150)
+
+
+def test_a_reader_stops_behind_its_rows(spark, tmp_path, monkeypatch):
+    from seekledger.streaming import rows
+
+    path, looked = str(tmp_path / "requests"), []
+
+    class File(rows.pq.ParquetFile):
+        def iter_batches(self, **options):
+            for batch in super().iter_batches(batch_size=10, **options):
+                looked.append(batch.num_rows)
+                yield batch
+
+    frame = spark.createDataFrame([_row(at, at) for at in range(200)], REQUEST_LOG).coalesce(1).sortWithinPartitions("request_id")
+    frame.write.parquet(path)
+    monkeypatch.setattr(rows.pq, "ParquetFile", File)
+    reader = rows.RequestRowsReader({"path": path, "log": str(tmp_path / "log"), "max_rows": "20"}, REQUEST_LOG)
+    reader.latestOffset()
+    (part,) = reader.partitions({"rows": 15}, {"rows": 35})
+    assert [i for b in reader.read(part) for i in b.column("request_id").to_pylist()] == list(range(15, 35))
+    assert sum(looked) == 40
+
+
+def test_small_batches_leave_one_file_a_day(spark, groups, tmp_path):
+    from pathlib import Path
+
+    from seekledger.operators.event_table import EventTable
+    from seekledger.streaming.rows import request_rows
+
+    path, table, checkpoint = str(tmp_path / "requests"), EventTable(spark, str(tmp_path / "table")), tmp_path / "checkpoint"
+    rows = [_row(at, at * 60) for at in range(90)] + [_row(7, 7 * 60)]
+    spark.createDataFrame(rows, REQUEST_LOG).repartition(2).write.parquet(path)
+    stream = request_rows(spark, path, str(tmp_path / "log"), max_rows=40, max_wait=0.0)
+    query = L.start_ingest(stream, groups, table, str(checkpoint), interval="0 seconds", window="30 days", small=True)
+    query.processAllAvailable()
+    query.stop()
+    batch = build_usage_events(spark.createDataFrame(rows[:-1], REQUEST_LOG), groups)
+    assert _rows(table.read()) == _rows(batch)
+    folders = [f for f in Path(tmp_path, "table", "data").glob("*/event_date=*")]
+    assert len(folders) >= 4 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    # a prime below the four tasks that run at a time, and changes of the state only
+    state = checkpoint / "state" / "0"
+    assert sorted(f.name for f in state.iterdir() if f.name.isdigit()) == ["0", "1", "2"]
+    assert list((state / "0").glob("*.changelog"))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
